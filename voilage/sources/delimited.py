@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voilage.columns import field, text_or_empty
 from voilage.functions.delimited import delimiter_of, first_line, header_names, looks_like_header
 
 HEAD_BYTES = 64 * 1024
 # Dialects (delimiter and header) one folder may mix; each costs one scan node.
 MAX_DIALECTS = 200
-# A cell text that no file holds, so that an empty cell is read as empty, not as absent.
-_NO_SUCH_TEXT = "\u0001\u0000"
+_UNEVEN = "_uneven_row"
 
 
 def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -25,22 +26,22 @@ def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "length")
 
 
-def _open_head(uri: str) -> bytes:
+def _read_head(file: str) -> str:
+    """The start of one file, inside a task. Spark gives paths unescaped."""
     from pyarrow import fs
 
-    filesystem, inner = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-    try:
-        stream = filesystem.open_input_file(inner)
-    except FileNotFoundError:
-        stream = filesystem.open_input_file(unquote(inner))
-    with stream:
-        return stream.read(HEAD_BYTES)
+    scheme, _, rest = file.partition(":")
+    if scheme == "file":
+        store, inner = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        store, inner = fs.FileSystem.from_uri(scheme + ":" + quote(rest))
+    with store.open_input_file(inner) as stream:
+        return stream.read(HEAD_BYTES).decode("utf-8", "replace")
 
 
 def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        texts = [_open_head(uri).decode("utf-8", "replace") for uri in batch["file"]]
-        yield pd.DataFrame({"file": batch["file"], "head": texts})
+        yield pd.DataFrame({"file": batch["file"], "head": [_read_head(f) for f in batch["file"]]})
 
 
 def _heads_by_file(spark: SparkSession, path: str | list[str], method: str) -> DataFrame:
@@ -51,8 +52,10 @@ def _heads_by_file(spark: SparkSession, path: str | list[str], method: str) -> D
         return heads.select("file", first_line(F.col("head")).alias("line"), more.alias("more"))
     if method == "scan":
         place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("i"))
+        encoded = F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))
+        file = F.regexp_replace(F.url_decode(encoded), "^file:/+", "file:/")
         lines = spark.read.text(path).select(
-            F.col("_metadata.file_path").alias("file"), place.alias("place"), F.col("value").alias("line")
+            file.alias("file"), place.alias("place"), F.col("value").alias("line")
         )
         return lines.groupBy("file").agg(
             first_line(F.min_by("line", "place")).alias("line"), (F.count_if(F.col("line") != "") > 1).alias("more")
@@ -122,7 +125,7 @@ def read_delimited(
     alike = len(dialects) == 1
     parts = [
         _scan(
-            spark, path if alike else [unquote(f) for f in d["files"]],
+            spark, path if alike else [_literal(f) for f in d["files"]],
             delimiter or d["delimiter"], columns or list(d["columns"]), d["has_header"], multiline,
         )
         for d in dialects
@@ -133,11 +136,20 @@ def read_delimited(
     return whole
 
 
-def _scan(
-    spark: SparkSession, path: str | list[str], delimiter: str, columns: list[str], header: bool, multiline: bool
-) -> DataFrame:
+def _literal(file: str) -> str:
+    """A path that the reader must not take for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", file)
+
+
+def dialect(reader, delimiter: str, columns: list[str], header: bool = True, multiline: bool = False):
+    """A batch or stream reader set up for text cells, with the raw text of uneven rows kept.
+
+    Column pruning stays off in the parser: with it, an uneven row goes unnoticed.
+    """
     return (
-        spark.read.schema(text_schema(columns))
+        reader.schema(text_schema([*columns, _UNEVEN]))
+        .option("columnNameOfCorruptRecord", _UNEVEN)
+        .option("columnPruning", False)
         .option("sep", delimiter)
         .option("quote", '"')
         .option("escape", '"')
@@ -145,16 +157,35 @@ def _scan(
         .option("enforceSchema", True)
         .option("multiLine", multiline)
         .option("mode", "PERMISSIVE")
-        .option("nullValue", _NO_SUCH_TEXT)
         .option("emptyValue", "")
-        .csv(path)
     )
 
 
-def preview(df: DataFrame, rows: int = 200) -> DataFrame:
-    """The first rows, every cell as text, absent cells as empty text."""
-    shown = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns]
-    return df.select(*shown).limit(rows)
+def tell_empty_from_absent(df: DataFrame, delimiter: str) -> DataFrame:
+    """The reader gives NULL for an empty cell; only cells a short row lacks stay NULL."""
+    columns = [c for c in df.columns if c != _UNEVEN]
+    bare = F.regexp_replace(field(_UNEVEN), '"(?:[^"]|"")*"', "")
+    last = F.length(bare) - F.length(F.translate(bare, delimiter, ""))
+    short = F.when(field(_UNEVEN).isNotNull(), last)
+    return df.select(
+        *[
+            F.when(field(c).isNull() & (F.coalesce(short, F.lit(i)) >= i), F.lit("")).otherwise(field(c)).alias(c)
+            for i, c in enumerate(columns)
+        ]
+    )
+
+
+def _scan(
+    spark: SparkSession, path: str | list[str], delimiter: str, columns: list[str], header: bool, multiline: bool
+) -> DataFrame:
+    cells = dialect(spark.read, delimiter, columns, header, multiline).csv(path)
+    return tell_empty_from_absent(cells, delimiter)
+
+
+def preview(df: DataFrame, rows: int | None = 200) -> DataFrame:
+    """The first rows, or all, every cell as text, absent cells as empty text."""
+    shown = df.select(*[text_or_empty(c).alias(c) for c in df.columns])
+    return shown if rows is None else shown.limit(rows)
 
 
 def sample(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
