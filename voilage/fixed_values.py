@@ -8,11 +8,12 @@ changes what a job returns.
 
 # White space as ECMAScript's \s defines it (Java's \s lacks most of these).
 BLANKS = (
-    "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 LINE_ENDS = "\\n\\r\\u2028\\u2029"
 YEAR = "(?<![A-Za-z0-9_])((?:19|20)[0-9]{2})(?![A-Za-z0-9_])"
-BYTE_ORDER_MARK = "﻿"
+BYTE_ORDER_MARK = "\ufeff"
 DELIMITERS = (",", ";", "\t")
 HEADER_CELL = "[A-Za-z_]"
 DEFAULT_SALT = "change-me-salt"

@@ -11,7 +11,7 @@ from voilage import fixed_values as fixed
 def first_line(text: Column) -> Column:
     """Text up to the first line end, without a byte order mark."""
     line = F.regexp_extract(text, r"\A([^\n]*)", 1)
-    return F.regexp_replace(F.regexp_replace(line, r"\r\z", ""), r"\A﻿", "")
+    return F.regexp_replace(F.regexp_replace(line, r"\r\z", ""), r"\A\x{FEFF}", "")
 
 
 def delimiter_of(line: Column) -> Column:

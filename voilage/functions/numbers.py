@@ -21,7 +21,8 @@ def _where(x: Column, test: Column) -> Column:
 
 
 def _number(kept: Column) -> Column:
-    return F.regexp_replace(kept, "^$", "0").try_cast("double")
+    """What is left as a number; nothing left is 0, and only then is it looked at twice."""
+    return F.coalesce(kept.try_cast("double"), F.when(kept == "", F.lit(0.0)))
 
 
 def parse_amount(c: Column) -> Column:

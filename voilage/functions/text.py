@@ -57,7 +57,7 @@ def leading_year(c: Column) -> Column:
 
 
 def strip_blanks(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{fixed.BLANKS}]+", "")
+    return F.translate(c, fixed.BLANKS, "")
 
 
 def fsa(c: Column) -> Column:
@@ -77,20 +77,24 @@ def short_fsa(c: Column) -> Column:
 
 
 def mask_simple(c: Column) -> Column:
-    """Mask an address, a number of eight digits or more, or any other text."""
-    digits = F.length(c) - F.length(F.translate(c, "0123456789", ""))
-    at = F.lit("@")
+    """Mask an address, a number of eight digits or more, or any other text.
+
+    Other text keeps, per line, its last two characters. One-line text needs no
+    character-by-character replacement.
+    """
+    masked_lines = F.regexp_replace(c, f"[^{fixed.LINE_ENDS}](?=[^{fixed.LINE_ENDS}]{{2}})", "*")
     return (
         F.when(
-            F.contains(c, at),
+            F.contains(c, F.lit("@")),
             F.concat(
-                F.substring(F.split_part(c, at, F.lit(1)), 1, 2),
+                F.substring(F.substring_index(c, "@", 1), 1, 2),
                 F.lit("***@"),
-                F.split_part(c, at, F.lit(2)),
+                F.substring_index(F.substring_index(c, "@", 2), "@", -1),
             ),
         )
-        .when(digits >= 8, F.concat(F.substring(c, 1, 2), F.lit("****"), F.right(c, F.lit(2))))
-        .otherwise(F.regexp_replace(c, f"[^{fixed.LINE_ENDS}](?=[^{fixed.LINE_ENDS}]{{2}})", "*"))
+        .when(c.rlike("(?:[0-9][^0-9]*+){8}"), F.concat(F.substring(c, 1, 2), F.lit("****"), F.right(c, F.lit(2))))
+        .when(c.rlike(f"[{fixed.LINE_ENDS}]"), masked_lines)
+        .otherwise(F.concat(F.repeat(F.lit("*"), F.length(c) - 2), F.right(c, F.lit(2))))
     )
 
 

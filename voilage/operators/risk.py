@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voilage import fixed_values as fixed
 from voilage.columns import field, matching, round_half_up, text_or_empty
 from voilage.config import Roles
+from voilage.functions.text import strip_blanks
 from voilage.operators.classes import class_key
 from voilage.operators.rules import HELPERS, with_helpers
 
@@ -23,7 +24,7 @@ def carries_pii(columns: Sequence[str]) -> Column:
     """Whether any directly identifying column of the row is filled in."""
     filled = F.lit(False)
     for name in direct_pii_columns(columns):
-        filled = filled | F.coalesce(field(name).cast("string").rlike(f"[^{fixed.BLANKS}]"), F.lit(False))
+        filled = filled | (F.coalesce(strip_blanks(field(name).cast("string")), F.lit("")) != "")
     return filled
 
 

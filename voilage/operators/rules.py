@@ -148,7 +148,8 @@ def fixed_rules(df: DataFrame, salt: str | None = None) -> DataFrame:
         "revenu_annuel": income_band,
     }
     present = [n for n in fixed_by_name if n in df.columns]
-    treated = {n: F.when(field(n) != "", fixed_by_name[n](field(n))).otherwise(field(n)) for n in present}
+    # not a `when`: Spark would compute the parts that a treatment shares once per use
+    treated = {n: F.coalesce(fixed_by_name[n](F.nullif(field(n), F.lit(""))), field(n)) for n in present}
     return df.withColumns(treated) if treated else df
 
 
