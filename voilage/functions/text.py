@@ -79,10 +79,14 @@ def short_fsa(c: Column) -> Column:
 def mask_simple(c: Column) -> Column:
     """Mask an address, a number of eight digits or more, or any other text.
 
-    Other text keeps, per line, its last two characters. One-line text needs no
-    character-by-character replacement.
+    Other text keeps, per line, its last two characters. Only text with rarer line
+    ends than the newline is replaced character by character.
     """
-    masked_lines = F.regexp_replace(c, f"[^{fixed.LINE_ENDS}](?=[^{fixed.LINE_ENDS}]{{2}})", "*")
+    one_line = F.concat(F.repeat(F.lit("*"), F.length(c) - 2), F.right(c, F.lit(2)))
+    lines = F.transform(
+        F.split(c, "\n", -1), lambda x: F.concat(F.repeat(F.lit("*"), F.length(x) - 2), F.right(x, F.lit(2)))
+    )
+    any_lines = F.regexp_replace(c, f"[^{fixed.LINE_ENDS}](?=[^{fixed.LINE_ENDS}]{{2}})", "*")
     return (
         F.when(
             F.contains(c, F.lit("@")),
@@ -93,8 +97,9 @@ def mask_simple(c: Column) -> Column:
             ),
         )
         .when(c.rlike("(?:[0-9][^0-9]*+){8}"), F.concat(F.substring(c, 1, 2), F.lit("****"), F.right(c, F.lit(2))))
-        .when(c.rlike(f"[{fixed.LINE_ENDS}]"), masked_lines)
-        .otherwise(F.concat(F.repeat(F.lit("*"), F.length(c) - 2), F.right(c, F.lit(2))))
+        .when(c.rlike(f"[{fixed.RARE_LINE_ENDS}]"), any_lines)
+        .when(F.contains(c, F.lit("\n")), F.array_join(lines, "\n"))
+        .otherwise(one_line)
     )
 
 

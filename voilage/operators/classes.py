@@ -116,9 +116,15 @@ def lookup(
     )
 
 
-def class_stats(df: DataFrame, keys: list[str], sensitive: str | None = None, *, distance: bool = True) -> DataFrame:
+def class_stats(
+    df: DataFrame, keys: list[str], sensitive: str | None = None, *, distance: bool = True, write_counts: bool = False
+) -> DataFrame:
     """(keys..., n, l, tvd) per class.
 
+    ``write_counts`` writes the counts per class and value to the shared folder first:
+    what follows uses them several times, and then plans over a small table instead of
+    over copies of the whole input plan.
+
     n rows, l distinct sensitive values, and the total variation distance between
     the class's and the whole table's sensitive values. The distance is the sum over
     the class of max(0, c*N - C*n), divided once by n*N, so it is exact up to that
@@ -129,6 +135,8 @@ def class_stats(df: DataFrame, keys: list[str], sensitive: str | None = None, *,
         return class_sizes(df, keys).select(*keys, "n", F.lit(None).cast("bigint").alias("l"), nothing)
 
     counts = df.groupBy(*keys, text_or_empty(sensitive).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
+    if write_counts and distance:
+        counts = materialize(counts)
     classes = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("l"))
     if not distance:
         return classes.select(*keys, "n", "l", nothing)
@@ -170,12 +178,13 @@ def class_verdicts(
     l: int,  # noqa: E741
     t: float,
     suppress_extras: bool = True,
+    write_counts: bool = False,
 ) -> DataFrame:
     """(keys..., n, l, tvd, kept): which classes reach k, l and t.
 
     l and t apply only with a sensitive column, t only with ``suppress_extras``.
     """
-    stats = class_stats(df, keys, sensitive, distance=suppress_extras)
+    stats = class_stats(df, keys, sensitive, distance=suppress_extras, write_counts=write_counts)
     kept = F.col("n") >= k
     if sensitive:
         kept = kept & (F.col("l") >= l)
@@ -235,6 +244,6 @@ def suppress_classes(
     """Only the rows whose class reaches k, l and t. Runs the class statistics."""
     columns = [field(c) for c in dict.fromkeys([*keys, *([sensitive] if sensitive else [])])]
     verdicts = class_verdicts(
-        df.select(*columns), keys, sensitive, k=k, l=l, t=t, suppress_extras=suppress_extras
+        df.select(*columns), keys, sensitive, k=k, l=l, t=t, suppress_extras=suppress_extras, write_counts=True
     )
     return keep_rows(df, materialize(verdicts), keys)

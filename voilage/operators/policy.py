@@ -39,15 +39,10 @@ def guess_mapping(catalog: DataFrame) -> DataFrame:
     For each role the first column, in table order, whose name fits.
     """
     name = _lower()
-    found = [
-        F.min_by(
-            F.when(name.rlike(pattern), F.col("column_name")),
-            F.when(name.rlike(pattern), F.col("ordinal")),
-        ).alias(role)
-        for role, pattern in fixed.ROLE_PATTERNS.items()
-    ]
+    places = {f"_{role}": F.when(name.rlike(p), F.col("ordinal")) for role, p in fixed.ROLE_PATTERNS.items()}
+    found = [F.min_by("column_name", f"_{role}").alias(role) for role in fixed.ROLE_PATTERNS]
     qids = F.array_compact(F.array(*[F.col(r) for r in QID_ROLES]))
-    return catalog.groupBy("table_name").agg(*found).withColumn("qids", qids)
+    return catalog.withColumns(places).groupBy("table_name").agg(*found).withColumn("qids", qids)
 
 
 def guess_roles(columns: Sequence[str]) -> Roles:

@@ -68,6 +68,7 @@ def anonymize(
             l=settings.l,
             t=settings.t,
             suppress_extras=settings.suppress_extras,
+            write_counts=True,
         )
     )
     rows = drop_helpers(keep_rows(keyed, verdicts, list(keys)).drop(*keys))

@@ -47,6 +47,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, limit: int = 64) -> DataFrame:
+    """Deal out the rows of a table that has fewer splits than there are cores.
+
+    Few files, or files that cannot be split, would keep most cores idle. A table with
+    enough splits, so any large one, is returned as it is and not shuffled.
+    """
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, limit)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voilage import fixed_values as fixed
 from voilage.config import Roles
+from voilage.session import spread
 
 CLIENT_ROLES = Roles(
     id="id_client",
@@ -19,7 +20,7 @@ CLIENT_ROLES = Roles(
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def client_records(orders: DataFrame, customer: DataFrame) -> DataFrame:
