@@ -17,7 +17,7 @@ from voilage.plans import jobs
 from voilage.session import scratch_path
 from voilage.sinks import files as sinks
 from voilage.sources import delimited, synthetic
-from voilage.sources.tables import CLIENT_ROLES, clients, client_records, table
+from voilage.sources.tables import CLIENT_ROLES, clients, client_records, facts, table
 from voilage.streaming import files as streams
 from voilage.workload.settings import (
     ACCOUNT_ROLES, BAR_ROLES, CHECK_SEED, NAME_PREFIXES, STRICT, THRESHOLDS, WORD_BREAK,
@@ -40,7 +40,7 @@ def query(name: str) -> Callable[[Query], Query]:
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
     """A column catalog as wide as the documents: every word, behind a role-like prefix, is a column."""
-    words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", WORD_BREAK)).alias("ordinal", "w"))
+    words = facts(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", WORD_BREAK)).alias("ordinal", "w"))
     prefix = F.get(F.array(*[F.lit(p) for p in NAME_PREFIXES]), ((F.col("doc_id") + F.col("ordinal")) % len(NAME_PREFIXES)).cast("int"))
     return words.select(
         F.col("doc_id").cast("string").alias("table_name"), F.concat(prefix, "w").alias("column_name"), "ordinal"
@@ -67,7 +67,7 @@ def amounts(spark: SparkSession, sf: str) -> DataFrame:
         .when(shape == 6, F.lit("abc"))
         .otherwise(F.concat(F.lit("CAD "), cents.cast("string")))
     )
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", written.alias("amount"))
+    return facts(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", written.alias("amount"))
 
 
 def _treated(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,7 +102,7 @@ def _(spark, sf):
 @query("src_csv_scan_multiline")
 def _(spark, sf):
     path = scratch_path(spark, "documents-csv")
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "source")
+    docs = facts(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "source")
     sinks.write_csv(docs, path)
     return delimited.read_delimited(spark, path, delimiter=",", columns=docs.columns, multiline=True)
 
@@ -110,7 +110,7 @@ def _(spark, sf):
 @query("src_delimiter")
 def _(spark, sf):
     line = V.first_line(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", V.delimiter_of(line).alias("delimiter"))
+    return facts(spark, sf, "documents").select("doc_id", V.delimiter_of(line).alias("delimiter"))
 
 
 @query("src_delimiter_record")
@@ -128,7 +128,7 @@ def _(spark, sf):
 @query("src_header")
 def _(spark, sf):
     cells = F.split(V.first_line(F.col("text")), "\\|")
-    return table(spark, sf, "documents").select(
+    return facts(spark, sf, "documents").select(
         "doc_id",
         V.looks_like_header(cells).alias("has_header"),
         F.array_join(V.header_names(cells), "/").alias("names"),
@@ -163,12 +163,12 @@ def _(spark, sf):
 
 @query("prj_sha256")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", V.sha256_hex(F.col("text")).alias("digest"))
+    return facts(spark, sf, "documents").select("doc_id", V.sha256_hex(F.col("text")).alias("digest"))
 
 
 @query("prj_hmac")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", V.hmac12(F.col("text"), "change-me-salt").alias("pseudonym"))
+    return facts(spark, sf, "documents").select("doc_id", V.hmac12(F.col("text"), "change-me-salt").alias("pseudonym"))
 
 
 @query("prj_years")
@@ -186,7 +186,7 @@ def _(spark, sf):
 @query("prj_postal")
 def _(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select(
+    return facts(spark, sf, "documents").select(
         "doc_id", V.to_fsa(t).alias("area_masked"), V.fsa(t).alias("area"), V.short_fsa(t).alias("area_short")
     )
 
@@ -212,7 +212,7 @@ def _(spark, sf):
 
 @query("prj_mask")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
+    docs = facts(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
     people = clients(spark, sf)
     mails = people.select(F.concat(F.lit("e"), F.col("id_client")).alias("key"), F.col("email").alias("text"))
     phones = people.select(F.concat(F.lit("t"), F.col("id_client")).alias("key"), F.col("telephone").alias("text"))
@@ -415,18 +415,18 @@ def _(spark, sf):
 
 @query("agg_profile_documents")
 def _(spark, sf):
-    return profiling.profile(table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left"))
+    return profiling.profile(facts(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left"))
 
 
 @query("agg_row_audit")
 def _(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_suppkey")
+    lines = facts(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_suppkey")
     return profiling.row_audit(lines, 3)
 
 
 @query("agg_row_audit_documents")
 def _(spark, sf):
-    return profiling.row_audit(table(spark, sf, "documents").select("text", "lang"), 2)
+    return profiling.row_audit(facts(spark, sf, "documents").select("text", "lang"), 2)
 
 
 # --- sinks ------------------------------------------------------------------------------
