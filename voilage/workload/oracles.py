@@ -128,6 +128,9 @@ def noised(x: str, *parts: str) -> str:
     return f"coalesce(CAST(CAST(floor({value} + 0.5e0) AS BIGINT) AS VARCHAR), {x})"
 
 
+CLIENT_NAMES = (
+    "id_client", "email", "telephone", "code_postal", "date_naissance", "revenu_annuel", "type_compte", "statut",
+)
 # --- tables of treated rows ----------------------------------------------------------------
 
 HELPED = f"""helped AS (
@@ -183,11 +186,11 @@ def kept_ids(where: str) -> str:
     )
 
 
-def kept_rows(treated: str, s: str = "statut") -> str:
+def kept_rows(treated: str, s: str = "statut", keys: tuple[str, ...] = TREATED_KEYS) -> str:
     return (
-        f"WITH {CLIENTS}, {treated}, {judged('treated', TREATED_KEYS, s)}, "
-        f'kept AS (SELECT treated.* EXCLUDE ("_year", "_fsa", "_revBin") FROM treated '
-        f'JOIN stats USING ("_year", "_fsa", "_revBin") WHERE n >= 10 AND l >= 3 AND tvd <= 0.3e0)'
+        f"WITH {CLIENTS}, {treated}, {judged('treated', keys, s)}, "
+        f'kept AS (SELECT {", ".join("treated." + c for c in CLIENT_NAMES)} FROM treated '
+        f"JOIN stats USING ({', '.join(keys)}) WHERE n >= 10 AND l >= 3 AND tvd <= 0.3e0)"
     )
 
 
@@ -374,9 +377,6 @@ count(*) FILTER (WHERE coalesce(CAST({c} AS VARCHAR), '') = '') AS vides, count(
     )
 
 
-CLIENT_NAMES = (
-    "id_client", "email", "telephone", "code_postal", "date_naissance", "revenu_annuel", "type_compte", "statut",
-)
 FIXED_ROWS = f"""SELECT {hmac12('id_client')} AS id_client, email, telephone,
 substr(code_postal, 1, 3) || '***' AS code_postal, substr(date_naissance, 1, 4) AS date_naissance,
 {band('revenu_annuel')} AS revenu_annuel, type_compte, statut FROM clients"""
@@ -486,7 +486,7 @@ round(correlation, 6) AS correlation, round(inference, 6) AS inference
 FROM {scored('clients', 'type_compte', 'statut', 'false')}""",
         "agg_evaluate": f"WITH {CLIENTS}, {TREATED}, {evaluated('treated', 'date_naissance, code_postal', 60)}",
         "agg_kept_counts": f"""WITH {CLIENTS}, {HELPED}, {judged('helped', HELPED_KEYS)}
-SELECT CAST(sum(n) FILTER (WHERE n >= 10 AND l >= 3 AND tvd <= 0.3e0) AS BIGINT) AS kept, CAST(sum(n) AS BIGINT) AS total FROM stats""",
+SELECT CAST(coalesce(sum(n) FILTER (WHERE n >= 10 AND l >= 3 AND tvd <= 0.3e0), 0) AS BIGINT) AS kept, CAST(sum(n) AS BIGINT) AS total FROM stats""",
         "agg_profile": clients + _profile("clients", CLIENT_NAMES),
         "agg_profile_documents": _profile(documents, ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic")),
         "agg_row_audit": _audit("l_returnflag, l_linestatus, l_quantity, l_suppkey", "lineitem", 3),
@@ -522,6 +522,7 @@ CAST(35 AS BIGINT) AS target FROM scored GROUP BY table_name""",
         "str_fixed_rules": clients + FIXED_ROWS,
         "str_row_count": "SELECT count(*) AS total FROM events",
         "job_anonymize": kept_rows(TREATED) + " SELECT * FROM kept",
+        "job_anonymize_by_year_and_area": kept_rows(TREATED, keys=TREATED_KEYS[:2]) + " SELECT * FROM kept",
         "job_anonymize_counts": f"""{kept_rows(TREATED)} SELECT (SELECT count(*) FROM kept) AS kept, count(*) AS total FROM treated""",
         "job_anonymize_metrics": f"{kept_rows(TREATED)}, {evaluated('kept', 'date_naissance, code_postal, revenu_annuel', 10)}",
         "job_auto_anonymize": kept_rows(AUTO_TREATED, "type_compte") + " SELECT * FROM kept",

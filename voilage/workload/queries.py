@@ -575,6 +575,12 @@ def _(spark, sf):
     return jobs.anonymize(clients(spark, sf), CLIENT_ROLES, None, STRICT).rows
 
 
+@query("job_anonymize_by_year_and_area")
+def _(spark, sf):
+    coarse = replace(CLIENT_ROLES, qids=("date_naissance", "code_postal"))
+    return jobs.anonymize(clients(spark, sf), coarse, None, STRICT).rows
+
+
 @query("job_anonymize_counts")
 def _(spark, sf):
     return jobs.anonymize(clients(spark, sf), CLIENT_ROLES, None, STRICT).counts
