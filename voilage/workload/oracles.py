@@ -196,9 +196,9 @@ def kept_rows(treated: str, s: str = "statut", keys: tuple[str, ...] = TREATED_K
 
 def evaluated(source: str, keys: str, k: int) -> str:
     return f"""sized AS (SELECT count(*) AS n, count(DISTINCT statut) AS d FROM {source} GROUP BY {keys})
-SELECT round(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) * 100e0 / sum(n), 6) AS individualisation,
-       round(sum(CASE WHEN n < {k} THEN n ELSE 0 END) * 100e0 / sum(n), 6) AS correlation,
-       round(sum((CASE WHEN d <= 1 THEN 100e0 ELSE (1 - 1e0 / d) * 100 END) * n) / sum(n), 6) AS inference
+SELECT round(coalesce(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) * 100e0 / sum(n), 0), 6) AS individualisation,
+       round(coalesce(sum(CASE WHEN n < {k} THEN n ELSE 0 END) * 100e0 / sum(n), 0), 6) AS correlation,
+       round(coalesce(sum((CASE WHEN d <= 1 THEN 100e0 ELSE (1 - 1e0 / d) * 100 END) * n) / sum(n), 0), 6) AS inference
 FROM sized"""
 
 
