@@ -33,13 +33,16 @@ def _percent(share: Column) -> Column:
 
 
 def _entropy(counts: DataFrame) -> DataFrame:
-    """Entropy in bits of the values ``_s`` with counts ``_c``, as one row.
+    """One row: entropy in bits of the values ``_s`` with counts ``_c``, and the sum of ``_p``.
 
     From the counts alone: log2(N) - sum(C*log2(C)) / N, one pass, no total needed.
+    The sum is there so that this plan needs the same columns of ``counts`` as its
+    caller's does; Spark then counts and shuffles once for both.
     """
-    values = counts.groupBy("_s").agg(F.sum("_c").cast("double").alias("c"))
+    values = counts.groupBy("_s").agg(F.sum("_c").cast("double").alias("c"), F.sum("_p").alias("p"))
     total = F.sum("c")
-    return values.agg((F.log2(total) - F.sum(F.col("c") * F.log2("c")) / total).alias("bits"))
+    bits = F.log2(total) - F.sum(F.col("c") * F.log2("c")) / total
+    return values.agg(F.struct(bits.alias("bits"), F.sum("p").alias("pii")).alias("values"))
 
 
 def risk_metrics(
@@ -72,15 +75,18 @@ def risk_metrics(
         F.sum(F.col("top") / F.col("n")).alias("shares"),
     )
     any_row = F.col("rows") > 0
+    pii = F.col("pii")
     alone = F.col("single") / F.col("classes") if roles.qids else F.lit(0.0)
-    individualization = F.when(any_row, _percent(0.6 * (F.col("pii") / F.col("rows")) + 0.4 * alone))
     correlation = inference = F.lit(None).cast("double")
     if roles.qids:
         correlation = F.when(any_row, _percent(alone))
     if roles.qids and roles.sensitive:
-        spread = F.least(F.lit(1.0), _entropy(counts).scalar() / 4.0)
+        values = _entropy(counts).scalar()
+        pii = F.greatest(pii, values.getField("pii"))
+        spread = F.least(F.lit(1.0), values.getField("bits") / 4.0)
         average = F.col("shares") / F.col("classes")
         inference = F.when(any_row, _percent(average * (0.6 + 0.4 * (1.0 - spread))))
+    individualization = F.when(any_row, _percent(0.6 * (pii / F.col("rows")) + 0.4 * alone))
     return total.select(
         individualization.alias("individualization"),
         correlation.alias("correlation"),

@@ -110,25 +110,25 @@ def read_delimited(
     """
     if delimiter and columns:
         return _scan(spark, path, delimiter, columns, True, multiline)
-    dialects = (
-        sniff_delimiters(spark, path, sniff)
-        .groupBy("delimiter", "has_header", "columns")
-        .agg(F.collect_list("file").alias("files"))
-        .orderBy(F.min("file"))
-        .limit(MAX_DIALECTS + 1)
-        .collect()
-    )
+    found = sniff_delimiters(spark, path, sniff)
+    kind = ("delimiter", "has_header", "columns")
+    dialects = found.select(*kind).distinct().limit(MAX_DIALECTS + 1).collect()
     if not dialects:
         raise ValueError("no file to read")
     if len(dialects) > MAX_DIALECTS:
         raise ValueError(f"more than {MAX_DIALECTS} different headers below one path; read them apart")
-    alike = len(dialects) == 1
+    places = {tuple(map(str, d)): path for d in dialects}
+    if len(dialects) > 1:
+        # names only, and a reader lists its files on the driver anyhow
+        places = {place: [] for place in places}
+        for file in found.orderBy("file").toLocalIterator():
+            places[tuple(str(file[k]) for k in kind)].append(_literal(file["file"]))
     parts = [
         _scan(
-            spark, path if alike else [_literal(f) for f in d["files"]],
-            delimiter or d["delimiter"], columns or list(d["columns"]), d["has_header"], multiline,
+            spark, places[tuple(map(str, d))], delimiter or d["delimiter"], columns or list(d["columns"]),
+            d["has_header"], multiline,
         )
-        for d in dialects
+        for d in sorted(dialects, key=lambda d: min(places[tuple(map(str, d))]))
     ]
     whole = parts[0]
     for part in parts[1:]:
