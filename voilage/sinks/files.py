@@ -112,6 +112,17 @@ def read_job_definition(spark: SparkSession, path: str) -> tuple[Roles, dict[str
     return Roles(**row["mapping"]), rules, Settings(**row["settings"]), row["columns"]
 
 
+def table_definitions(mappings: DataFrame, settings: Settings, delimiter: str = ",") -> DataFrame:
+    """One definition (table_name, meta, settings, mapping) per table of guessed roles, for a whole catalog."""
+    shared = {k: float(v) if k in ("epsilon", "t_close") else v for k, v in settings.exported().items()}
+    return mappings.select(
+        "table_name",
+        F.struct(F.lit(delimiter).alias("delimiter")).alias("meta"),
+        F.struct(*[F.lit(v).alias(k) for k, v in shared.items()]).alias("settings"),
+        F.struct(*ROLE_NAMES, "qids").alias("mapping"),
+    )
+
+
 # --- run report --------------------------------------------------------------------
 
 

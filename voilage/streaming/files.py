@@ -7,7 +7,7 @@ hold only inside each micro-batch.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -31,16 +31,26 @@ def stream_parquet(spark: SparkSession, path: str, schema: StructType, max_files
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
-@dataclass(frozen=True)
+@dataclass
 class StreamRun:
+    """A running query and the rows each of its batches has read."""
+
     query: StreamingQuery
+    _by_batch: dict[int, int] = field(default_factory=dict)
 
     def rows_read(self) -> int:
-        """Rows read so far in this run, from the kept progress reports."""
-        return sum(p["numInputRows"] for p in self.query.recentProgress)
-
-    def wait(self, seconds: int | None = None) -> StreamRun:
-        self.query.awaitTermination(seconds) if seconds else self.query.awaitTermination()
+        """Rows read so far in this run.
+
+        The query keeps only its latest reports, so call this, or wait, while it runs.
+        """
+        self._by_batch.update({p["batchId"]: p["numInputRows"] for p in self.query.recentProgress})
+        return sum(self._by_batch.values())
+
+    def wait(self, every: float = 0.5) -> StreamRun:
+        """Wait for the end, taking in the reports as they come."""
+        while not self.query.awaitTermination(every):
+            self.rows_read()
+        self.rows_read()
         return self
 
 

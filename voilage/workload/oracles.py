@@ -456,6 +456,7 @@ b AS "_revBin" FROM helped""",
         "prj_risk_helpers": f"""WITH {CLIENTS}, {HELPED} SELECT id_client, y AS "_year", f AS "_fsa", b AS "_revBin" FROM helped""",
         "prj_class_key": f"""WITH {CLIENTS}, {HELPED} SELECT id_client, statut || '|' || f || '|' || y || '|' || b AS cle FROM helped""",
         "prj_fixed_rules": clients + FIXED_ROWS,
+        "prj_unaccent": "SELECT doc_id, strip_accents(lower(text)) AS plain FROM documents",
         "prj_column_search": f"WITH {CATALOG} SELECT column_name FROM names WHERE contains(n, 'tion')",
         "prj_escape_markup": "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS safe FROM pages",
         "flt_pii_rows": clients + "SELECT id_client FROM clients WHERE type_compte <> 'BUILDING'",
@@ -491,6 +492,12 @@ SELECT CAST(coalesce(sum(n) FILTER (WHERE n >= 10 AND l >= 3 AND tvd <= 0.3e0),
         "agg_profile_documents": _profile(documents, ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic")),
         "agg_row_audit": _audit("l_returnflag, l_linestatus, l_quantity, l_suppkey", "lineitem", 3),
         "agg_row_audit_documents": _audit("text, lang", "documents", 2),
+        "sink_csv": f"""WITH {CLIENTS}, {HELPED}, {judged('helped', HELPED_KEYS)}
+SELECT statut, id_client, email, revenu_annuel FROM helped JOIN stats USING (y, f, b) WHERE n >= 10 AND l >= 3 AND tvd <= 0.3e0""",
+        "sink_job_definitions": f"""WITH {CATALOG}, found AS (SELECT table_name, {', '.join(role(r) for r in fixed.ROLE_PATTERNS)}
+FROM catalog GROUP BY table_name)
+SELECT table_name, ';' AS delimiter, 10 AS k_anon, 2e0 AS epsilon, true AS zip3, id, date1, sensitive,
+concat_ws('|', date1, postal, revenue) AS qids FROM found""",
         "sink_audit_report": _audit("user_id, event_type", "events", 3),
         "sink_run_report": f"""{clients} SELECT * FROM (VALUES {', '.join(f'({text(a)}, {text(b)}, {text(c)})' for a, b, c in report)})
 AS r(section, key, value) UNION ALL SELECT 'dataset', 'rows', CAST(count(*) AS VARCHAR) FROM clients""",

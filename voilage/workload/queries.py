@@ -286,6 +286,12 @@ def _(spark, sf):
     return rules.fixed_rules(clients(spark, sf), "change-me-salt")
 
 
+@query("prj_unaccent")
+def _(spark, sf):
+    accented = ("àâäçéèêëîïôöùûüñóíáú",)
+    return facts(spark, sf, "documents").select("doc_id", V.unaccent(F.col("text"), accented).alias("plain"))
+
+
 @query("prj_column_search")
 def _(spark, sf):
     return rules.search_columns(names(spark, sf), "Tion")
@@ -432,6 +438,28 @@ def _(spark, sf):
 # --- sinks ------------------------------------------------------------------------------
 
 
+@query("sink_csv")
+def _(spark, sf):
+    keyed, keys = _helped(spark, sf)
+    kept = rules.drop_helpers(classes.suppress_classes(keyed, keys, "statut", k=10, l=3, t=0.3).drop(*keys))
+    path = scratch_path(spark, "published")
+    columns = ["statut", "id_client", "email", "revenu_annuel"]
+    sinks.write_csv(kept, path, columns, allow_empty=True)
+    return delimited.read_delimited(spark, path, delimiter=",", columns=columns)
+
+
+@query("sink_job_definitions")
+def _(spark, sf):
+    path = scratch_path(spark, "definitions")
+    made = sinks.table_definitions(policy.guess_mapping(catalog(spark, sf)), STRICT, ";")
+    sinks.write_json(made, path)
+    read = spark.read.schema(made.schema).json(path)
+    return read.select(
+        "table_name", "meta.delimiter", "settings.k_anon", "settings.epsilon", "settings.zip3", "mapping.id",
+        "mapping.date1", "mapping.sensitive", F.array_join("mapping.qids", "|").alias("qids"),
+    )
+
+
 @query("sink_audit_report")
 def _(spark, sf):
     path = scratch_path(spark, "audit")
