@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -158,6 +159,23 @@ def mask_by_hand(s: str) -> str:
     )
 
 
+def test_mask_long_lines(evaluate_on):
+    lines = ["".join("ab*é "[(i * k) % 5] for i in range(n)) for k, n in ((1, 400), (2, 33), (3, 34), (4, 35), (7, 10), (9, 11))]
+    values = ["\n".join(lines), "\r\n".join(lines), "\n" + lines[0], lines[1] + "\n", lines[0]]
+    assert evaluate_on(V.mask_simple, values) == [mask_by_hand(v) for v in values]
+
+
+def test_treatments_stay_in_generated_code(spark, tmp_path, capsys):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("a",)], "v string").write.parquet(path)
+    c = F.col("v")
+    spark.read.parquet(path).select(
+        V.mask_simple(c), V.only_year(c), V.to_fsa(c), V.bin_income(c), V.income_band(c), V.hmac12(c, "s"),
+        V.noisy_amount(c, 2, V.uniform_draw("s", c)),
+    ).explain()
+    assert re.search(r"\*\(\d+\) Project", capsys.readouterr().out)
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text(st.sampled_from("ab@01234567é\n\r  "), max_size=14), min_size=50, max_size=80))
 def test_mask_any_text(evaluate_on, values):

@@ -12,7 +12,6 @@ BLANKS = (
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 LINE_ENDS = "\\n\\r\\u2028\\u2029"
-RARE_LINE_ENDS = "\\r\\u2028\\u2029"
 YEAR = "(?<![A-Za-z0-9_])((?:19|20)[0-9]{2})(?![A-Za-z0-9_])"
 BYTE_ORDER_MARK = "\ufeff"
 DELIMITERS = (",", ";", "\t")

@@ -79,14 +79,17 @@ def short_fsa(c: Column) -> Column:
 def mask_simple(c: Column) -> Column:
     """Mask an address, a number of eight digits or more, or any other text.
 
-    Other text keeps, per line, its last two characters. Only text with rarer line
-    ends than the newline is replaced character by character.
+    Other text keeps, per line, its last two characters. Text of several lines is
+    masked by runs of 32, 8 and 1 characters: a mask star may be masked again, and
+    the longer runs leave little to replace one by one. All of it stays inside
+    generated code, which higher-order functions would not.
     """
+    any_char, more = f"[^{fixed.LINE_ENDS}]", f"(?=[^{fixed.LINE_ENDS}]{{2}})"
+    unmasked = f"[^*{fixed.LINE_ENDS}]"
+    lines = F.regexp_replace(c, any_char + "{32}" + more, "*" * 32)
+    lines = F.regexp_replace(lines, unmasked + any_char + "{7}" + more, "*" * 8)
+    lines = F.regexp_replace(lines, unmasked + more, "*")
     one_line = F.concat(F.repeat(F.lit("*"), F.length(c) - 2), F.right(c, F.lit(2)))
-    lines = F.transform(
-        F.split(c, "\n", -1), lambda x: F.concat(F.repeat(F.lit("*"), F.length(x) - 2), F.right(x, F.lit(2)))
-    )
-    any_lines = F.regexp_replace(c, f"[^{fixed.LINE_ENDS}](?=[^{fixed.LINE_ENDS}]{{2}})", "*")
     return (
         F.when(
             F.contains(c, F.lit("@")),
@@ -97,8 +100,7 @@ def mask_simple(c: Column) -> Column:
             ),
         )
         .when(c.rlike("(?:[0-9][^0-9]*+){8}"), F.concat(F.substring(c, 1, 2), F.lit("****"), F.right(c, F.lit(2))))
-        .when(c.rlike(f"[{fixed.RARE_LINE_ENDS}]"), any_lines)
-        .when(F.contains(c, F.lit("\n")), F.array_join(lines, "\n"))
+        .when(c.rlike(f"[{fixed.LINE_ENDS}]"), lines)
         .otherwise(one_line)
     )
 

@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voilage.columns import field, text_or_empty
 
 
+# Longer values travel as their digest, which is longer than this and so never taken for a value.
+_LONG = 64
+
+
+def _short(value: Column) -> Column:
+    return F.when(F.length(value) > _LONG, F.concat(F.lit("#"), F.sha2(value, 256))).otherwise(value)
+
+
 def profile(df: DataFrame, *, absent_as_empty: bool = True) -> DataFrame:
     """(colonne, distinct, vides, total, colonnes), exact, one row per column.
 
     Cells are turned into (column, value) pairs and counted per pair, so the work is
     one shuffle of already counted values however many columns there are, and a value
-    that fills most of a column is folded on the map side.
+    that fills most of a column is folded on the map side. Long texts are told apart
+    by their SHA-256, so no text is shuffled.
     """
     cells = F.explode(
         F.array(
             *[
                 F.struct(
                     F.lit(c).alias("colonne"),
-                    (text_or_empty(c) if absent_as_empty else field(c).cast("string")).alias("value"),
+                    _short(text_or_empty(c) if absent_as_empty else field(c).cast("string")).alias("value"),
                 )
                 for c in df.columns
             ]
