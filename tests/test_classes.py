@@ -6,7 +6,6 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from voilage.config import Roles
 from voilage.operators import classes

@@ -7,7 +7,6 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from voilage import Roles, compliance, evaluate, profile, risk_metrics, risk_report, row_audit
 from voilage.operators.risk import direct_pii_columns

@@ -394,10 +394,8 @@ def statements() -> dict[str, str]:
         return f"(length({first}) - length(replace({first}, {d}, '')))"
 
     comma, semicolon, tab = marks("','"), marks("';'"), marks("chr(9)")
-    page = (
-        "CASE WHEN page_id % 3 = 0 THEN substr(html, 16, 100000) ELSE "
-        "concat(list_extract(string_split(html, '<p>'), -1), ' le ', CAST(page_id % 300 + 1850 AS VARCHAR)) END"
-    )
+    year = "CAST(page_id % 300 + 1850 AS VARCHAR)"
+    page = f"CASE WHEN page_id % 3 = 0 THEN {year} || '-' || html ELSE html || ' le ' || {year} END"
     report = [
         ("dataset", "file", "clients&lt;1&gt;.csv"), ("dataset", "delimiter", ","), ("parameters", "k", "10"),
         ("parameters", "l", "3"), ("parameters", "t", "0.3"), ("parameters", "epsilon", "2"),

@@ -173,8 +173,8 @@ def _(spark, sf):
 
 @query("prj_years")
 def _(spark, sf):
-    text = F.concat(F.coalesce(F.element_at(F.split("html", "<p>"), -1), F.lit("")), F.lit(" le "), (F.col("page_id") % 300 + 1850).cast("string"))
-    text = F.when(F.col("page_id") % 3 == 0, F.substring(F.col("html"), 16, 100000)).otherwise(text)
+    year = (F.col("page_id") % 300 + 1850).cast("string")
+    text = F.when(F.col("page_id") % 3 == 0, F.concat_ws("-", year, "html")).otherwise(F.concat_ws(" le ", "html", year))
     return table(spark, sf, "pages").select(
         "page_id",
         V.only_year(text).alias("only_year"),
