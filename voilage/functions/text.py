@@ -76,19 +76,22 @@ def short_fsa(c: Column) -> Column:
     return F.concat(F.substring(c, 1, 3), F.lit("***"))
 
 
+def _mask_lines(c: Column, ends: str) -> Column:
+    any_char, unmasked, more = f"[^{ends}]", f"[^*{ends}]", f"(?=[^{ends}]{{2}})"
+    c = F.regexp_replace(c, any_char + "{32}" + more, "*" * 32)
+    c = F.regexp_replace(c, unmasked + any_char + "{7}" + more, "*" * 8)
+    return F.regexp_replace(c, unmasked + more, "*")
+
+
 def mask_simple(c: Column) -> Column:
     """Mask an address, a number of eight digits or more, or any other text.
 
     Other text keeps, per line, its last two characters. Text of several lines is
     masked by runs of 32, 8 and 1 characters: a mask star may be masked again, and
     the longer runs leave little to replace one by one. All of it stays inside
-    generated code, which higher-order functions would not.
+    generated code, which higher-order functions would not. Text without the rarer
+    line ends goes by a plainer pattern, which matches several times faster.
     """
-    any_char, more = f"[^{fixed.LINE_ENDS}]", f"(?=[^{fixed.LINE_ENDS}]{{2}})"
-    unmasked = f"[^*{fixed.LINE_ENDS}]"
-    lines = F.regexp_replace(c, any_char + "{32}" + more, "*" * 32)
-    lines = F.regexp_replace(lines, unmasked + any_char + "{7}" + more, "*" * 8)
-    lines = F.regexp_replace(lines, unmasked + more, "*")
     one_line = F.concat(F.repeat(F.lit("*"), F.length(c) - 2), F.right(c, F.lit(2)))
     return (
         F.when(
@@ -100,7 +103,8 @@ def mask_simple(c: Column) -> Column:
             ),
         )
         .when(c.rlike("(?:[0-9][^0-9]*+){8}"), F.concat(F.substring(c, 1, 2), F.lit("****"), F.right(c, F.lit(2))))
-        .when(c.rlike(f"[{fixed.LINE_ENDS}]"), lines)
+        .when(c.rlike(f"[{fixed.RARE_LINE_ENDS}]"), _mask_lines(c, fixed.LINE_ENDS))
+        .when(F.contains(c, F.lit("\n")), _mask_lines(c, "\\n"))
         .otherwise(one_line)
     )
 
