@@ -31,5 +31,24 @@ WITH RECURSIVE lists AS (
 ), tops AS (SELECT node, min(other) AS root FROM reach GROUP BY node)
 SELECT doc_id, n AS n_shingles, coalesce(root, doc_id) AS component_id, doc_id = coalesce(root, doc_id) AS kept
 FROM by_set LEFT JOIN tops ON rep = node
+""",
+    "op8_substring_dedup": r"""
+WITH lists AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM lists WHERE len(w) >= 50)
+), hits AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM windows) WHERE first < doc_id
+), gone AS (
+    SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS gone FROM hits GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, w, gone, CASE WHEN gone IS NULL THEN w ELSE
+        list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END AS k
+    FROM lists LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
+FROM kept
 """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voilage.llm import language, minhash, quality
+from voilage.llm import language, minhash, quality, repeats
 from voilage.llm.shared import table
 
 
@@ -27,8 +27,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", apart.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op6_language_id": op6_language_id,
+    "op8_substring_dedup": op8_substring_dedup,
 }
