@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voilage.llm import language, minhash, quality, repeats
+from voilage.llm import grammar, language, minhash, packing, quality, repeats
 from voilage.llm.shared import table
 
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR")  # where the public vocabulary files lie, if not in their package
+
+
+def tokenizer_file(name: str) -> str:
+    if TOKENIZERS:
+        return os.path.join(TOKENIZERS, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
@@ -20,6 +31,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs))
 
 
+def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     apart = language.held_out(F.col("doc_id"))
@@ -34,6 +53,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_pattern_packing": op3_pattern_packing,
+    "op4_token_id_output": op4_token_id_output,
     "op6_language_id": op6_language_id,
     "op8_substring_dedup": op8_substring_dedup,
 }
