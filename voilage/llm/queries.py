@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voilage.llm import grammar, language, minhash, packing, quality, repeats
+from voilage.llm import fingerprint, grammar, language, minhash, packing, quality, repeats
 from voilage.llm.shared import table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR")  # where the public vocabulary files lie, if not in their package
@@ -46,6 +46,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", apart.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed_repeats(table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pattern_packing": op3_pattern_packing,
     "op4_token_id_output": op4_token_id_output,
     "op6_language_id": op6_language_id,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op8_substring_dedup": op8_substring_dedup,
 }
