@@ -7,10 +7,10 @@ replacement). Bands of R values propose pairs: with 40 bands of 5 a pair at simi
 missed with probability 1.2e-7. Every link is confirmed on full sets of 64-bit shingle hashes.
 
 Pairs of a band are never all emitted. Documents with equal sets are one class with one
-representative. Within a band, representatives meet only its smallest one; classes that link
-become one component. A band whose other members still belong to different components goes
-through another round with twice as many centres, until every band is settled. Only pairs that
-no link joins indirectly are compared one by one.
+representative. Within a band, representatives meet its smallest one first; classes that link
+become one component. In bands whose other members still belong to different components, the
+members outside the band's largest component are compared with all of its members, in blocks of
+bounded size and on full sets; only links leave these blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voilage.llm import words as W
@@ -29,6 +29,7 @@ from voilage.llm.shared import components, documents_only, materialize, moved
 BANDS = 40
 ROWS = 5
 SEED = 20240229
+BLOCK = 400_000  # shingles of a band that are compared at once, on either side
 _CHUNK = 512
 
 
@@ -117,7 +118,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * either).select("a", "b", "root_a", "root_b").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * either).select("a", "b").distinct()
+
+
+def _across(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links between the asking rows of a block and its rows of other components."""
+
+    def run(block: pa.Table) -> pa.Table:
+        asks = block.column("asks").to_numpy(zero_copy_only=False)
+        doc, root, major = (block.column(c).to_numpy() for c in ("doc", "root", "major"))
+        lists = block.column("shingles").combine_chunks()
+        flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+        ends = np.cumsum(size)
+        rows = np.flatnonzero(~asks)
+        a, b = [], []
+        if len(rows):
+            own = np.concatenate([flat[ends[r] - size[r] : ends[r]] for r in rows])
+            words, place = np.unique(own, return_inverse=True)
+            starts, mark = np.cumsum(size[rows]) - size[rows], np.zeros(len(words), np.int32)
+            for q in np.flatnonzero(asks):
+                other = flat[ends[q] - size[q] : ends[q]]
+                spot = np.minimum(np.searchsorted(words, other), len(words) - 1)
+                spot = spot[words[spot] == other]
+                mark[spot] = 1
+                both = np.add.reduceat(mark[place], starts)
+                mark[spot] = 0
+                linked = (100 * both >= percent * (size[rows] + size[q] - both)) & (root[rows] != root[q])
+                # two asking documents of a band meet twice; once is enough
+                linked &= (root[rows] == major[rows]) | (doc[rows] > doc[q])
+                a += [doc[q]] * int(linked.sum())
+                b += doc[rows[linked]].tolist()
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between rows of different roots, each band's smaller components asking all rows."""
+    dealt = rows.join(bands, F.col("band") == F.col("key"))
+
+    def block(many: str) -> Column:
+        return F.pmod(F.xxhash64("doc"), F.col(many)).cast("int")
+
+    def each(many: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+
+    told = ["band", "doc", "root", "major"]
+    answer = dealt.select(*told, block("blocks").alias("block"), each("asked").alias("part"), F.lit(False).alias("asks"))
+    ask = dealt.where("root != major")
+    ask = ask.select(*told, each("blocks").alias("block"), block("asked").alias("part"), F.lit(True).alias("asks"))
+    full = answer.unionByName(ask).join(sets, "doc")
+    found = full.groupBy("band", "block", "part").applyInArrow(_across(percent), "a bigint, b bigint")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -144,46 +196,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     )
     wanted = members.select(F.col("doc").alias("doc_id")).distinct()
     sets = materialize(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(size), "doc bigint, shingles array<bigint>"))
-    links = None
-    open_rows, turn = members.withColumn("root", F.col("doc")), 0
-    while not open_rows.isEmpty():
-        place = F.pmod(F.xxhash64("doc"), F.lit(1 << turn))
-        centres = materialize(
-            open_rows.groupBy("band", place.alias("place")).agg(F.min(F.struct("doc", "n", "root")).alias("c")).select(
-                F.col("band").alias("key"), F.col("c.doc").alias("centre"), F.col("c.n").alias("n_c"), F.col("c.root").alias("root_c")
-            )
+    centres = materialize(
+        members.groupBy("band").agg(F.min(F.struct("doc", "n")).alias("c")).select(
+            F.col("band").alias("key"), F.col("c.doc").alias("centre"), F.col("c.n").alias("n_c")
         )
-        pairs = (
-            open_rows.join(centres, F.col("band") == F.col("key"))
-            .where((F.col("root") != F.col("root_c")) & (100 * F.least("n", "n_c") >= percent * F.greatest("n", "n_c")))
-            .select(
-                F.least("doc", "centre").alias("a"),
-                F.greatest("doc", "centre").alias("b"),
-                F.when(F.col("doc") < F.col("centre"), F.col("root")).otherwise(F.col("root_c")).alias("root_a"),
-                F.when(F.col("doc") < F.col("centre"), F.col("root_c")).otherwise(F.col("root")).alias("root_b"),
-            )
-            .distinct()
-        )
-        hits = materialize(_confirmed(pairs, sets, percent))
-        links = hits.select("a", "b") if links is None else links.unionByName(hits.select("a", "b"))
-        joined = components(hits.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        rest = open_rows.join(
-            centres.select("key", "centre"), (F.col("band") == F.col("key")) & (F.col("doc") == F.col("centre")), "left_anti"
-        )
-        rest = rest.join(joined.withColumnRenamed("root", "top"), F.col("root") == F.col("node"), "left").select(
-            "band", "doc", "n", F.coalesce("top", "root").alias("root")
-        )
-        rest = materialize(rest)
-        split = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        open_rows = materialize(
-            rest.join(split.select(moved(F.col("band")).alias("key")), moved(F.col("band")) == F.col("key"), "left_semi")
+    )
+    pairs = (
+        members.join(centres, F.col("band") == F.col("key"))
+        .where((F.col("doc") > F.col("centre")) & (100 * F.least("n", "n_c") >= percent * F.greatest("n", "n_c")))
+        .select(F.col("centre").alias("a"), F.col("doc").alias("b"))
+        .distinct()
+    )
+    near = materialize(_confirmed(pairs, sets, percent))
+    first = components(near)
+    rest = members.join(centres, (F.col("band") == F.col("key")) & (F.col("doc") == F.col("centre")), "left_anti")
+    rest = rest.join(first, F.col("doc") == F.col("node"), "left").select("band", "doc", "n", F.coalesce("root", "doc").alias("root"))
+    rest = materialize(rest)
+    tally = rest.groupBy("band", "root").agg(F.sum("n").alias("n"))
+    bands_left = tally.groupBy("band").agg(F.count("*").alias("roots"), F.max_by("root", "n").alias("major"), F.sum("n").alias("all_n"), F.max("n").alias("major_n"))
+    bands_left = materialize(
+        bands_left.where("roots > 1").select(
+            F.col("band").alias("key"),
+            "major",
+            (1 + F.floor(F.col("all_n") / BLOCK)).cast("int").alias("blocks"),
+            (1 + F.floor((F.col("all_n") - F.col("major_n")) / BLOCK)).cast("int").alias("asked"),
         )
-        turn += 1
+    )
+    links = near.unionByName(_in_blocks(rest, bands_left, sets, percent))
     labelled = sketches.select("doc_id", *same).join(classes, same, "left")
-    if links is None:
-        top = labelled.withColumn("root", F.col("rep"))
-    else:
-        top = labelled.join(components(links), F.col("rep") == F.col("node"), "left")
+    links = materialize(links)
+    top = labelled.join(components(links), F.col("rep") == F.col("node"), "left")
     return top.select(
         "doc_id",
         "n_shingles",

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voilage.llm import fingerprint, grammar, language, minhash, packing, quality, repeats
+from voilage.llm import fingerprint, grammar, language, licences, minhash, packing, quality, repeats, sentencepieces
 from voilage.llm.shared import table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR")  # where the public vocabulary files lie, if not in their package
@@ -39,6 +39,10 @@ def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     apart = language.held_out(F.col("doc_id"))
@@ -54,12 +58,18 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_pattern_packing": op3_pattern_packing,
     "op4_token_id_output": op4_token_id_output,
+    "op5_license_scans": op5_license_scans,
     "op6_language_id": op6_language_id,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
 }

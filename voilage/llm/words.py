@@ -114,7 +114,7 @@ def split(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: np.nd
     """Words of each text, as hashes of their bytes after folding."""
     hashes, starts, ends = [], [], []
     letters = _letters()
-    for at, to in _blocks(data, inside):
+    for at, to in _blocks(data, inside if fold is None else inside[fold]):
         x = data[at:to] if fold is None else fold[data[at:to]]
         is_word = inside[x]
         cuts = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, to, "left")] - at
