@@ -50,5 +50,22 @@ WITH lists AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
     sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
 FROM kept
+""",
+    "op10_embedding_near_dedup": r"""
+WITH RECURSIVE rows AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), fit AS (
+    SELECT vec_id, v FROM rows
+    WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        AND list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.95
+), reach(node, other) AS (
+    SELECT vec_id, vec_id FROM rows UNION SELECT node, b FROM reach JOIN links ON other = a
+)
+SELECT node AS vec_id, (SELECT count(*) FROM links WHERE a = node) AS n_links, min(other) AS component_id,
+    node = min(other) AS kept
+FROM reach GROUP BY node
 """,
 }

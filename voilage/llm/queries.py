@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voilage.llm import fingerprint, grammar, language, licences, minhash, packing, quality, repeats, sentencepieces
+from voilage.llm import fingerprint, grammar, language, licences, minhash, neighbours, packing, quality, repeats, sentencepieces
 from voilage.llm.shared import table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR")  # where the public vocabulary files lie, if not in their package
@@ -62,6 +62,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -72,4 +76,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
