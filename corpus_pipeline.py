@@ -1,10 +1,51 @@
-"""A training-corpus pipeline of five stages over the documents table."""
+"""A training-corpus pipeline of five stages over the documents table.
+
+Low quality goes, texts of no language go, one document of each near-duplicate group stays,
+passages that repeat across documents stay in the first of them only, and what is left is packed
+into sequences. Every stage but the last returns the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+
+from voilage.llm import language, minhash, packing, quality, repeats
+from voilage.llm.queries import tokenizer_file
+from voilage.llm.shared import materialize, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.keep_identified(docs)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one_of_each(docs)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("language identification", known_language),
+    ("near duplicates", without_near_duplicates),
+    ("repeated passages", without_repeated_passages),
+    ("packing", packed),
+]
+ORACLE_SQL = None  # SQL has no trained scorers and no tokenizer; tests/llm compares each stage with brute force
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ A small lead over the second codeword marks a text as ambiguous.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from voilage.llm import linear
 from voilage.llm import words as W
-from voilage.llm.shared import documents_only
+from voilage.llm.shared import documents_only, fresh, with_columns_schema
 
 SAMPLE = 2400
 LANGUAGES = 512
 AMBIGUOUS = 0.15
+REJECT_BELOW = 0.02  # lead below which a text has no language to speak of
 UNKNOWN = "und"
 
 
@@ -97,7 +98,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(rows, pa.binary())], names=["lang", "features"])
 
 
-def _predictions(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+TOLD = ("guess", "belief", "lead")
+
+
+def _predictions(model: Model, told: Sequence[str] = TOLD) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -110,7 +114,7 @@ def _predictions(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                         pa.array(belief.astype(float)),
                         pa.array(lead.astype(float)),
                     ],
-                    names=[*part.schema.names, "guess", "belief", "lead"],
+                    names=[*part.schema.names, *told],
                 )
 
     return run
@@ -141,3 +145,19 @@ def identify(docs: DataFrame, model: Model | None, keep_text: bool = False, leas
         F.when(letters, F.col("belief")).otherwise(0.0).alias("score"),
         (letters & (F.col("lead") < least_lead)).alias("ambiguous"),
     )
+
+
+def keep_identified(docs: DataFrame, least_lead: float = REJECT_BELOW) -> DataFrame:
+    """The rows of ``docs`` whose language is told with some lead, with all their columns.
+
+    Learns from the rows' own text and lang. Rejects texts without a letter and those that lie
+    between two languages; keeps the rest, everything with a letter if there is nothing to learn.
+    """
+    model = train(docs)
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    if model is None:
+        return docs.where(letters)
+    told = fresh(TOLD, docs.columns)
+    schema = with_columns_schema(docs, dict(zip(told, ("string", "double", "double"))))
+    scored = docs.mapInArrow(_predictions(model, told), schema)
+    return scored.where(letters & (F.col(told[2]) >= least_lead)).select(*[F.col(f"`{c}`") for c in docs.columns])

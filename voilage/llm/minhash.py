@@ -232,3 +232,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         F.coalesce("root", "rep", "doc_id").alias("component_id"),
         (F.coalesce("root", "rep", "doc_id") == F.col("doc_id")).alias("kept"),
     ).withColumn("kept", F.coalesce("kept", F.lit(True)))
+
+
+def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one document of each near-duplicate group.
+
+    The smallest doc_id of a group stays; of rows that repeat a doc_id one stays. Rows without
+    doc_id all stay, as they cannot be told apart.
+    """
+    verdicts = near_duplicates(docs, size, percent)
+    gone = materialize(verdicts.where("not kept").select(F.col("doc_id").alias("gone")).distinct())
+    twice = materialize(
+        verdicts.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice"))
+    )
+    left = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    if twice.isEmpty():
+        return left
+    once = left.join(twice, F.col("doc_id") == F.col("twice"), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(twice, F.col("doc_id") == F.col("twice"), "left_anti").unionByName(once)

@@ -10,7 +10,7 @@ show little: it is drawn towards the share of good texts.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from voilage.llm import linear
 from voilage.llm import words as W
-from voilage.llm.shared import documents_only
+from voilage.llm.shared import documents_only, fresh, with_columns_schema
 
 SAMPLE = 4000
 KEEP_FROM = 0.4
@@ -199,7 +199,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Scorer | None:
     return Scorer(belief, weights, offset)
 
 
-def _scores(scorer: Scorer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+TOLD = ("n_votes", "posterior", "score")
+
+
+def _scores(scorer: Scorer, told: Sequence[str] = TOLD) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -217,7 +220,7 @@ def _scores(scorer: Scorer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                         pa.array(scorer.belief.good(pattern(vote)).astype(float)),
                         pa.array(score),
                     ],
-                    names=[*part.schema.names, "n_votes", "posterior", "score"],
+                    names=[*part.schema.names, *told],
                 )
 
     return run
@@ -239,3 +242,18 @@ def judge(docs: DataFrame, scorer: Scorer | None, keep_from: float = KEEP_FROM,
     blank = F.col("text").isNull() | ~F.col("text").rlike(r"\S")
     score = F.when(blank, 0.0).otherwise(F.col("score"))
     return told.select(*kept, "n_votes", "posterior", score.alias("score"), (~blank & (score >= keep_from)).alias("keep"))
+
+
+def keep_good(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of ``docs`` that the scorer trained on them keeps, with all their columns.
+
+    Rejects what ``judge`` does not keep. Columns may have any names besides doc_id and text.
+    """
+    scorer = train(docs)
+    blank = F.col("text").isNull() | ~F.col("text").rlike(r"\S")
+    if scorer is None:
+        return docs.where(~blank)
+    told = fresh(TOLD, docs.columns)
+    schema = with_columns_schema(docs, dict(zip(told, ("int", "double", "double"))))
+    scored = docs.mapInArrow(_scores(scorer, told), schema)
+    return scored.where(~blank & (F.col(told[2]) >= keep_from)).select(*[F.col(f"`{c}`") for c in docs.columns])

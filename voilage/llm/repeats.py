@@ -241,29 +241,53 @@ def _changes(texts: DataFrame, sketches: DataFrame, window: int) -> DataFrame:
     return copies.unionByName(kept)
 
 
-def removed_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (and text, the kept words).
-
-    Words stand between ASCII white space and are compared as they are. A word goes if it is in a
-    run of ``window`` words that also starts in a row with a smaller doc_id; all runs are judged
-    on the input. A null or empty text has no words. A row without doc_id is neither compared nor
-    changed. Rows that repeat a doc_id are judged alike, each by the smaller ids. With ``keep_text``
-    a text that loses nothing stays as it is, white space included.
-    """
+def _judged(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """One sketch per row, and the changes to the rows that lose words."""
     texts = documents_only(docs, "doc_id", "text").withColumn("digest", digest(F.col("text")))
     sketches = materialize(
         texts.select("doc_id", "digest", "text").mapInArrow(
             _sketches(window), "doc_id bigint, digest binary, n_words bigint, runs array<bigint>, sha string"
         )
     )
-    changes = materialize(_changes(texts, sketches, window))
-    if keep_text:
-        joined = texts.join(changes, ["doc_id", "digest"], "left")
-        return joined.select(
-            "doc_id",
-            F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
-            F.coalesce("kept_text", "text").alias("text"),
-        )
+    return sketches, materialize(_changes(texts, sketches, window))
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with repeated words taken out of text, and n_chars, if there, counted anew.
+
+    Judges like ``removed_repeats``. Texts that lose nothing stay as they are, white space
+    included; kept words of others are joined by one space. Rows that lose all their words go.
+    """
+    _, changes = _judged(docs, window)
+    told = changes.select(
+        F.col("doc_id").alias("_changed"), F.col("digest").alias("_digest"), F.col("kept_text").alias("_kept")
+    )
+    here = {c: f"_doc{i}" for i, c in enumerate(docs.columns)}  # any name may occur in docs
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in here.items()])
+    key, text = F.col(here["doc_id"]).cast("bigint"), F.col(here["text"])
+    joined = plain.join(told, (key == F.col("_changed")) & (digest(text) == F.col("_digest")), "left")
+    new = F.coalesce("_kept", text)
+    columns = []
+    for c, n in here.items():
+        if c == "text":
+            columns.append(new.alias(c))
+        elif c == "n_chars":
+            kind = docs.schema[c].dataType
+            columns.append(F.when(F.col("_kept").isNull(), F.col(n)).otherwise(F.length(new)).cast(kind).alias(c))
+        else:
+            columns.append(F.col(n).alias(c))
+    return joined.where("_kept is null or _kept <> ''").select(*columns)
+
+
+def removed_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256.
+
+    Words stand between ASCII white space and are compared as they are. A word goes if it is in a
+    run of ``window`` words that also starts in a row with a smaller doc_id; all runs are judged
+    on the input. A null or empty text has no words. A row without doc_id is neither compared nor
+    changed. Rows that repeat a doc_id are judged alike, each by the smaller ids.
+    """
+    sketches, changes = _judged(docs, window)
     told = changes.select("doc_id", "digest", "n_removed", F.sha2("kept_text", 256).alias("new_sha"))
     return sketches.join(told, ["doc_id", "digest"], "left").select(
         "doc_id",

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voilage.session import materialize
 
-__all__ = ["components", "documents_only", "materialize", "moved", "table"]
+__all__ = ["components", "documents_only", "fresh", "materialize", "moved", "table", "with_columns_schema"]
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,23 @@ def documents_only(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`").cast("bigint" if c == "doc_id" else "string").alias(c) for c in columns])
 
 
+def fresh(names: Sequence[str], taken: Sequence[str]) -> list[str]:
+    """The names, with underscores added where a column is called so already."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_columns_schema(df: DataFrame, more: dict[str, str]) -> T.StructType:
+    """The schema of ``df`` with further columns."""
+    added = [T.StructField(name, T.DataType.fromDDL(kind), True) for name, kind in more.items()]
+    return T.StructType([*df.schema.fields, *added])
+
+
 def moved(key: Column) -> Column:
     """The key in other clothes.
 
