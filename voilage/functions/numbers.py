@@ -40,9 +40,13 @@ def parse_unsigned(c: Column) -> Column:
 
 
 def floor_text(x: Column) -> Column:
-    """``x`` rounded down, in decimal digits; NULL from 1e38 on."""
+    """``x`` rounded down, in decimal digits; NULL from 1e38 on.
+
+    Below 1e18 a floor is a 64-bit number; from 2**53 on a number has no fraction, so the
+    decimal of a larger one is its floor.
+    """
     return F.coalesce(
-        F.floor(_where(x, F.abs(x) < 1e15)).cast("string"),
+        F.floor(_where(x, F.abs(x) < 1e18)).cast("string"),
         x.try_cast("decimal(38,0)").cast("string"),
     )
 
@@ -52,19 +56,25 @@ def bin_income(c: Column, step: int = fixed.INCOME_STEP) -> Column:
     if step <= 0 or step % 1000:
         raise ValueError("the bin width must be a positive multiple of 1000")
     thousands = step // 1000
-    share = parse_amount(c) / float(step)
+    amount = parse_amount(c)
 
     def label(index: Column) -> Column:
         low, high = index * thousands, (index + 1) * thousands
         return F.concat(low.cast("string"), F.lit("–"), high.cast("string"), F.lit("k"))
 
     return F.coalesce(
-        label(F.floor(_where(share, F.abs(share) < 1e14))),
-        label(share.try_cast("decimal(30,0)")),
+        label(F.floor(_where(amount, F.abs(amount) < 2.0**53) / float(step))),
+        label(_floor_div(amount.try_cast("decimal(30,0)"), step)),
         F.when(c.isNotNull(), F.lit("")),
     )
 
 
+def _floor_div(whole: Column, step: int) -> Column:
+    """A whole decimal divided by ``step`` and rounded down, digit for digit."""
+    rest = F.pmod(whole, F.lit(step).cast("decimal(10,0)"))
+    return ((whole - rest) / F.lit(step).cast("decimal(10,0)")).cast("decimal(30,0)")
+
+
 def _limit_text(limit: float) -> str:
     return str(int(limit)) if float(limit).is_integer() else repr(float(limit))
 

@@ -126,9 +126,14 @@ def risk_report(df: DataFrame, roles: Roles, *, compat: bool = False) -> DataFra
 
 def fixed_file_job(
     spark: SparkSession, source: str, target: str | None = None, *, salt: str | None = None, bom: bool = True,
-    sniff: str = "head",
+    sniff: str = "head", multiline: bool = True,
 ) -> str:
-    """Apply the fixed client rules to delimited files; returns where the result is."""
+    """Apply the fixed client rules to delimited files; returns where the result is.
+
+    Line ends inside quotes are kept, for which a file is read by one task;
+    ``multiline=False`` splits files that have none.
+    """
     target = target or anonymized_name(source)
-    write_csv(fixed_rules(read_delimited(spark, source, sniff=sniff), salt), target, bom=bom, allow_empty=True)
+    rows = read_delimited(spark, source, sniff=sniff, multiline=multiline)
+    write_csv(fixed_rules(rows, salt), target, bom=bom, allow_empty=True)
     return target

@@ -2,83 +2,143 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import codecs
+import csv
+from collections.abc import Iterator, Sequence
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voilage.columns import field, text_or_empty
 from voilage.functions.delimited import delimiter_of, first_line, header_names, looks_like_header
+from voilage.session import materialize
 
-HEAD_BYTES = 64 * 1024
-# Dialects (delimiter and header) one folder may mix; each costs one scan node.
-MAX_DIALECTS = 200
-_UNEVEN = "_uneven_row"
+HEAD_BYTES = 64 * 1024  # the delimiter is judged by the first line within these; a header may be longer
 
 
-def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, length) of the files below ``path``: a listing, no content is read."""
-    paths = [path] if isinstance(path, str) else list(path)
-    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "length")
+# --- the first record of a file ------------------------------------------------------
 
 
-def _read_head(file: str) -> str:
-    """The start of one file, inside a task. Spark gives paths unescaped."""
+def record_end(text: str, delimiter: str, at: int = 0) -> int:
+    """Where the record that starts at ``at`` ends: at a line end outside quotes, or -1 if none is there.
+
+    A quote opens a quoted cell only at the cell's start; a doubled quote stays inside.
+    """
+    n = len(text)
+    while at < n:
+        if text[at] == '"':
+            at = text.find('"', at + 1)
+            while 0 <= at < n - 1 and text[at + 1] == '"':
+                at = text.find('"', at + 2)
+            if at < 0:
+                return -1
+            at += 1
+        line, cell = text.find("\n", at), text.find(delimiter, at)
+        if cell < 0 or 0 <= line < cell:
+            return line
+        at = cell + 1
+    return -1
+
+
+def _delimiter(text: str) -> str:
+    """The most frequent of comma, semicolon and tab in the first line; ties go in that order."""
+    line = text.split("\n", 1)[0]
+    return max(",;\t", key=lambda d: (line.count(d), -",;\t".index(d)))
+
+
+def header_cells(record: str, delimiter: str) -> list[str]:
+    """The cells of one record; quotes around a cell are taken off and doubled quotes are one."""
+    csv.field_size_limit(1 << 30)
+    return next(csv.reader([record], delimiter=delimiter, quotechar='"', doublequote=True), [])
+
+
+def _first_record(stream) -> tuple[str, str, bool]:
+    """(first 64 KiB, first record, whether something follows it), reading no further than needed."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    head = text = decoder.decode(stream.read(HEAD_BYTES)).removeprefix("\ufeff")
+    step, ended, delimiter = HEAD_BYTES, len(text) == 0, _delimiter(head)
+    while True:
+        start = len(text) - len(text.lstrip("\r\n"))
+        end = record_end(text, delimiter, start)
+        if ended or (end >= 0 and text[end:].strip("\r\n")):
+            record = text[start : end if end >= 0 else len(text)]
+            return head, record.rstrip("\r"), end >= 0 and bool(text[end:].strip("\r\n"))
+        block = stream.read(step)
+        ended, step = not block, step * 2
+        text += decoder.decode(block, final=ended)
+
+
+def _open(file: str):
+    """One file's bytes, inside a task. Spark gives paths unescaped."""
     from pyarrow import fs
 
     scheme, _, rest = file.partition(":")
     if scheme == "file":
-        store, inner = fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    else:
-        store, inner = fs.FileSystem.from_uri(scheme + ":" + quote(rest))
-    with store.open_input_file(inner) as stream:
-        return stream.read(HEAD_BYTES).decode("utf-8", "replace")
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+    store, inner = fs.FileSystem.from_uri(scheme + ":" + quote(rest))
+    return store.open_input_stream(inner)
 
 
 def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"file": batch["file"], "head": [_read_head(f) for f in batch["file"]]})
+        rows = []
+        for file in batch["file"]:
+            with _open(file) as stream:
+                rows.append((file, *_first_record(stream)))
+        yield pd.DataFrame(rows, columns=["file", "head", "record", "more"])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _cells_of(records: pd.Series, delimiters: pd.Series) -> pd.Series:
+    return pd.Series([header_cells(r, d) for r, d in zip(records, delimiters)])
+
+
+def _file_name() -> Column:
+    """The path of a row's file, as a listing spells it."""
+    encoded = F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))
+    return F.regexp_replace(F.url_decode(encoded), "^file:/+", "file:/")
 
 
-def _heads_by_file(spark: SparkSession, path: str | list[str], method: str) -> DataFrame:
-    """(file, line, more): each file's first line, and whether another filled line follows."""
+def _records(spark: SparkSession, path: str | list[str], method: str) -> DataFrame:
+    """(file, line, record, more): each file's first line and record, and whether another filled line follows."""
     if method == "head":
-        heads = _files(spark, path).select("file").mapInPandas(_heads, "file string, head string")
-        more = F.col("head").rlike(r"\A[^\n]*\n[\r\n]*[^\r\n]")
-        return heads.select("file", first_line(F.col("head")).alias("line"), more.alias("more"))
+        paths = [path] if isinstance(path, str) else list(path)
+        files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"))  # a listing, no content
+        heads = files.mapInPandas(_heads, "file string, head string, record string, more boolean")
+        return heads.select("file", first_line(F.col("head")).alias("line"), "record", "more")
     if method == "scan":
-        place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("i"))
-        encoded = F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))
-        file = F.regexp_replace(F.url_decode(encoded), "^file:/+", "file:/")
         lines = spark.read.text(path).select(
-            file.alias("file"), place.alias("place"), F.col("value").alias("line")
+            _file_name().alias("file"),
+            (F.col("_metadata.file_block_start") == 0).alias("starts"),
+            F.monotonically_increasing_id().alias("i"),
+            F.col("value").alias("line"),
         )
-        return lines.groupBy("file").agg(
-            first_line(F.min_by("line", "place")).alias("line"), (F.count_if(F.col("line") != "") > 1).alias("more")
+        filled = F.col("line") != ""
+        # numbers only are folded; the few first lines are fetched by their number
+        first = lines.groupBy("file").agg(
+            F.min(F.when(F.col("starts") & filled, F.col("i"))).alias("i"), (F.count_if(filled) > 1).alias("more")
         )
+        named = first.join(lines.select(F.col("i").alias("j"), "line"), F.col("i") == F.col("j"), "left")
+        line = F.coalesce(first_line(F.col("line")), F.lit(""))
+        return named.select("file", line.alias("line"), line.alias("record"), "more")
     raise ValueError("method is 'head' or 'scan'")
 
 
 def sniff_delimiters(spark: SparkSession, path: str | list[str], method: str = "head") -> DataFrame:
     """(file, delimiter, has_header, columns) for every file below ``path``.
 
-    ``head`` reads the first 64 KiB of each file inside Spark tasks. ``scan`` reads
-    the files through Spark's own text source, for stores only that can reach.
+    ``head`` reads each file inside Spark tasks up to the end of its first record, line ends in
+    quotes included. ``scan`` reads the files through Spark's own text source, for stores only
+    that can reach; there a header is one line.
     """
-    lines = _heads_by_file(spark, path, method).withColumn("delimiter", delimiter_of(F.col("line")))
-    return _with_header(lines)
-
-
-def _with_header(lines: DataFrame) -> DataFrame:
-    """The first line as a header. Only a file of one single line may have none."""
-    cells = F.split("line", F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E")))
-    unquoted = F.transform(cells, lambda c: F.regexp_replace(c, '^"(.*)"$', "$1"))
+    lines = _records(spark, path, method).withColumn("delimiter", delimiter_of(F.col("line")))
+    cells = lines.withColumn("cells", _cells_of("record", "delimiter"))
+    # only a file of one single record may have no header
     named = F.col("more") | looks_like_header(F.col("cells"))
-    return lines.withColumn("cells", unquoted).select(
+    return cells.select(
         "file",
         "delimiter",
         named.alias("has_header"),
@@ -86,6 +146,28 @@ def _with_header(lines: DataFrame) -> DataFrame:
     )
 
 
+# --- scanning ------------------------------------------------------------------------
+
+
+def distinct_names(names: Sequence[str]) -> list[str]:
+    """Column names that differ even without regard to case: repeated ones are numbered, empty ones named by place."""
+    used, out = set(), []
+    for i, name in enumerate(names):
+        name = name or f"Col {i + 1}"
+        unique, n = name, 1
+        while unique.lower() in used:
+            n += 1
+            unique = f"{name}_{n}"
+        used.add(unique.lower())
+        out.append(unique)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _distinct_names(columns: pd.Series) -> pd.Series:
+    return pd.Series([distinct_names(list(c)) for c in columns])
+
+
 def text_schema(columns: list[str]) -> T.StructType:
     """Every column as text; types are never inferred."""
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -97,48 +179,58 @@ def read_delimited(
     *,
     delimiter: str | None = None,
     columns: list[str] | None = None,
-    multiline: bool = False,
+    multiline: bool = True,
     sniff: str = "head",
 ) -> DataFrame:
     """Delimited files as text columns.
 
     A short row leaves its missing cells NULL, an empty cell is empty text, extra
     cells and blank lines are dropped. Give ``delimiter`` and ``columns`` to skip the
-    sniffing. ``multiline`` allows line ends inside quotes, but then a file is read by
-    a single task. Files of different dialect or header are read apart and put
-    together by column name.
+    sniffing. A repeated column name gets a number. Line ends inside quotes are kept
+    at the price of one task per file; ``multiline=False`` splits large files where
+    no cell holds a line end.
+
+    Files may differ in delimiter and header. There is one scan per delimiter (and per
+    having a header or not); files of different headers in it are read as numbered
+    cells, and each row's cells are named by its own file's header.
     """
     if delimiter and columns:
         return _scan(spark, path, delimiter, columns, True, multiline)
     found = sniff_delimiters(spark, path, sniff)
-    kind = ("delimiter", "has_header", "columns")
-    dialects = found.select(*kind).distinct().limit(MAX_DIALECTS + 1).collect()
+    found = found.withColumn("columns", F.array(*map(F.lit, columns)) if columns else _distinct_names("columns"))
+    found = materialize(found.withColumn("delimiter", F.lit(delimiter)) if delimiter else found)
+    dialects = found.groupBy("delimiter", "has_header").agg(
+        F.max(F.size("columns")).alias("width"), F.min("columns").alias("columns"), (F.min("columns") == F.max("columns")).alias("alike")
+    )
+    dialects = dialects.orderBy("delimiter", "has_header").collect()  # at most six
     if not dialects:
         raise ValueError("no file to read")
-    if len(dialects) > MAX_DIALECTS:
-        raise ValueError(f"more than {MAX_DIALECTS} different headers below one path; read them apart")
-    places = {tuple(map(str, d)): path for d in dialects}
-    if len(dialects) > 1:
-        # names only, and a reader lists its files on the driver anyhow
-        places = {place: [] for place in places}
-        for file in found.orderBy("file").toLocalIterator():
-            places[tuple(str(file[k]) for k in kind)].append(_literal(file["file"]))
-    parts = [
-        _scan(
-            spark, places[tuple(map(str, d))], delimiter or d["delimiter"], columns or list(d["columns"]),
-            d["has_header"], multiline,
-        )
-        for d in sorted(dialects, key=lambda d: min(places[tuple(map(str, d))]))
-    ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part, allowMissingColumns=True)
+    if len(dialects) == 1 and dialects[0]["alike"]:
+        d = dialects[0]
+        return _scan(spark, path, d["delimiter"], list(d["columns"]), d["has_header"], multiline)
+    # the schema: every name once, in the order of files and places
+    every = found.select("file", F.posexplode("columns").alias("i", "name"))
+    order = every.groupBy(F.lower("name").alias("key")).agg(F.min(F.struct("file", "i", "name")).alias("first")).orderBy("first")
+    names = [r["first"]["name"] for r in order.collect()]
+    places = F.array(*[F.array_position(F.transform("columns", F.lower), F.lit(n.lower())) - 1 for n in names])
+    files = found.select(F.col("file").alias("_file"), "delimiter", "has_header", places.alias("_places"))
+    whole = None
+    for d in dialects:
+        own = files.where((F.col("delimiter") == d["delimiter"]) & (F.col("has_header") == d["has_header"]))
+        cells = [f"c{i}" for i in range(d["width"])]
+        rows = _scan(spark, path, d["delimiter"], cells, d["has_header"], multiline, with_file=True)
+        rows = rows.withColumn("_cells", F.array(*cells)).join(own.select("_file", "_places"), "_file")
+        part = rows.select(*[F.get("_cells", F.get("_places", F.lit(i)).cast("int")).alias(n) for i, n in enumerate(names)])
+        whole = part if whole is None else whole.unionByName(part)
     return whole
 
 
-def _literal(file: str) -> str:
-    """A path that the reader must not take for a pattern."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", file)
+def uneven_name(columns: Sequence[str]) -> str:
+    """A name for the raw text of uneven rows that no column has."""
+    name, used = "_uneven_row", {c.lower() for c in columns}
+    while name in used:
+        name += "_"
+    return name
 
 
 def dialect(reader, delimiter: str, columns: list[str], header: bool = True, multiline: bool = False):
@@ -146,9 +238,10 @@ def dialect(reader, delimiter: str, columns: list[str], header: bool = True, mul
 
     Column pruning stays off in the parser: with it, an uneven row goes unnoticed.
     """
+    uneven = uneven_name(columns)
     return (
-        reader.schema(text_schema([*columns, _UNEVEN]))
-        .option("columnNameOfCorruptRecord", _UNEVEN)
+        reader.schema(text_schema([*columns, uneven]))
+        .option("columnNameOfCorruptRecord", uneven)
         .option("columnPruning", False)
         .option("sep", delimiter)
         .option("quote", '"')
@@ -156,30 +249,39 @@ def dialect(reader, delimiter: str, columns: list[str], header: bool = True, mul
         .option("header", header)
         .option("enforceSchema", True)
         .option("multiLine", multiline)
+        .option("maxColumns", max(20480, len(columns) + 2))
         .option("mode", "PERMISSIVE")
         .option("emptyValue", "")
     )
 
 
-def tell_empty_from_absent(df: DataFrame, delimiter: str) -> DataFrame:
-    """The reader gives NULL for an empty cell; only cells a short row lacks stay NULL."""
-    columns = [c for c in df.columns if c != _UNEVEN]
-    bare = F.regexp_replace(field(_UNEVEN), '"(?:[^"]|"")*"', "")
+def tell_empty_from_absent(df: DataFrame, delimiter: str, columns: list[str]) -> DataFrame:
+    """The reader gives NULL for an empty cell; only cells a short row lacks stay NULL.
+
+    The number of an uneven row's cells is counted once per row. A doubled quote is two quoted
+    pieces side by side, so quoted text is passed over without recursion, however long it is.
+    """
+    uneven = uneven_name(columns)
+    bare = F.regexp_replace(field(uneven), '"[^"]*+"', "")
     last = F.length(bare) - F.length(F.translate(bare, delimiter, ""))
-    short = F.when(field(_UNEVEN).isNotNull(), last)
-    return df.select(
-        *[
-            F.when(field(c).isNull() & (F.coalesce(short, F.lit(i)) >= i), F.lit("")).otherwise(field(c)).alias(c)
-            for i, c in enumerate(columns)
-        ]
-    )
+    counted = df.withColumn(uneven, F.coalesce(last, F.lit(len(columns))))
+    cells = {c: F.when(field(c).isNull() & (field(uneven) >= i), F.lit("")).otherwise(field(c)) for i, c in enumerate(columns)}
+    return counted.select(*[cells[c].alias(c) if c in cells else field(c) for c in df.columns if c != uneven])
 
 
 def _scan(
-    spark: SparkSession, path: str | list[str], delimiter: str, columns: list[str], header: bool, multiline: bool
+    spark: SparkSession,
+    path: str | list[str],
+    delimiter: str,
+    columns: list[str],
+    header: bool,
+    multiline: bool,
+    with_file: bool = False,
 ) -> DataFrame:
     cells = dialect(spark.read, delimiter, columns, header, multiline).csv(path)
-    return tell_empty_from_absent(cells, delimiter)
+    if with_file:
+        cells = cells.select("*", _file_name().alias("_file"))
+    return tell_empty_from_absent(cells, delimiter, columns)
 
 
 def preview(df: DataFrame, rows: int | None = 200) -> DataFrame:

@@ -18,12 +18,16 @@ from voilage.sources.delimited import dialect, tell_empty_from_absent
 
 
 def stream_delimited(
-    spark: SparkSession, path: str, columns: list[str], delimiter: str = ",", max_files: int | None = None
+    spark: SparkSession, path: str, columns: list[str], delimiter: str = ",", max_files: int | None = None,
+    *, multiline: bool = True,
 ) -> DataFrame:
-    """New delimited files below ``path`` as they arrive, every cell text."""
-    reader = dialect(spark.readStream, delimiter, columns)
+    """New delimited files below ``path`` as they arrive, every cell text.
+
+    Line ends inside quotes are kept at the price of one task per file.
+    """
+    reader = dialect(spark.readStream, delimiter, columns, multiline=multiline)
     cells = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).csv(path)
-    return tell_empty_from_absent(cells, delimiter)
+    return tell_empty_from_absent(cells, delimiter, columns)
 
 
 def stream_parquet(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
