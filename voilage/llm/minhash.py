@@ -226,12 +226,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     labelled = sketches.select("doc_id", *same).join(classes, same, "left")
     links = materialize(links)
     top = labelled.join(components(links), F.col("rep") == F.col("node"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return top.select(
         "doc_id",
         "n_shingles",
-        F.coalesce("root", "rep", "doc_id").alias("component_id"),
-        (F.coalesce("root", "rep", "doc_id") == F.col("doc_id")).alias("kept"),
-    ).withColumn("kept", F.coalesce("kept", F.lit(True)))
+        component.alias("component_id"),
+        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+    )
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
