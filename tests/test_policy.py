@@ -150,4 +150,6 @@ def test_dictionary_and_preset(catalog):
     assert row["rule"]["action"] == "pseudonymize" and row["bucket"] == "Élevé" and "mask" in row["actions"]
     assert preset() == Settings()
     assert (Settings(k_anon=0).k, Settings(k_anon=1).k, Settings(l_div=0).l, Settings(t_close=-1).t) == (2, 2, 1, 0)
-    assert Settings(epsilon=0).noise_epsilon == 2
+    assert Settings(epsilon=None).noise_epsilon == 2
+    with pytest.raises(ValueError, match="epsilon"):
+        Settings(epsilon=0).noise_epsilon

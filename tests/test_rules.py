@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from voilage import Roles, Rule, Settings, apply_rules, fixed_rules, search_columns, treat_rows, with_helpers
 from voilage.functions import register_action
 from voilage.functions.actions import ACTIONS
+from voilage.plans.jobs import without_options
 
 ROLES = Roles(id="id", postal="cp", date1="date", revenue="revenu", sensitive="statut", qids=("date", "cp", "revenu"))
 SCHEMA = "id string, courriel string, cp string, date string, revenu string, statut string"
@@ -96,8 +98,18 @@ def test_every_action(people):
     assert rows[None] == [None] * 5
 
 
+def test_rule_options_act(people):
+    rows = apply_rules(people, {"date": Rule("generalize", {"granularity": "year"}), "id": Rule("pseudonymize", {"salt": "s"})}).collect()
+    assert [r["date"] for r in rows] == ["1998", "", None]
+    assert rows[0]["id"] == hmac.new(b"s", b"1", "sha256").hexdigest()[:12]
+    with pytest.raises(ValueError, match="epsilon"):
+        apply_rules(people, {"revenu": Rule("noise", {"epsilon": 0})})
+    plain = without_options({"date": Rule("generalize", {"granularity": "year"}), "x": Rule("noise", {"epsilon": 1, "round": 10})})
+    assert plain == {"date": Rule("generalize"), "x": Rule("noise")}
+
+
 def test_generalize_without_known_type_changes_nothing(people):
-    for param in (None, {"granularity": "year"}, {"type": "income-bin"}):
+    for param in (None, {"granularity": "week"}, {"type": "income-bin"}):
         rows = apply_rules(people, {"date": Rule("generalize", param)}).collect()
         assert [r["date"] for r in rows] == ["1998-11-02", "", None]
 

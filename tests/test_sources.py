@@ -6,9 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voilage import preview, read_delimited, sniff_delimiters, synth_clients
+from voilage import Roles, anonymize, preview, read_delimited, sniff_delimiters, synth_clients
+from voilage.plans.jobs import fixed_file_job
+from voilage.sinks.files import anonymized_name
 from voilage.sources import synthetic
 from voilage.sources.delimited import count_rows, sample
+from voilage.streaming.files import start, stream_delimited
 
 BOM = "﻿".encode()
 
@@ -140,3 +143,78 @@ def test_generator_plausible(spark):
     assert bad.count() == 0
     with pytest.raises(ValueError):
         synth_clients(spark, 1, seed=0)
+
+
+def put(folder, name, text):
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_text(text, encoding="utf-8")
+    return str(folder)
+
+
+def test_header_longer_than_the_first_block(spark, tmp_path):
+    names = [f"column_number_{i}" for i in range(8000)]
+    path = put(tmp_path / "wide", "a.csv", ",".join(names) + "\n" + ",".join(map(str, range(8000))) + "\n")
+    df = read_delimited(spark, path)
+    assert df.columns == names and df.select(names[-1]).first()[0] == "7999"
+
+
+def test_header_with_quotes_line_ends_and_repeated_names(spark, tmp_path):
+    path = put(tmp_path / "q", "a.csv", '"Last, First",id,ID,"say ""x""",,"two\nlines"\nA,1,2,3,4,5\n')
+    df = read_delimited(spark, path)
+    assert df.columns == ["Last, First", "id", "ID_2", 'say "x"', "Col 5", "two\nlines"]
+    assert list(df.first()) == ["A", "1", "2", "3", "4", "5"]
+
+
+def test_identifier_behind_a_quoted_header_is_hashed(spark, tmp_path):
+    path = put(tmp_path / "raw", "a.csv", '"Nom, Prenom",id_client\n"Roy, Jo",123\n')
+    done = read_delimited(spark, fixed_file_job(spark, path + "/", str(tmp_path / "out"), salt="change-me-salt"))
+    assert list(done.first()) == ["Roy, Jo", "884fa0900172"]
+
+
+def test_line_ends_in_quotes_stay_in_their_cell(spark, tmp_path):
+    path = put(tmp_path / "lines", "a.csv", 'id,adresse,revenu_annuel\n1,"12 rue\nKing",50000\n')
+    assert list(read_delimited(spark, path).first()) == ["1", "12 rue\nKing", "50000"]
+    done = read_delimited(spark, fixed_file_job(spark, path, str(tmp_path / "done")))
+    assert list(done.first()) == ["1", "12 rue\nKing", "40-60k"]
+    (tmp_path / "in").mkdir()
+    stream = stream_delimited(spark, path, ["id", "adresse", "revenu_annuel"])
+    start(stream, str(tmp_path / "streamed"), str(tmp_path / "checkpoint"), file_format="parquet").wait()
+    assert list(spark.read.parquet(str(tmp_path / "streamed")).first()) == ["1", "12 rue\nKing", "40-60k"]
+
+
+def test_short_row_with_a_very_long_quoted_cell(spark, tmp_path):
+    cell = 'x""y ' * 60000
+    path = put(tmp_path / "long", "a.csv", f'id,text,last\n1,"{cell}"\n2,,\n3,"a,b",\n')
+    rows = {r[0]: r for r in read_delimited(spark, path).collect()}
+    assert rows["1"][1] == cell.replace('""', '"') and rows["1"][2] is None
+    assert list(rows["2"]) == ["2", "", ""] and list(rows["3"]) == ["3", "a,b", ""]
+
+
+def test_more_headers_than_any_limit(spark, tmp_path):
+    for i in range(230):
+        put(tmp_path / "many", f"{i}.csv", f"id{'|' if i < 0 else ','}c{i % 226}\n{i},v{i}\n")
+    df = read_delimited(spark, str(tmp_path / "many"), multiline=False)
+    assert len(df.columns) == 227
+    rows = {r["id"]: r.asDict() for r in df.collect()}
+    assert len(rows) == 230 and rows["7"]["c7"] == "v7" and rows["7"]["c8"] is None and rows["229"]["c3"] == "v229"
+
+
+def test_files_of_several_delimiters_and_one_without_header(spark, tmp_path):
+    put(tmp_path / "mix", "a.csv", "id;nom\n1;x\n2;\n")
+    put(tmp_path / "mix", "b.csv", "nom,id,autre\ny,3,z\nw,4\n")
+    put(tmp_path / "mix", "c.csv", "7,8,9")
+    rows = sorted((r.asDict() for r in read_delimited(spark, str(tmp_path / "mix")).collect()), key=repr)
+    told = {(r["id"], r["nom"], r["autre"], r["Col 1"]) for r in rows}
+    assert told == {("1", "x", None, None), ("2", "", None, None), ("3", "y", "z", None), ("4", "w", None, None), (None, None, None, "7")}
+
+
+def test_own_columns_of_reserved_names(spark, tmp_path):
+    path = put(tmp_path / "names", "a.csv", "_uneven_row,b\n1,2\n3\n")
+    assert [list(r) for r in read_delimited(spark, path).collect()] == [["1", "2"], ["3", None]]
+    df = spark.createDataFrame([("1", "a")], "_q0 string, x string")
+    with pytest.raises(ValueError, match="rename"):
+        anonymize(df, Roles(qids=("x",)))
+
+
+def test_output_name_of_a_folder():
+    assert anonymized_name("s3://landing/clients/") == "s3://landing/clients-anon.csv"

@@ -84,7 +84,11 @@ class Settings:
 
     @property
     def noise_epsilon(self) -> float:
-        return float(self.epsilon or 2)
+        """The noise's budget. 0 would mean no protection at all, and is refused."""
+        epsilon = 2.0 if self.epsilon is None else float(self.epsilon)
+        if epsilon <= 0:
+            raise ValueError("epsilon must be above 0; switch the noise off to publish amounts as they are")
+        return epsilon
 
     def exported(self) -> dict[str, Any]:
         """Everything that may leave the job, so all but the noise seed."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column
@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from voilage.config import Rule, Settings
 from voilage.columns import field
-from voilage.functions.noise import noisy_amount, uniform_draw
-from voilage.functions.numbers import income_below
-from voilage.functions.text import fsa, mask_simple, sha256_hex, year_or_empty
+from voilage.functions.noise import noisy_amount, rounded_amount, uniform_draw
+from voilage.functions.numbers import bin_income, income_below
+from voilage.functions.text import fsa, hmac12, mask_simple, sha256_hex, year_or_empty
 
 
 @dataclass(frozen=True)
@@ -34,17 +34,29 @@ class Noise:
         parts = [F.lit(purpose), *(field(r) for r in self.record), c]
         return noisy_amount(c, self.epsilon, uniform_draw(self.seed, *parts))
 
+    def by_rule(self, c: Column, rule: Rule, name: str) -> Column:
+        """Noise with the rule's own ``epsilon`` and ``round``, where it has them."""
+        param = rule.param or {}
+        epsilon = float(param["epsilon"]) if param.get("epsilon") is not None else self.epsilon
+        if epsilon <= 0:
+            raise ValueError("epsilon must be above 0")
+        noised = replace(self, epsilon=epsilon).on(c, f"rule:{name}")
+        return rounded_amount(noised, param["round"]) if param.get("round") else noised
+
 
 Builder = Callable[[Column, Rule, Noise, str], Column]
 
 
 def generalize(c: Column, param: dict[str, Any] | None) -> Column:
-    """Coarsen by ``param['type']``: date-year, postal-fsa or income-bin.
+    """Coarsen by ``param['type']`` (date-year, postal-fsa, income-bin) or ``param['granularity']`` (year, postal_fsa, bin).
 
-    Any other type, or an income-bin without thresholds, leaves the value alone.
+    Both spellings act. Any other value, or an income-bin without thresholds, leaves the cell
+    alone; the granularity ``bin`` without thresholds takes the fixed bins.
     """
     param = param or {}
-    kind = param.get("type")
+    kind = param.get("type") or {"year": "date-year", "postal_fsa": "postal-fsa"}.get(param.get("granularity"))
+    if kind is None and param.get("granularity") == "bin":
+        return bin_income(c) if param.get("thresholds") is None else income_below(c, param["thresholds"])
     if kind == "date-year":
         return year_or_empty(c)
     if kind == "postal-fsa":
@@ -54,13 +66,19 @@ def generalize(c: Column, param: dict[str, Any] | None) -> Column:
     return c
 
 
+def pseudonym(c: Column, param: dict[str, Any] | None) -> Column:
+    """The digest of a value, keyed by ``param['salt']`` if there is one."""
+    salt = (param or {}).get("salt")
+    return hmac12(c, salt) if salt else sha256_hex(c)
+
+
 ACTIONS: dict[str, Builder] = {
     "none": lambda c, rule, noise, name: c,
     "suppress": lambda c, rule, noise, name: F.when(c.isNotNull(), F.lit("")),
-    "pseudonymize": lambda c, rule, noise, name: sha256_hex(c),
+    "pseudonymize": lambda c, rule, noise, name: pseudonym(c, rule.param),
     "mask": lambda c, rule, noise, name: mask_simple(c),
     "generalize": lambda c, rule, noise, name: generalize(c, rule.param),
-    "noise": lambda c, rule, noise, name: noise.on(c, f"rule:{name}"),
+    "noise": lambda c, rule, noise, name: noise.by_rule(c, rule, name),
 }
 
 

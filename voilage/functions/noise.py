@@ -33,3 +33,8 @@ def noisy_amount(c: Column, epsilon: float, draw: Column) -> Column:
     """A noised amount as text, rounded with halves going up; no number stays as it is."""
     noised = laplace(parse_amount(c), epsilon, draw, fixed.NOISE_SENSITIVITY)
     return F.coalesce(floor_text(noised + 0.5), c)
+
+
+def rounded_amount(c: Column, step: int) -> Column:
+    """An amount as text, to the nearest multiple of ``step``, halves going up; no number stays as it is."""
+    return F.coalesce(floor_text(F.floor(parse_amount(c) / float(step) + 0.5) * float(step)), c)

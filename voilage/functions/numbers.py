@@ -40,15 +40,15 @@ def parse_unsigned(c: Column) -> Column:
 
 
 def floor_text(x: Column) -> Column:
-    """``x`` rounded down, in decimal digits; NULL from 1e38 on.
+    """``x`` rounded down, in all its decimal digits; NULL from 1e37 on.
 
-    Below 1e18 a floor is a 64-bit number; from 2**53 on a number has no fraction, so the
-    decimal of a larger one is its floor.
+    Below 1e18 a floor is a 64-bit number. A larger number is whole, and two parts of 60 bits
+    make it up without loss; its shortest notation would not name it exactly.
     """
-    return F.coalesce(
-        F.floor(_where(x, F.abs(x) < 1e18)).cast("string"),
-        x.try_cast("decimal(38,0)").cast("string"),
-    )
+    high = F.floor(_where(x, (F.abs(x) >= 1e18) & (F.abs(x) < 1e37)) / 2.0**60)
+    low = (x - high.cast("double") * 2.0**60).cast("bigint")
+    whole = high.cast("decimal(18,0)") * F.lit(1 << 60).cast("decimal(19,0)") + low.cast("decimal(19,0)")
+    return F.coalesce(F.floor(_where(x, F.abs(x) < 1e18)).cast("string"), whole.cast("string"))
 
 
 def bin_income(c: Column, step: int = fixed.INCOME_STEP) -> Column:
@@ -64,15 +64,15 @@ def bin_income(c: Column, step: int = fixed.INCOME_STEP) -> Column:
 
     return F.coalesce(
         label(F.floor(_where(amount, F.abs(amount) < 2.0**53) / float(step))),
-        label(_floor_div(amount.try_cast("decimal(30,0)"), step)),
+        label(_floor_div(F.floor(F.regexp_replace(c, "[^0-9.-]+", "").try_cast("decimal(37,6)")), step)),
         F.when(c.isNotNull(), F.lit("")),
     )
 
 
 def _floor_div(whole: Column, step: int) -> Column:
     """A whole decimal divided by ``step`` and rounded down, digit for digit."""
-    rest = F.pmod(whole, F.lit(step).cast("decimal(10,0)"))
-    return ((whole - rest) / F.lit(step).cast("decimal(10,0)")).cast("decimal(30,0)")
+    width = F.lit(step).cast("decimal(10,0)")
+    return ((whole - F.pmod(whole, width)) / width).cast("decimal(32,0)")
 
 
 def _limit_text(limit: float) -> str:

@@ -63,15 +63,10 @@ def class_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
 def with_class_size(df: DataFrame, keys: list[str]) -> DataFrame:
     """Each row with the size of its class, as ``n``. Key columns must not be NULL.
 
-    Rows of heavy classes meet their size by broadcast and are not shuffled: copies
-    of one row cannot be told apart, so nothing could scatter them.
+    The input is read once to count and once to meet the sizes; see :func:`lookup`.
     """
     sizes = class_sizes(df, keys)
-    is_heavy = F.col("n") * F.lit(HEAVY) >= sizes.agg(F.sum("n")).scalar()
-    heavy, light = sizes.filter(is_heavy), sizes.filter(~is_heavy)
-    settled = df.join(F.broadcast(heavy), keys)
-    others = df.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
-    return settled.unionByName(others).select(*[field(c) for c in df.columns], "n")
+    return lookup(df, sizes, keys, weight="n", total=sizes.agg(F.sum("n")).scalar())
 
 
 def distribution(df: DataFrame, name: str) -> DataFrame:
@@ -93,20 +88,22 @@ def tvd(p: DataFrame, q: DataFrame) -> DataFrame:
 
 
 def lookup(
-    left: DataFrame, right: DataFrame, on: list[str], *, weight: str, total: Column, spread: list[str]
+    left: DataFrame, right: DataFrame, on: list[str], *, weight: str, total: Column, spread: list[str] | None = None
 ) -> DataFrame:
-    """Left join of ``right``, unique by ``on``, safe under any skew of distinct ``left`` rows.
+    """Left join of ``right``, unique by ``on``, safe under any skew, in one pass over ``left``.
 
     ``weight`` is the number of left rows a right row will meet, out of ``total``.
     Heavy keys (at most HEAVY of them) are broadcast. The rest is joined on the key
     plus a slot: 0 for light keys, and for rows already served some other slot taken
-    from the ``spread`` columns, so that they scatter instead of piling up.
+    from the ``spread`` columns, or from their place in the input where rows may be
+    equal, so that they scatter instead of piling up.
     """
     payload = [c for c in right.columns if c not in on]
     is_heavy = F.col(weight) * F.lit(HEAVY) >= total
     heavy = right.filter(is_heavy).select(*on, F.struct(*payload).alias("_heavy"))
     light = right.filter(~is_heavy).select(*on, F.lit(0).alias("_slot"), F.struct(*payload).alias("_light"))
-    scattered = F.pmod(F.xxhash64(*[field(c) for c in spread]), F.lit(1 << 20)).cast("int") + 1
+    place = F.xxhash64(*[field(c) for c in spread]) if spread else F.monotonically_increasing_id()
+    scattered = F.pmod(place, F.lit(1 << 20)).cast("int") + 1
     served = left.join(F.broadcast(heavy), on, "left").withColumn(
         "_slot", F.when(F.col("_heavy").isNull(), F.lit(0)).otherwise(scattered)
     )
@@ -205,9 +202,8 @@ def keep_rows(df: DataFrame, verdicts: DataFrame, keys: list[str], broadcast_byt
     """The rows of surviving classes. ``verdicts`` should be a written table.
 
     One small job measures the surviving and the failing keys. The smaller set is
-    broadcast if it fits, and no row is shuffled. Otherwise rows of heavy classes are
-    settled by a broadcast of those few classes, again without a shuffle, and only
-    the other rows, where no class is large, are shuffled to meet their key.
+    broadcast if it fits, and no row is shuffled. Otherwise every row looks its class
+    up, in one pass: heavy classes by a broadcast of those few, the others by a shuffle.
     """
     width = sum((F.octet_length(field(key)) for key in keys), F.lit(64))
     kept, n = F.col("kept"), F.col("n")
@@ -223,12 +219,28 @@ def keep_rows(df: DataFrame, verdicts: DataFrame, keys: list[str], broadcast_byt
         if size["kept"] <= size["failed"]:
             return df.join(F.broadcast(survivors), keys, "left_semi")
         return df.join(F.broadcast(verdicts.filter(~kept).select(*keys)), keys, "left_anti")
-    is_heavy = n * HEAVY >= F.lit(size["rows"])
-    heavy = verdicts.filter(is_heavy)
-    settled = df.join(F.broadcast(heavy.filter(kept).select(*keys)), keys, "left_semi")
-    others = df.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
-    light = verdicts.filter(kept & ~is_heavy).select(*keys)
-    return settled.unionByName(others.join(light, keys, "left_semi"))
+    told = verdicts.select(*keys, n.alias("_n"), kept.alias("_kept"))
+    judged = lookup(df, told, keys, weight="_n", total=F.lit(size["rows"]))
+    return judged.filter("_kept").select(*[field(c) for c in df.columns])
+
+
+def class_audit(df: DataFrame, qids: list[str], k: int) -> DataFrame:
+    """One row (total, classes, smallest, below_k, conforming) over the classes of a published table.
+
+    Unlike a row audit it groups by the quasi-identifiers alone, which is what k-anonymity
+    speaks of. Absent cells count as a value of their own. An empty table conforms.
+    """
+    if not qids:
+        raise ValueError("choose at least one quasi-identifier")
+    sizes = df.groupBy(*[field(q).cast("string").alias(f"_a{i}") for i, q in enumerate(qids)]).agg(F.count(F.lit(1)).alias("n"))
+    small = F.count_if(F.col("n") < k)
+    return sizes.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        F.count(F.lit(1)).alias("classes"),
+        F.min("n").alias("smallest"),
+        small.alias("below_k"),
+        (small == 0).alias("conforming"),
+    )
 
 
 def suppress_classes(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from voilage.config import Roles, Rule, Settings
-from voilage.operators.classes import class_counts, class_key, class_verdicts, keep_rows
+from voilage.operators.classes import class_counts, class_key, class_verdicts, keep_rows, qi_column
 from voilage.operators.policy import choose_rules, guess_roles, recommended_rules
 from voilage.operators.policy import catalog_of
 from voilage.operators.profiling import profile
@@ -45,16 +46,27 @@ def anonymize(
     *,
     compat: bool = False,
     journal: str | None = None,
+    export: str = "treated",
+    order_by: Sequence[str] = (),
 ) -> Anonymized:
     """Treat every row, then drop the classes that fail k, l or t.
 
+    ``export="generalized"`` publishes each quasi-identifier as the value its class was
+    judged by (year, postal area, income bin), so that the published rows themselves are
+    k-anonymous; ``"treated"`` publishes the treated cells, a noised amount among them.
+    ``order_by`` sorts the published rows by columns.
+
     Two passes over the input: one reads only the grouping and sensitive columns to
     judge the classes, whose verdicts are written to the shared folder; the other
     yields the surviving rows when a caller asks for them. Noise is a function of the
     record, so both passes see the same amounts.
     """
+    if export not in ("treated", "generalized"):
+        raise ValueError("export is 'treated' or 'generalized'")
     roles.require(df.columns)
+    free_names(df.columns)
     settings = settings or Settings()
+    rules = without_options(rules or {}) if compat else rules
     treated = treat_rows(df, roles, rules, settings)
     keys = class_key(roles, treated.columns, compat=compat)
     keyed = treated.withColumns(keys)
@@ -71,7 +83,12 @@ def anonymize(
             write_counts=True,
         )
     )
-    rows = drop_helpers(keep_rows(keyed, verdicts, list(keys)).drop(*keys))
+    rows = keep_rows(keyed, verdicts, list(keys)).drop(*keys)
+    if export == "generalized":
+        rows = rows.withColumns({q: qi_column(q, roles, rows.columns) for q in roles.qids})
+    rows = drop_helpers(rows)
+    if order_by:
+        rows = rows.orderBy(*[field(c) for c in order_by])
     counts = class_counts(verdicts)
     if journal:
         done = counts.first()
@@ -82,6 +99,25 @@ def anonymize(
     return Anonymized(rows, counts, evaluate(rows, roles.qids, roles.sensitive, settings.k), verdicts)
 
 
+RESERVED = ("_year", "_fsa", "_revBin", "_record", "_qk", "_s", "_c", "_heavy", "_light", "_slot", "_n", "_kept")
+
+
+def free_names(columns: Sequence[str]) -> None:
+    """Refuse columns whose names the job gives to its own."""
+    taken = [c for c in columns if c in RESERVED or re.fullmatch(r"_q\d+", c)]
+    if taken:
+        raise ValueError(f"rename these columns, the job uses their names: {taken}")
+
+
+def without_options(rules: Mapping[str, Rule]) -> dict[str, Rule]:
+    """Rules as the original reads them: granularity, a rule's own epsilon and rounding do nothing."""
+    unread = ("granularity", "epsilon", "round")
+    return {
+        c: Rule(r.action, {k: v for k, v in r.param.items() if k not in unread} or None) if r.param else r
+        for c, r in rules.items()
+    }
+
+
 def _require_rows(df: DataFrame) -> None:
     if df.isEmpty():
         raise ValueError("the table has no row")

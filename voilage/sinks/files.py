@@ -18,13 +18,35 @@ from voilage.functions.text import escape_markup
 JOURNAL_SCHEMA = "at timestamp, action string, data string"
 _DEFINITION = (
     "meta struct<createdAt:string,delimiter:string>, "
-    "settings struct<epsilon:double,k_anon:int,l_div:int,t_close:double,zip3:boolean,year_only:boolean,"
-    "hash_ids:boolean,mask_pii:boolean,suppress_extras:boolean,noise_revenue:boolean>, "
+    "settings struct<epsilon:double,kAnon:int,lDiv:int,tClose:double,zip3:boolean,yearOnly:boolean,"
+    "hashIds:boolean,maskPII:boolean,suppressExtras:boolean,noiseRevenue:boolean>, "
     "mapping struct<id:string,postal:string,date1:string,date2:string,revenue:string,sensitive:string,"
     "qids:array<string>>, "
     "columns array<string>, "
-    "transforms map<string,struct<action:string,param:string>>"
+    "transforms map<string,struct<action:string,param:struct<type:string,granularity:string,thresholds:array<double>,"
+    "epsilon:double,round:int>>>"
 )
+# fixed names of the settings in a definition file, so that files can be exchanged
+_SETTING_KEYS = {
+    "epsilon": "epsilon", "k_anon": "kAnon", "l_div": "lDiv", "t_close": "tClose", "zip3": "zip3", "year_only": "yearOnly",
+    "hash_ids": "hashIds", "mask_pii": "maskPII", "suppress_extras": "suppressExtras", "noise_revenue": "noiseRevenue",
+}
+_PARAM_KEYS = ("type", "granularity", "thresholds", "epsilon", "round")
+
+
+def _settings(settings: Settings) -> dict[str, Any]:
+    told = settings.exported()
+    return {key: float(told[n]) if n in ("epsilon", "t_close") else told[n] for n, key in _SETTING_KEYS.items()}
+
+
+def _param(param: Mapping[str, Any] | None) -> dict[str, Any] | None:
+    """A rule's parameters without its salt, which is a secret."""
+    if not param:
+        return None
+    row = {k: param.get(k) for k in _PARAM_KEYS}
+    row["thresholds"] = None if row["thresholds"] is None else [float(t) for t in row["thresholds"]]
+    row["epsilon"] = None if row["epsilon"] is None else float(row["epsilon"])
+    return row
 
 
 # --- tables --------------------------------------------------------------------
@@ -86,15 +108,10 @@ def job_definition(
     created = created or datetime.now(timezone.utc)
     row = {
         "meta": {"createdAt": created.strftime("%Y-%m-%dT%H:%M:%S.000Z"), "delimiter": delimiter},
-        "settings": {
-            k: float(v) if k in ("epsilon", "t_close") else v for k, v in settings.exported().items()
-        },
+        "settings": _settings(settings),
         "mapping": {**{r: getattr(roles, r) for r in ROLE_NAMES}, "qids": list(roles.qids)},
         "columns": list(columns),
-        "transforms": {
-            c: {"action": r.action, "param": json.dumps(r.param, sort_keys=True) if r.param else None}
-            for c, r in rules.items()
-        },
+        "transforms": {c: {"action": r.action, "param": _param(r.param)} for c, r in rules.items()},
     }
     return spark.createDataFrame([row], _DEFINITION)
 
@@ -107,15 +124,17 @@ def read_job_definition(spark: SparkSession, path: str) -> tuple[Roles, dict[str
     """(roles, rules, settings, columns) from a written definition."""
     row = spark.read.schema(_DEFINITION).json(path).first().asDict(recursive=True)
     rules = {
-        c: Rule(r["action"], json.loads(r["param"]) if r["param"] else None)
-        for c, r in row["transforms"].items()
+        c: Rule(r["action"], {k: v for k, v in (r["param"] or {}).items() if v is not None} or None)
+        for c, r in (row["transforms"] or {}).items()
     }
-    return Roles(**row["mapping"]), rules, Settings(**row["settings"]), row["columns"]
+    told = {n: row["settings"][key] for n, key in _SETTING_KEYS.items() if row["settings"][key] is not None}
+    mapping = {k: v for k, v in row["mapping"].items() if v is not None}
+    return Roles(**mapping), rules, Settings(**told), row["columns"]
 
 
 def table_definitions(mappings: DataFrame, settings: Settings, delimiter: str = ",") -> DataFrame:
     """One definition (table_name, meta, settings, mapping) per table of guessed roles, for a whole catalog."""
-    shared = {k: float(v) if k in ("epsilon", "t_close") else v for k, v in settings.exported().items()}
+    shared = _settings(settings)
     return mappings.select(
         "table_name",
         F.struct(F.lit(delimiter).alias("delimiter")).alias("meta"),

@@ -305,69 +305,6 @@ def role(name: str) -> str:
 # --- generator -----------------------------------------------------------------------------
 
 
-def _words(words: tuple) -> str:
-    return "[" + ", ".join(text(str(w)) for w in words) + "]"
-
-
-def _synthetic() -> str:
-    """Row states by matrix powers in SQL (20 steps of the basis, then doubling), then 20 stepped draws."""
-    one = "xor(xor({0}, ({0} << 13) & 4294967295), xor({0}, ({0} << 13) & 4294967295) >> 17)"
-
-    def stepped(x: str) -> str:
-        a = f"({one.format(x)})"
-        return f"xor({a}, ({a} << 5) & 4294967295)"
-
-    def between(d: int, low: str | int, high: str | int) -> str:
-        return f"(((d[{d}] * ({high} - {low} + 1)) >> 32) + {low})"
-
-    def pick(d: int, words: tuple) -> str:
-        return f"list_extract({_words(words)}, CAST({between(d, 0, len(words) - 1)} + 1 AS BIGINT))"
-
-    letters = tuple(fixed.POSTAL_LETTERS)
-    income = "CASE " + " ".join(
-        f"WHEN d[19] / 4294967296e0 < {bound}e0 THEN {between(20, low, high)}" for bound, low, high in fixed.INCOME_MIX
-    ) + " END"
-    mail = "strip_accents(lower(concat(prenom, '.', nom, '.', id_client)))"
-    return f"""WITH RECURSIVE
-basis AS (
-  SELECT 0 AS i, b, CAST(1 AS BIGINT) << b AS x FROM (SELECT CAST(unnest(range(32)) AS INTEGER) AS b)
-  UNION ALL SELECT i + 1, b, {stepped('x')} FROM basis WHERE i < 20),
-jumps AS (
-  SELECT 0 AS j, list(x ORDER BY b) AS m FROM basis WHERE i = 20
-  UNION ALL
-  SELECT j + 1, list_transform(m, lambda v: list_reduce(list_transform(range(32), lambda b:
-    CASE WHEN (v >> CAST(b AS INTEGER)) & 1 = 1 THEN m[b + 1] ELSE 0 END), lambda p, q: xor(p, q)))
-  FROM jumps WHERE j < 32),
-states AS (
-  SELECT 0 AS j, o_orderkey AS ahead, CAST({fixed.CLIENT_SEED} AS BIGINT) AS x FROM orders
-  UNION ALL
-  SELECT s.j + 1, s.ahead, CASE WHEN (s.ahead >> s.j) & 1 = 0 THEN s.x ELSE
-    list_reduce(list_transform(range(32), lambda b:
-      CASE WHEN (s.x >> CAST(b AS INTEGER)) & 1 = 1 THEN k.m[b + 1] ELSE 0 END), lambda p, q: xor(p, q)) END
-  FROM states s JOIN jumps k ON k.j = s.j WHERE s.j < 32 AND (s.ahead >> s.j) > 0),
-starts AS (SELECT ahead, arg_max(x, j) AS x FROM states GROUP BY ahead),
-drawn AS (
-  SELECT ahead, x, CAST([] AS BIGINT[]) AS d FROM starts
-  UNION ALL
-  SELECT ahead, y, list_append(d, y) FROM (SELECT ahead, d, {stepped('x')} AS y FROM drawn WHERE len(d) < 20)),
-parts AS (
-  SELECT CAST(ahead + 1 AS VARCHAR) AS id_client, {pick(1, fixed.FIRST_NAMES)} AS prenom, {pick(2, fixed.LAST_NAMES)} AS nom,
-    concat_ws('-', {pick(4, fixed.AREA_CODES)}, {between(5, 200, 999)}, {between(6, 1000, 9999)}) AS telephone,
-    concat_ws(' ', {between(7, 10, 9999)}, {pick(9, fixed.STREET_TYPES)}, {pick(8, fixed.STREETS)}) AS adresse,
-    {pick(3, fixed.CITIES)} AS ville, 'QC' AS province,
-    concat({pick(10, fixed.POSTAL_REGIONS)}, {between(11, 0, 9)}, {pick(12, letters)}, {between(13, 0, 9)},
-           {pick(14, letters)}, {between(15, 0, 9)}) AS code_postal,
-    make_date({between(16, 1940, 2005)}, {between(17, 1, 12)}, 1) AS month_start, d,
-    CAST({income} AS VARCHAR) AS revenu_annuel
-  FROM drawn WHERE len(d) = 20)
-SELECT id_client, prenom, nom, {mail} || '@bnc.example' AS email, telephone, adresse, ville, province, code_postal,
-  CAST(month_start + CAST({between(18, 1, "day(last_day(month_start))")} - 1 AS INTEGER) AS VARCHAR) AS date_naissance,
-  revenu_annuel FROM parts"""
-
-
-# --- the statements --------------------------------------------------------------------------
-
-
 def _profile(source: str, columns: tuple[str, ...]) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS colonne, count(DISTINCT coalesce(CAST({c} AS VARCHAR), '')) AS "distinct",
@@ -405,6 +342,7 @@ def statements() -> dict[str, str]:
     ]
     clients = f"WITH {CLIENTS} "
     documents = "documents LEFT JOIN labels USING (doc_id)"
+    published = kept_rows(TREATED).replace("treated.revenu_annuel", 'treated."_revBin" AS revenu_annuel')
     accounts = scored("clients", "type_compte", "statut", "true")
     return {
         "src_client_records": clients + "SELECT * FROM clients",
@@ -423,7 +361,12 @@ coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations""",
         "src_row_count": " UNION ALL ".join(
             f"SELECT '{t}' AS name, count(*) AS total FROM {t}" for t in ("orders", "lineitem", "documents", "events")
         ),
-        "src_synthetic_clients": _synthetic(),
+        "src_csv_quoted_header": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, 3 AS n_columns FROM documents",
+        "src_csv_many_headers": """SELECT CAST(doc_id AS VARCHAR) AS id, lang, text, NULL AS source, NULL AS role FROM documents
+UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, source, NULL FROM documents
+UNION ALL SELECT CAST(conv_id AS VARCHAR), NULL, NULL, NULL, role FROM conversations""",
+        "src_delimiter_record_text": """SELECT chr(9) AS delimiter, true AS has_header, 'conv_id|turn|role|text' AS columns,
+count(*) AS rows FROM conversations""",
         "prj_sha256": "SELECT doc_id, sha256(text) AS digest FROM documents",
         "prj_hmac": f"SELECT doc_id, {hmac12('text')} AS pseudonym FROM documents",
         "prj_years": f"""SELECT page_id, {only_year('t')} AS only_year, {year_or_empty('t')} AS date_year,
@@ -434,6 +377,17 @@ substr(text, 1, 3) || '***' AS area_short FROM documents""",
 {number('amount', '0-9.')} AS "unsigned" FROM amounts""",
         "prj_income_bins": f"""WITH {AMOUNTS} SELECT l_orderkey, l_linenumber, amount, {income_bin('amount')} AS bin,
 {below('amount')} AS below, {band('amount')} AS band FROM amounts""",
+        "prj_large_amounts": """WITH large AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '' END
+|| CAST(l_orderkey + 1000000 AS VARCHAR) || '7' || repeat('0', CAST(l_linenumber + 7 AS INTEGER)) AS amount FROM lineitem),
+low AS (SELECT *, CAST(amount AS HUGEINT) AS v, ((CAST(amount AS HUGEINT) % 10000) + 10000) % 10000 AS rest FROM large)
+SELECT l_orderkey, l_linenumber, amount, CAST((v - rest) // 10000 * 10 AS VARCHAR) || '–'
+|| CAST((v - rest) // 10000 * 10 + 10 AS VARCHAR) || 'k' AS bin, CAST(CAST(CAST(amount AS DOUBLE) AS HUGEINT) AS VARCHAR) AS whole FROM low""",
+        "prj_rule_options": f"""{clients}, ruled AS (SELECT *, CAST(floor({laplace(number('revenu_annuel'), draw("'rule:revenu_annuel'", 'id_client', 'revenu_annuel'), 100)} + 0.5e0) AS BIGINT) AS noisy
+FROM clients) SELECT {hmac12('id_client')} AS id_client, email, telephone, {area('code_postal')} AS code_postal,
+{year_or_empty('date_naissance')} AS date_naissance, CAST(CAST(floor(noisy / 10e0 + 0.5e0) * 10 AS BIGINT) AS VARCHAR) AS revenu_annuel,
+type_compte, statut, id_client AS numero FROM ruled""",
+        "prj_default_rules_applied": f"""{clients} SELECT sha256(id_client) AS id_client, {area('code_postal')} AS code_postal,
+{year_or_empty('date_naissance')} AS date_naissance, {income_bin('revenu_annuel')} AS revenu_annuel, statut FROM clients""",
         "prj_mask": f"""{clients}, cells AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS key, text AS v FROM documents
 UNION ALL SELECT 'e' || id_client, email FROM clients UNION ALL SELECT 't' || id_client, telephone FROM clients
 UNION ALL SELECT 's' || id_client, type_compte FROM clients) SELECT key, {mask('v')} AS masked FROM cells""",
@@ -489,6 +443,10 @@ SELECT CAST(coalesce(sum(n) FILTER (WHERE n >= 10 AND l >= 3 AND tvd <= 0.3e0),
         "agg_profile": clients + _profile("clients", CLIENT_NAMES),
         "agg_profile_documents": _profile(documents, ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic")),
         "agg_row_audit": _audit("l_returnflag, l_linestatus, l_quantity, l_suppkey", "lineitem", 3),
+        "agg_row_audit_whole_rows": _audit("*", "lineitem", 2),
+        "agg_class_audit": f"""WITH {CLIENTS}, {HELPED}, sizes AS (SELECT y, f, b, count(*) AS n FROM helped GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS classes, min(n) AS smallest, count(*) FILTER (WHERE n < 10) AS below_k,
+count(*) FILTER (WHERE n < 10) = 0 AS conforming FROM sizes""",
         "agg_row_audit_documents": _audit("text, lang", "documents", 2),
         "sink_csv": f"""WITH {CLIENTS}, {HELPED}, {judged('helped', HELPED_KEYS)}
 SELECT statut, id_client, email, revenu_annuel FROM helped JOIN stats USING (y, f, b) WHERE n >= 10 AND l >= 3 AND tvd <= 0.3e0""",
@@ -533,5 +491,11 @@ CAST(35 AS BIGINT) AS target FROM scored GROUP BY table_name""",
         "job_auto_anonymize": kept_rows(AUTO_TREATED, "type_compte") + " SELECT * FROM kept",
         "job_profile_and_anonymize": f"""{kept_rows(AUTO_TREATED, 'type_compte')} SELECT *, (SELECT count(*) FROM kept) AS kept FROM ({_profile('clients', CLIENT_NAMES)})""",
         "job_fixed_file": clients + FIXED_ROWS,
+        "job_fixed_file_multiline": f"""SELECT {hmac12('CAST(doc_id AS VARCHAR)')} AS id_client, text AS adresse,
+{band('CAST(n_chars AS VARCHAR)')} AS revenu_annuel FROM documents""",
+        "job_anonymize_generalized": published + " SELECT * FROM kept",
+        "job_anonymize_generalized_audit": published + """, published_sizes AS (SELECT date_naissance, code_postal, revenu_annuel, count(*) AS n
+FROM kept GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS classes, min(n) AS smallest, 0 AS below_k, true AS conforming
+FROM published_sizes""",
         "job_risk_preview": f"WITH {CLIENTS} {compliance(accounts, accounts)}",
     }

@@ -16,7 +16,7 @@ from voilage.operators import classes, policy, profiling, risk, rules
 from voilage.plans import jobs
 from voilage.session import scratch_path
 from voilage.sinks import files as sinks
-from voilage.sources import delimited, synthetic
+from voilage.sources import delimited
 from voilage.sources.tables import CLIENT_ROLES, clients, client_records, facts, table
 from voilage.streaming import files as streams
 from voilage.workload.settings import (
@@ -152,10 +152,42 @@ def _(spark, sf):
     return whole
 
 
-@query("src_synthetic_clients")
+@query("src_csv_quoted_header")
 def _(spark, sf):
-    numbered = table(spark, sf, "orders").select((F.col("o_orderkey") + 1).alias("row"))
-    return synthetic.client_rows(synthetic.raw_draws(numbered))
+    """Quotes, the delimiter and a length past 64 KiB in the header; line ends and short rows in the data."""
+    path = scratch_path(spark, "quoted-csv")
+    docs = facts(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias('Nom, "complet"'), F.col("text").alias("texte" * 20000), F.col("lang").alias("langue")
+    )
+    sinks.write_csv(docs, path)
+    read = delimited.read_delimited(spark, path)
+    return read.select(
+        field('Nom, "complet"').alias("doc_id"), field("texte" * 20000).alias("text"), F.col("langue").alias("lang"),
+        F.lit(len(read.columns)).alias("n_columns"),
+    )
+
+
+@query("src_csv_many_headers")
+def _(spark, sf):
+    """Folders of one tree differ in delimiter and columns; repeated names are numbered."""
+    path = scratch_path(spark, "mixed-csv")
+    docs, turns = facts(spark, sf, "documents"), table(spark, sf, "conversations")
+    sinks.write_csv(docs.select(F.col("doc_id").cast("string").alias("id"), "lang", "text"), f"{path}/a", delimiter=";")
+    sinks.write_csv(docs.select("source", F.col("doc_id").cast("string").alias("id")), f"{path}/b", delimiter=";")
+    sinks.write_csv(turns.select(F.col("conv_id").cast("string").alias("id"), "role"), f"{path}/c", delimiter="\t")
+    return delimited.read_delimited(spark, [f"{path}/{p}" for p in "abc"]).select("id", "lang", "text", "source", "role")
+
+
+@query("src_delimiter_record_text")
+def _(spark, sf):
+    path = scratch_path(spark, "conversations-text-csv")
+    turns = table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"), "role", "text"
+    )
+    sinks.write_csv(turns, path, delimiter="\t")
+    found = delimited.sniff_delimiters(spark, path).select("delimiter", "has_header", F.array_join("columns", "|").alias("columns"))
+    rows = delimited.count_rows(delimited.read_delimited(spark, path)).scalar()
+    return found.distinct().withColumn("rows", rows)
 
 
 # --- scalar treatments ---------------------------------------------------------------
@@ -257,6 +289,38 @@ def _(spark, sf):
     return rules.apply_rules(people, noise, STRICT, record=("id_client",))
 
 
+@query("prj_large_amounts")
+def _(spark, sf):
+    """Amounts from 1e14 to 1e22, both signs."""
+    sign = F.when(F.col("l_linenumber") % 2 == 0, F.lit("-")).otherwise(F.lit(""))
+    zeros = F.repeat(F.lit("0"), F.col("l_linenumber") + 7)
+    amount = F.concat(sign, (F.col("l_orderkey") + 1000000).cast("string"), F.lit("7"), zeros)
+    return facts(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", amount.alias("amount")).select(
+        "l_orderkey", "l_linenumber", "amount",
+        V.bin_income(F.col("amount")).alias("bin"),
+        V.floor_text(V.parse_amount(F.col("amount"))).alias("whole"),
+    )
+
+
+@query("prj_rule_options")
+def _(spark, sf):
+    """Both spellings of generalize, a rule's own epsilon and rounding, a salted pseudonym."""
+    people = clients(spark, sf).withColumn("numero", F.col("id_client"))
+    options = {
+        "id_client": Rule("pseudonymize", {"salt": "change-me-salt"}),
+        "date_naissance": Rule("generalize", {"granularity": "year"}),
+        "code_postal": Rule("generalize", {"granularity": "postal_fsa"}),
+        "revenu_annuel": Rule("noise", {"epsilon": 5, "round": 10}),
+    }
+    return rules.apply_rules(people, options, STRICT, record=("numero",))
+
+
+@query("prj_default_rules_applied")
+def _(spark, sf):
+    people = clients(spark, sf).select("id_client", "code_postal", "date_naissance", "revenu_annuel", "statut")
+    return rules.apply_rules(people, policy.fill_rules(people.columns), STRICT)
+
+
 @query("prj_role_switches")
 def _(spark, sf):
     return _treated(spark, sf)
@@ -430,6 +494,17 @@ def _(spark, sf):
     return profiling.row_audit(lines, 3)
 
 
+@query("agg_row_audit_whole_rows")
+def _(spark, sf):
+    return profiling.row_audit(facts(spark, sf, "lineitem"), 2)
+
+
+@query("agg_class_audit")
+def _(spark, sf):
+    helped = rules.with_helpers(clients(spark, sf), CLIENT_ROLES)
+    return classes.class_audit(helped, list(rules.HELPERS), 10)
+
+
 @query("agg_row_audit_documents")
 def _(spark, sf):
     return profiling.row_audit(facts(spark, sf, "documents").select("text", "lang"), 2)
@@ -455,7 +530,7 @@ def _(spark, sf):
     sinks.write_json(made, path)
     read = spark.read.schema(made.schema).json(path)
     return read.select(
-        "table_name", "meta.delimiter", "settings.k_anon", "settings.epsilon", "settings.zip3", "mapping.id",
+        "table_name", "meta.delimiter", F.col("settings.kAnon").alias("k_anon"), "settings.epsilon", "settings.zip3", "mapping.id",
         "mapping.date1", "mapping.sensitive", F.array_join("mapping.qids", "|").alias("qids"),
     )
 
@@ -638,6 +713,31 @@ def _(spark, sf):
     return delimited.read_delimited(spark, jobs.fixed_file_job(spark, source, salt="change-me-salt"))
 
 
+@query("job_fixed_file_multiline")
+def _(spark, sf):
+    """An address of many lines between the identifier and the income."""
+    source = scratch_path(spark, "raw-lines")
+    rows = facts(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id_client"), F.col("text").alias("adresse, complète"),
+        F.col("n_chars").cast("string").alias("revenu_annuel"),
+    )
+    sinks.write_csv(rows, source)
+    done = delimited.read_delimited(spark, jobs.fixed_file_job(spark, source, salt="change-me-salt"))
+    return done.select("id_client", field("adresse, complète").alias("adresse"), "revenu_annuel")
+
+
+@query("job_anonymize_generalized")
+def _(spark, sf):
+    return jobs.anonymize(clients(spark, sf), CLIENT_ROLES, None, STRICT, export="generalized").rows
+
+
+@query("job_anonymize_generalized_audit")
+def _(spark, sf):
+    """No class of the published table is below k."""
+    rows = jobs.anonymize(clients(spark, sf), CLIENT_ROLES, None, STRICT, export="generalized").rows
+    return classes.class_audit(rows, list(CLIENT_ROLES.qids), 10)
+
+
 @query("job_risk_preview")
 def _(spark, sf):
     return _rounded(jobs.risk_report(clients(spark, sf), ACCOUNT_ROLES), "before", "after")
