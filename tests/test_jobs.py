@@ -184,3 +184,14 @@ def test_shared_folder_comes_from_the_session(spark):
 
 def test_public_names():
     assert all(hasattr(voilage, name) for name in voilage.__all__)
+
+
+def test_intermediate_tables_go_with_their_block(spark, tmp_path):
+    from pathlib import Path
+
+    from voilage.session import intermediates, materialize
+
+    with intermediates(spark) as folder:
+        kept = materialize(spark.range(5)).count()
+        assert Path(folder).exists()
+    assert kept == 5 and not Path(folder).exists()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,18 +28,40 @@ def local_session(name: str = "voilage", cpus: str = "*", **conf: str) -> SparkS
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as ``spark.checkpoint.dir`` names it.
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` set.
 
-    Only a local session may fall back to a folder of this machine.
+    Only a session whose executors are threads of this process may fall back to a folder of
+    this machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return _folder_of_this_machine()
 
 
+_folders: list[str] = []
+
+
+@contextlib.contextmanager
+def intermediates(spark: SparkSession) -> Iterator[str]:
+    """Tables written inside the block go to one folder, which is deleted at its end.
+
+    They may hold what a job suppresses, such as the counts of small classes. Write or collect
+    what is wanted inside the block: frames that read these tables end with it.
+    """
+    path = f"{shared_folder(spark).rstrip('/')}/job-{uuid.uuid4().hex}"
+    _folders.append(path)
+    try:
+        yield path
+    finally:
+        _folders.remove(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @functools.cache
 def _folder_of_this_machine() -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -45,7 +69,8 @@ def _folder_of_this_machine() -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; nothing is written yet."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = _folders[-1] if _folders else shared_folder(spark)
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame, limit: int = 64) -> DataFrame:
