@@ -28,6 +28,9 @@ def carries_pii(columns: Sequence[str]) -> Column:
     return filled
 
 
+_ROWS, _PII_ROWS = "_rows", "_pii_rows"
+
+
 def _percent(share: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * share))
 
@@ -59,12 +62,18 @@ def risk_metrics(
     is NULL. ``columns`` are those searched for direct identifiers.
     """
     columns = [c for c in (columns or df.columns) if c not in HELPERS]
+    one = F.lit(1).cast("bigint")
+    return _scores(df.withColumns({_ROWS: one, _PII_ROWS: carries_pii(columns).cast("bigint")}), roles, compat)
+
+
+def _scores(df: DataFrame, roles: Roles, compat: bool) -> DataFrame:
+    """The scores of a table whose rows each stand for a number of rows, some of them with direct identifiers."""
     keys = class_key(roles, df.columns, compat=compat, absent="")
     sensitive = text_or_empty(roles.sensitive) if roles.sensitive else F.lit("")
     counts = (
-        df.select(*[k.alias(n) for n, k in keys.items()], sensitive.alias("_s"), carries_pii(columns).alias("_pii"))
+        df.select(*[k.alias(n) for n, k in keys.items()], sensitive.alias("_s"), _ROWS, _PII_ROWS)
         .groupBy(*keys, "_s")
-        .agg(F.count(F.lit(1)).alias("_c"), F.count_if("_pii").alias("_p"))
+        .agg(F.sum(_ROWS).alias("_c"), F.sum(_PII_ROWS).alias("_p"))
     )
     classes = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), F.max("_c").alias("top"), F.sum("_p").alias("p"))
     total = classes.agg(
@@ -95,9 +104,20 @@ def risk_metrics(
 
 
 def metrics_before_after(df: DataFrame, roles: Roles, *, compat: bool = False) -> DataFrame:
-    """Two rows (stage, individualization, correlation, inference): raw, and with helpers."""
-    raw = risk_metrics(df, roles, df.columns, compat=compat)
-    helped = risk_metrics(with_helpers(df, roles), roles, df.columns, compat=compat)
+    """Two rows (stage, individualization, correlation, inference): raw, and with helpers.
+
+    The table is counted once, by the raw columns that play a role. The helpers are derived
+    from these counts and the counts folded again, so both stages share one scan.
+    """
+    named = [*roles.qids, roles.date, roles.postal, roles.revenue, roles.sensitive]
+    roled = [field(c).alias(c) for c in dict.fromkeys(named) if c]
+    searched = [c for c in df.columns if c not in HELPERS]
+    plain = df.select(*roled, carries_pii(searched).alias("_pii"))
+    counted = plain.groupBy(*[field(c) for c in plain.columns[:-1]]).agg(
+        F.count(F.lit(1)).alias(_ROWS), F.count_if("_pii").alias(_PII_ROWS)
+    )
+    raw = _scores(counted, roles, compat)
+    helped = _scores(with_helpers(counted, roles), roles, compat)
     return raw.select(F.lit("before").alias("stage"), "*").unionByName(
         helped.select(F.lit("after").alias("stage"), "*")
     )
