@@ -35,9 +35,12 @@ _MAGIC = b"RPR1"
 _HASH_BITS = 18
 
 
-def _frequent(pairs: np.ndarray, most: int, least: int) -> np.ndarray:
+def _spots(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int32)
+
+
+def _frequent(pairs: np.ndarray, spot: np.ndarray, most: int, least: int) -> np.ndarray:
     """Up to ``most`` pairs that occur ``least`` times or more, the most frequent ones."""
-    spot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
     crowd = np.bincount(spot, minlength=1 << _HASH_BITS)
     floor = max(least, int(np.partition(crowd, len(crowd) - most)[len(crowd) - most]))
     kept, counts = np.unique(pairs[(crowd >= floor)[spot]], return_counts=True)
@@ -54,18 +57,22 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, first_new: int = FIRST_NEW)
         if len(symbols) < 2:
             break
         pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        chosen = _frequent(pairs, PAIRS_A_ROUND, LEAST_COUNT)
+        spot = _spots(pairs)
+        chosen = _frequent(pairs, spot, PAIRS_A_ROUND, LEAST_COUNT)
         if not len(chosen):
             break
-        where = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
-        hit = chosen[where] == pairs
+        possible = np.zeros(1 << _HASH_BITS, bool)
+        possible[_spots(chosen)] = True
+        at = np.flatnonzero(possible[spot])
+        where = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
+        hit = chosen[where] == pairs[at]
+        at, where = at[hit], where[hit]
         # of neighbouring hits every other one, from the left
-        at = np.flatnonzero(hit)
         run_start = np.concatenate([[True], np.diff(at) > 1])
         turn = np.arange(len(at)) - np.maximum.accumulate(np.where(run_start, np.arange(len(at)), 0))
-        at = at[turn % 2 == 0]
+        at, where = at[turn % 2 == 0], where[turn % 2 == 0]
         new = symbols.copy()
-        new[at] = first_new + made + where[at]
+        new[at] = first_new + made + where
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols = new[keep]
@@ -96,8 +103,10 @@ class Block:
         low = np.frombuffer(body, "<u2", count, at + 12 * made)
         self.symbols = low.astype(np.uint32) | (np.frombuffer(body, np.uint8, count, at + 12 * made + 2 * count).astype(np.uint32) << 16)
         old = self.symbols.astype(np.int64) - self.first_new
-        sizes = np.where(old < 0, 1, self.lengths[np.maximum(old, 0)] if made else 1)
-        self.ends = np.cumsum(sizes)
+        sizes = np.where(old < 0, 1, self.lengths[np.maximum(old, 0)] if made else 1).astype(np.int64)
+        self.sizes, self.ends = sizes, np.cumsum(sizes)
+        self.told = self._expanded(np.arange(self.first_new, self.first_new + made, dtype=np.uint32))
+        self.told_at = np.cumsum(self.lengths.astype(np.int64)) - self.lengths
 
     def _expanded(self, symbols: np.ndarray) -> np.ndarray:
         while len(symbols) and symbols.max() >= self.first_new:
@@ -117,7 +126,13 @@ class Block:
             return np.zeros(0, np.uint32)
         first, last = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left") + 1
         base = int(self.ends[first - 1]) if first else 0
-        return self._expanded(self.symbols[first:last])[start - base : stop - base]
+        symbols, sizes = self.symbols[first:last], self.sizes[first:last]
+        old = symbols.astype(np.int64) - self.first_new
+        plain = len(self.told) + np.arange(len(symbols))
+        at = np.where(old < 0, plain, self.told_at[np.maximum(old, 0)]) if len(self.told) else plain
+        ends = np.cumsum(sizes)
+        places = np.repeat(at - (ends - sizes), sizes) + np.arange(int(ends[-1]))
+        return np.concatenate([self.told, symbols])[places][start - base : stop - base]
 
 
 def _blocks(path: str, end_id: int, block_ids: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

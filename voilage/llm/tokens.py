@@ -55,14 +55,13 @@ class Pieces:
 
     def _many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the pieces in any order, and where each piece's ids start and how many they are."""
-        mark, blank = self.separator.encode(), 0x20
+        mark, blank, white = self.separator.encode(), 0x20, frozenset(W.WHITE)
         if self.blank_ends:  # white space at either end, but for one blank, would merge with the separator
-            rest = [p[1:] if p[0] == blank else p for p in pieces]
             easy = [
                 i
-                for i, p in enumerate(rest)
-                if p and mark not in p and p[0] not in W.WHITE and p[-1] not in W.WHITE
-                and not p.startswith(_WIDE_SPACES) and not p.endswith(_WIDE_SPACES)
+                for i, p in enumerate(pieces)
+                if mark not in p and p[-1] not in white and p[p[0] == blank] not in white
+                and (p.isascii() or not (p[p[0] == blank :].startswith(_WIDE_SPACES) or p.endswith(_WIDE_SPACES)))
             ]
         else:
             easy = [i for i, p in enumerate(pieces) if mark not in p]
