@@ -91,10 +91,8 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of each row; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed(*fingerprints(part.column(1))))], names=["doc_id", "fingerprint"])
+        for part in W.slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed(*fingerprints(part.column(1))))], names=["doc_id", "fingerprint"])
 
     return documents_only(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, fingerprint string")
 
@@ -125,32 +123,30 @@ def _with_next(docs: DataFrame) -> DataFrame:
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of range, tail, doc_id; each is held until the row after it is known."""
     held: tuple | None = None  # (range, doc_id, text), not a tail
-    for batch in batches:
-        for at in range(0, len(batch), 300):
-            part = batch.slice(at, 300)
-            pairs = []
-            for doc_id, text, place, tail in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "range", "tail"))):
-                text = text or ""
-                if held is not None and held[0] == place:
-                    pairs.append((held[1], held[2], text))
-                held = None if tail else (place, doc_id, text)
-            if not pairs:
-                continue
-            texts, nexts = [p[1] for p in pairs], [p[2] for p in pairs]
-            edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, nexts)]
-            own, other, new = (fingerprints(pa.array(x, pa.large_string())) for x in (texts, nexts, edited))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([p[0] for p in pairs], pa.int64()),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
-                    pa.array(packed(*own)),
-                    pa.array(packed(*new)),
-                    pa.array(likeness(own, new)),
-                    pa.array(likeness(own, other)),
-                ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
+    for part in W.slices(batches, "text", 2 << 20, 500):
+        pairs = []
+        for doc_id, text, place, tail in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "range", "tail"))):
+            text = text or ""
+            if held is not None and held[0] == place:
+                pairs.append((held[1], held[2], text))
+            held = None if tail else (place, doc_id, text)
+        if not pairs:
+            continue
+        texts, nexts = [p[1] for p in pairs], [p[2] for p in pairs]
+        edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, nexts)]
+        own, other, new = (fingerprints(pa.array(x, pa.large_string())) for x in (texts, nexts, edited))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([p[0] for p in pairs], pa.int64()),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
+                pa.array(packed(*own)),
+                pa.array(packed(*new)),
+                pa.array(likeness(own, new)),
+                pa.array(likeness(own, other)),
+            ],
+            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        )
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:

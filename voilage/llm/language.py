@@ -93,7 +93,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in W.slices(batches, "text"):
         rows = [x.tobytes() for x in linear.shares(batch.column("text"), W.lower())]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(rows, pa.binary())], names=["lang", "features"])
 
@@ -103,19 +103,17 @@ TOLD = ("guess", "belief", "lead")
 
 def _predictions(model: Model, told: Sequence[str] = TOLD) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                best, belief, lead = model.decode(np.stack(list(linear.shares(part.column("text"), W.lower()))))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(c) for c in part.schema.names),
-                        pa.array([model.languages[i] for i in best], pa.string()),
-                        pa.array(belief.astype(float)),
-                        pa.array(lead.astype(float)),
-                    ],
-                    names=[*part.schema.names, *told],
-                )
+        for part in W.slices(batches, "text", rows=256):
+            best, belief, lead = model.decode(np.stack(list(linear.shares(part.column("text"), W.lower()))))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(part.column(c) for c in part.schema.names),
+                    pa.array([model.languages[i] for i in best], pa.string()),
+                    pa.array(belief.astype(float)),
+                    pa.array(lead.astype(float)),
+                ],
+                names=[*part.schema.names, *told],
+            )
 
     return run
 

@@ -91,14 +91,12 @@ def numbers(data: np.ndarray, found: W.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(len(VOCABULARY), np.int64), 0
-    for batch in batches:
-        for at in range(0, len(batch), 2000):
-            part = batch.slice(at, 2000)
-            data, found = _split(part.column(0))
-            places, told = numbers(data, found)
-            row = np.searchsorted(found.bounds, places, "right") - 1
-            total += np.bincount(np.unique(row * len(VOCABULARY) + told) % len(VOCABULARY), minlength=len(VOCABULARY))
-            n += len(part)
+    for part in W.slices(batches, 0):
+        data, found = _split(part.column(0))
+        places, told = numbers(data, found)
+        row = np.searchsorted(found.bounds, places, "right") - 1
+        total += np.bincount(np.unique(row * len(VOCABULARY) + told) % len(VOCABULARY), minlength=len(VOCABULARY))
+        n += len(part)
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.arange(-1, len(VOCABULARY), dtype=np.int32)), pa.array(np.concatenate([[n], total]))], names=["word", "n"]
     )
@@ -169,28 +167,26 @@ def find(places: np.ndarray, told: np.ndarray, idf: np.ndarray) -> Finding:
 
 def _found(idf: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, len(batch), 2000):
-                part = batch.slice(start, 2000)
-                data, found = _split(part.column(1))
-                places, told = numbers(data, found)
-                edges = np.searchsorted(places, found.bounds)
-                results = [
-                    find(places[a:b] - first, told[a:b], idf) for a, b, first in zip(edges[:-1], edges[1:], found.bounds[:-1])
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(np.diff(found.bounds)),
-                        pa.array([len(r.base_places) for r in results], pa.int64()),
-                        pa.array([min(r.base_places, default=None) for r in results], pa.int64()),
-                        pa.array([max(r.base_places, default=None) for r in results], pa.int64()),
-                        pa.array([",".join(sorted(r.base_labels)) for r in results]),
-                        pa.array([",".join(sorted(r.labels)) for r in results]),
-                        pa.array([float(r.score) for r in results]),
-                    ],
-                    names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
-                )
+        for part in W.slices(batches):
+            data, found = _split(part.column(1))
+            places, told = numbers(data, found)
+            edges = np.searchsorted(places, found.bounds)
+            results = [
+                find(places[a:b] - first, told[a:b], idf) for a, b, first in zip(edges[:-1], edges[1:], found.bounds[:-1])
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array(np.diff(found.bounds)),
+                    pa.array([len(r.base_places) for r in results], pa.int64()),
+                    pa.array([min(r.base_places, default=None) for r in results], pa.int64()),
+                    pa.array([max(r.base_places, default=None) for r in results], pa.int64()),
+                    pa.array([",".join(sorted(r.base_labels)) for r in results]),
+                    pa.array([",".join(sorted(r.labels)) for r in results]),
+                    pa.array([float(r.score) for r in results]),
+                ],
+                names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+            )
 
     return run
 

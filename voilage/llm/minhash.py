@@ -71,7 +71,7 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sketches(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.slices(batches):
             counts, sums, mixes, keys, bounds = [], [], [], [], [0]
             for own in shingle_sets(batch.column(1), size):
                 counts.append(len(own))
@@ -97,15 +97,13 @@ def _sketches(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordB
 
 def _full_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                sets = list(shingle_sets(part.column(1), size))
-                bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=["doc", "shingles"]
-                )
+        for part in W.slices(batches):
+            sets = list(shingle_sets(part.column(1), size))
+            bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=["doc", "shingles"]
+            )
 
     return run
 

@@ -163,18 +163,17 @@ class Scorer:
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in W.slices(batches, "text"):
         found, n = np.unique(pattern(votes(batch.column("text"))), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["pattern", "n"])
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, len(batch), 256):
-            texts = batch.slice(at, 256).column("text")
-            codes = pattern(votes(texts)).astype(np.int64)
-            rows = [x.tobytes() for x in features(texts)[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(rows, pa.binary())], names=["pattern", "features"])
+    for part in W.slices(batches, "text", rows=256):
+        texts = part.column("text")
+        codes = pattern(votes(texts)).astype(np.int64)
+        rows = [x.tobytes() for x in features(texts)[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(rows, pa.binary())], names=["pattern", "features"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Scorer | None:
@@ -204,24 +203,22 @@ TOLD = ("n_votes", "posterior", "score")
 
 def _scores(scorer: Scorer, told: Sequence[str] = TOLD) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                vote = votes(part.column("text"))
-                counts, x = features(part.column("text"))
-                prior = np.log(scorer.belief.prior / (1 - scorer.belief.prior))
-                own = (x @ scorer.weights + scorer.offset)[:, 0].astype(float)
-                trust = counts / (counts + HALF_TRUST)
-                score = 1 / (1 + np.exp(-np.clip(trust * own + (1 - trust) * prior, -500, 500)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(c) for c in part.schema.names),
-                        pa.array((vote != 2).sum(1).astype(np.int32)),
-                        pa.array(scorer.belief.good(pattern(vote)).astype(float)),
-                        pa.array(score),
-                    ],
-                    names=[*part.schema.names, *told],
-                )
+        for part in W.slices(batches, "text", rows=256):
+            vote = votes(part.column("text"))
+            counts, x = features(part.column("text"))
+            prior = np.log(scorer.belief.prior / (1 - scorer.belief.prior))
+            own = (x @ scorer.weights + scorer.offset)[:, 0].astype(float)
+            trust = counts / (counts + HALF_TRUST)
+            score = 1 / (1 + np.exp(-np.clip(trust * own + (1 - trust) * prior, -500, 500)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(part.column(c) for c in part.schema.names),
+                    pa.array((vote != 2).sum(1).astype(np.int32)),
+                    pa.array(scorer.belief.good(pattern(vote)).astype(float)),
+                    pa.array(score),
+                ],
+                names=[*part.schema.names, *told],
+            )
 
     return run
 

@@ -54,7 +54,7 @@ def _sketches(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     """doc_id, digest, number of words, chosen runs and the digest of all words, per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.slices(batches, 2):
             data, found = _split(batch.column(2))
             chosen, plain, bounds = [np.zeros(0, np.uint64)], [], [0]
             for a, b in zip(found.bounds[:-1], found.bounds[1:]):
@@ -84,39 +84,37 @@ def _passages(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     """Whole texts (seg -1), and the stretches of each whose windows hold a shared run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
-                data, found = _split(part.column(2))
-                shared, ends = part.column(3).flatten().to_numpy().view(np.uint64), part.column(3).value_lengths().to_numpy()
-                ends = np.cumsum(ends)
-                row, seg, text, windows = [], [], [], []
-                for i in range(len(part)):
-                    a, b = found.bounds[i], found.bounds[i + 1]
+        for part in W.slices(batches, 2, 2 << 20):
+            data, found = _split(part.column(2))
+            shared, ends = part.column(3).flatten().to_numpy().view(np.uint64), part.column(3).value_lengths().to_numpy()
+            ends = np.cumsum(ends)
+            row, seg, text, windows = [], [], [], []
+            for i in range(len(part)):
+                a, b = found.bounds[i], found.bounds[i + 1]
+                row.append(i)
+                seg.append(-1)
+                text.append(data[found.starts[a] : found.ends[b - 1]].tobytes() if b > a else b"")
+                windows.append(np.zeros(0, np.int64))
+                runs, places = _chosen(found.hashes[a:b], window)
+                hit = np.isin(runs[places], shared[ends[i - 1] if i else 0 : ends[i]])
+                hashes = W.rolling(found.hashes[a:b], window)
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                for first, last in edges.reshape(-1, 2):
                     row.append(i)
-                    seg.append(-1)
-                    text.append(data[found.starts[a] : found.ends[b - 1]].tobytes() if b > a else b"")
-                    windows.append(np.zeros(0, np.int64))
-                    runs, places = _chosen(found.hashes[a:b], window)
-                    hit = np.isin(runs[places], shared[ends[i - 1] if i else 0 : ends[i]])
-                    hashes = W.rolling(found.hashes[a:b], window)
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                    for first, last in edges.reshape(-1, 2):
-                        row.append(i)
-                        seg.append(int(first))
-                        text.append(data[found.starts[a + first] : found.ends[a + last + window - 2]].tobytes())
-                        windows.append(hashes[first:last].view(np.int64))
-                bounds = np.cumsum([0, *map(len, windows)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(pa.array(row)),
-                        part.column(1).take(pa.array(row)),
-                        pa.array(seg, pa.int32()),
-                        pa.array(text, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(windows))),
-                    ],
-                    names=["doc_id", "digest", "seg", "text", "windows"],
-                )
+                    seg.append(int(first))
+                    text.append(data[found.starts[a + first] : found.ends[a + last + window - 2]].tobytes())
+                    windows.append(hashes[first:last].view(np.int64))
+            bounds = np.cumsum([0, *map(len, windows)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(pa.array(row)),
+                    part.column(1).take(pa.array(row)),
+                    pa.array(seg, pa.int32()),
+                    pa.array(text, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(windows))),
+                ],
+                names=["doc_id", "digest", "seg", "text", "windows"],
+            )
 
     return run
 

@@ -147,7 +147,7 @@ def encode_and_decode(docs: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_file)
-        for batch in batches:
+        for batch in W.slices(batches):
             data, offsets = W.buffer_of(batch.column(1))
             counts, sums, shas, same = [], [], [], []
             for at, ids, bounds in model.batches(batch.column(1)):
@@ -170,7 +170,7 @@ def encoded(docs: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_file)
-        for batch in batches:
+        for batch in W.slices(batches):
             for at, ids, bounds in model.batches(batch.column(1)):
                 rows = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bounds) - 1), rows], names=["doc_id", "ids"])

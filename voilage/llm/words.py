@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 17
 _P = np.uint64(0x9E3779B97F4A7C15 | 5)  # odd, 5 modulo 8: powers differ in their high bits soonest
@@ -93,6 +94,17 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[places[0] : places[-1]], places - places[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int | str = 1, size: int = 4 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of about ``size`` bytes of text, one row at least, so that memory does not follow theirs."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, before = 0, 0
+        while at < len(batch):
+            to = min(max(at + 1, int(np.searchsorted(ends, before + size, "right"))), at + rows)
+            yield batch.slice(at, to - at)
+            at, before = to, int(ends[to - 1])
+
+
 def _blocks(data: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of about BLOCK bytes that end behind a separator, or at the end."""
     at, n = 0, len(data)
