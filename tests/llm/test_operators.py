@@ -503,6 +503,42 @@ def test_vectors_by_brute_force(spark, monkeypatch):
     assert neighbours.near_vectors(copies).count() == 7
 
 
+def families(sizes, inner, cross):
+    """Unit vectors at cosine ``inner`` within a family and ``cross`` between two of them."""
+    n = sum(sizes)
+    family, near = np.repeat(np.arange(len(sizes)), sizes), np.zeros((n, n))
+    near[:] = np.where(family[:, None] == family[None, :], inner, cross)
+    np.fill_diagonal(near, 1)
+    return np.linalg.cholesky(near)
+
+
+def test_vectors_link_across_families_that_fill_each_others_places(spark):
+    vectors = families([40, 40], 0.99, 0.96)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.near_vectors(df).collect()}
+    assert got == {i: (79, 0) for i in range(80)}
+
+
+def test_asked_vectors_meet_every_link_in_any_tile_and_chunk(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE", 7)
+    monkeypatch.setattr(neighbours, "LEADERS", 3)
+    monkeypatch.setattr(neighbours, "CHUNK", 16 * 50)
+    draw = np.random.default_rng(6)
+    base = draw.standard_normal((8, 16))
+    told = [(i, [float(x) for x in base[i % 8] + 0.2 * (i % 3) * draw.standard_normal(16)], 1 + i % 2, i % 8) for i in range(200)]
+    nodes = spark.createDataFrame(told, "node bigint, v array<double>, weight bigint, root bigint")
+    asked = neighbours._asked(nodes, nodes, 16)
+    x = np.array([v for _, v, *_ in told])
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    near = (x @ x.T >= 0.95) & ~np.eye(200, dtype=bool)
+    want = {i: int(n) for i, n in enumerate(near @ np.array([w for *_, w, _ in told])) if n}
+    for side in ("asked", "not asked"):
+        assert {r["node"]: r["n"] for r in asked.where(side).groupBy("node").agg(F.sum("n").alias("n")).collect()} == want
+    roots = {r["node"]: r["root"] for r in components(asked.select(F.col("node").alias("a"), F.col("other").alias("b"))).collect()}
+    brute = brute_links([(i, v) for i, v, *_ in told])
+    assert {i: roots.get(i, i) for i in brute} == {i: root for i, (_, root) in brute.items()}
+
+
 # pipeline
 
 

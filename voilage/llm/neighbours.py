@@ -4,9 +4,11 @@
    bounded size; within a block each vector keeps its nearest neighbours of useful likeness.
 2. Descend. Neighbours of a common neighbour are compared and enter each other's lists, until a
    round brings few new ones.
-3. Enlarge. A vector whose whole list lies above the threshold may have more links than places.
-   Its list is enlarged to all vectors of its component (every direct link is among them), which
-   are compared in blocks that only report counts.
+3. Ask. A vector whose whole list lies above the threshold may have more links than places, also
+   to vectors outside its component as found so far. All vectors of such a component are asked
+   against the whole table, in chunks. A tile of asking vectors meets only those rows that the
+   triangle inequality lets come near it; what is reported are counts, and for each chunk one link
+   a row to grow the components by.
 4. Audit. The links of a fixed sample of vectors are found by brute force. Below the wanted recall
    more trees are added and the search goes on.
 
@@ -15,6 +17,7 @@ Equal vectors are one class with a weight, so copies never meet one by one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voilage.llm.shared import components, materialize
+from voilage.session import scratch_path, spread
 
 THRESHOLD = 0.95
 USEFUL = 0.8  # likeness from which a neighbour is kept to search on from
@@ -30,6 +34,9 @@ PLACES = 16
 TREES = 12
 LEAF = 256
 BLOCK = 512
+CHUNK = 1 << 20  # numbers in the vectors that are asked in one pass over the table
+TILE = 512
+LEADERS = 256
 ROUNDS = 8
 AUDIT = 200
 RECALL = 0.99
@@ -76,13 +83,109 @@ def _within(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids[a]), pa.array(ids[b]), pa.array(likeness[a, b])], names=["a", "b", "likeness"])
 
 
-def _counts(group: pa.Table) -> pa.Table:
-    """Links of each asking row of a block with its answering rows."""
-    asks = group.column("asks").to_numpy(zero_copy_only=False)
-    ids, weight = group.column("node").to_numpy(), group.column("weight").to_numpy()
-    x = unit(group.column("v"))
-    near = (x[asks] @ x[~asks].T >= THRESHOLD) & (ids[asks][:, None] != ids[~asks][None, :])
-    return pa.table([pa.array(ids[asks]), pa.array(near @ weight[~asks])], names=["node", "n"])
+def _tiles(x: np.ndarray) -> tuple[np.ndarray, list[slice], np.ndarray, np.ndarray]:
+    """An order of the rows, their tiles in it, the tiles' centres, and the least cosine to a centre of all that links with its tile."""
+    left, groups = np.arange(len(x)), []
+    while len(left) and len(groups) < LEADERS:
+        near = x[left] @ x[left[0]] >= THRESHOLD
+        near[0] = True
+        groups.append(left[near])
+        left = left[~near]
+    parts = [g[i : i + TILE] for g in [*groups, left] for i in range(0, len(g), TILE)]
+    ends = np.cumsum([len(part) for part in parts])
+    centres = np.array([x[part[0]] for part in parts])
+    radius = np.array([np.arccos(np.clip((x[part] @ x[part[0]]).min(), -1, 1)) for part in parts])
+    reach = np.cos(np.minimum(np.pi, radius + np.arccos(THRESHOLD))) - 1e-6
+    return np.concatenate(parts), [slice(int(e) - len(part), int(e)) for e, part in zip(ends, parts)], centres, reach
+
+
+def _joined(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows that all have a link: the first column reachable from each row, and from each column."""
+    columns = np.arange(near.shape[1])
+    while True:
+        rows = np.where(near, columns, near.shape[1]).min(1)
+        more = np.minimum(columns, np.where(near, rows[:, None], near.shape[1]).min(0))
+        if (more == columns).all():
+            return rows, columns
+        columns = more
+
+
+ASKED = "asked boolean, node bigint, n bigint, other bigint"
+
+
+def _ask(ids: np.ndarray, weight: np.ndarray, x: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of these vectors with all rows: counts of both sides, and links that join what is connected."""
+    order, tiles, centres, reach = _tiles(x)
+    ids, weight, x = ids[order], weight[order], x[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, total = list(range(len(ids))), np.zeros(len(ids), np.int64)
+
+        def root(i: int) -> int:
+            while top[i] != i:
+                top[i] = top[top[i]]
+                i = top[i]
+            return i
+
+        def rows(asked: bool, node: np.ndarray, n: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(node), asked)), pa.array(node), pa.array(n), pa.array(other)], names=["asked", "node", "n", "other"]
+            )
+
+        for batch in batches:
+            for at in range(0, len(batch), 4 * TILE):
+                part = batch.slice(at, 4 * TILE)
+                y, own = unit(part.column("v")), part.column("node").to_numpy()
+                copies, n, first = part.column("weight").to_numpy(), np.zeros(len(own), np.int64), np.full(len(own), -1)
+                close = y @ centres.T >= reach
+                for t, tile in enumerate(tiles):
+                    some = np.flatnonzero(close[:, t])
+                    near = (y[some] @ x[tile].T >= THRESHOLD) & (own[some][:, None] != ids[tile][None, :])
+                    hit = near.any(1)
+                    if not hit.any():
+                        continue
+                    near, some = near[hit], some[hit]
+                    n[some] += near @ weight[tile]
+                    total[tile] += copies[some] @ near
+                    told, columns = _joined(near)
+                    known = first[some] >= 0
+                    links = np.concatenate(
+                        [
+                            np.stack([np.arange(len(columns)), columns], 1) + tile.start,
+                            np.stack([first[some][known], told[known] + tile.start], 1),
+                        ]
+                    )
+                    for a, b in np.unique(links[links[:, 0] != links[:, 1]], axis=0).tolist():
+                        top[root(a)] = root(b)
+                    first[some[~known]] = told[~known] + tile.start
+                linked = first >= 0
+                if linked.any():
+                    yield rows(False, own[linked], n[linked], ids[first[linked]])
+        linked = total > 0
+        if linked.any():
+            yield rows(True, ids[linked], total[linked], ids[[root(i) for i in np.flatnonzero(linked).tolist()]])
+
+    return run
+
+
+def _asked(asks: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """Links of the asking vectors (node, v, weight, root) with all vectors, exactly.
+
+    Those of a root stay together unless they are many, so that a chunk has few centres.
+    """
+    size = max(1, CHUNK // width)
+    many = max(1, math.ceil(asks.count() / size))
+    large = asks.groupBy("root").count().where(F.col("count") > size // 2).select(F.col("root").alias("r"), F.lit(True).alias("large"))
+    key = F.when(F.col("large"), F.col("node")).otherwise(F.col("root"))
+    dealt = materialize(asks.join(large, F.col("root") == F.col("r"), "left").select("node", "v", "weight", F.pmod(F.xxhash64(key), F.lit(many)).alias("chunk")))
+    path, rows = scratch_path(nodes.sparkSession, "asked"), spread(nodes.select("node", "v", "weight"))
+    nodes.sparkSession.createDataFrame([], ASKED).write.parquet(path)
+    for chunk in range(many):
+        own = dealt.where(F.col("chunk") == chunk).select("node", "v", "weight").toArrow()
+        if len(own):
+            run = _ask(own.column("node").to_numpy(), own.column("weight").to_numpy(), unit(own.column("v")))
+            rows.mapInArrow(run, ASKED).write.mode("append").parquet(path)
+    return nodes.sparkSession.read.schema(ASKED).parquet(path)
 
 
 def _pair_likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +234,7 @@ def _descend(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         full = materialize(_full(lists))
         around = lists.select("node", F.col("other").alias("a"))
         pairs = around.join(around.withColumnRenamed("a", "b"), "node").where("a < b").select("a", "b").distinct()
-        # two full lists gain nothing from each other here; they are enlarged later
+        # two full lists gain nothing from each other here; they are asked later
         marked = pairs.join(full.select(F.col("node").alias("a"), F.lit(True).alias("fa")), "a", "left")
         marked = marked.join(full.select(F.col("node").alias("b"), F.lit(True).alias("fb")), "b", "left")
         fresh = marked.where("fa is null or fb is null").select("a", "b").join(edges, ["a", "b"], "left_anti")
@@ -145,26 +248,28 @@ def _descend(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges
 
 
-def _answer(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _answer(nodes: DataFrame, edges: DataFrame, width: int) -> DataFrame:
     """node, root, links (weights of the classes linked), from threshold edges."""
-    links = edges.where(F.col("likeness") >= THRESHOLD)
-    roots = components(links.select("a", "b"))
+    links = edges.where(F.col("likeness") >= THRESHOLD).select("a", "b")
+    roots = components(links)
     full = _full(_lists(edges)).join(roots, "node").select(F.col("root").alias("r")).distinct()
-    crowded = materialize(roots.join(full, F.col("root") == F.col("r"), "left_semi").join(nodes, "node"))
-    sizes = materialize(crowded.groupBy("root").agg((1 + F.floor(F.count("*") / BLOCK)).cast("int").alias("blocks"))).withColumnRenamed("root", "r")
-    dealt = crowded.join(sizes, F.col("root") == F.col("r"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sides = dealt.select("root", "node", "v", "weight", own.alias("i"), every.alias("j"), F.lit(True).alias("asks")).unionByName(
-        dealt.select("root", "node", "v", "weight", every.alias("i"), own.alias("j"), F.lit(False).alias("asks"))
-    )
-    enlarged = sides.groupBy("root", "i", "j").applyInArrow(_counts, "node bigint, n bigint")
+    crowded = materialize(roots.join(full, F.col("root") == F.col("r"), "left_semi").join(nodes, "node").select("node", "v", "weight", "root"))
+    if crowded.isEmpty():
+        told = nodes.sparkSession.createDataFrame([], ASKED)
+    else:
+        told = _asked(crowded, nodes, width)
+        roots = components(links.unionByName(told.select(F.col("node").alias("a"), F.col("other").alias("b"))))
     weights = nodes.select(F.col("node").alias("other"), "weight")
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
         links.select(F.col("b").alias("node"), F.col("a").alias("other"))
     )
-    listed = both.join(crowded.select("node"), "node", "left_anti").join(weights, "other").select("node", F.col("weight").alias("n"))
-    counts = listed.unionByName(enlarged).groupBy("node").agg(F.sum("n").alias("links"))
+    # what links two vectors that were not asked is listed; all else was counted on asking
+    asking = crowded.select("node")
+    listed = both.join(asking, "node", "left_anti").join(asking.withColumnRenamed("node", "other"), "other", "left_anti")
+    listed = listed.join(weights, "other").select("node", F.col("weight").alias("n"))
+    answering = told.where("not asked").join(asking, "node", "left_anti").select("node", "n")
+    counts = listed.unionByName(answering).unionByName(told.where("asked").select("node", "n"))
+    counts = counts.groupBy("node").agg(F.sum("n").alias("links"))
     return materialize(roots.join(counts, "node", "left").select("node", "root", F.coalesce("links", F.lit(0)).alias("links")))
 
 
@@ -218,7 +323,7 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
             start = _start(own, width, count, attempt)
             edges = materialize(start if edges is None else edges.unionByName(start).dropDuplicates(["a", "b"]))
             edges = _descend(edges, own)
-            answer = _answer(own, edges)
+            answer = _answer(own, edges, width)
             if _recall(own, answer) >= RECALL:
                 break
         told = answer if told is None else told.unionByName(answer)
