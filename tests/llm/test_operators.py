@@ -519,6 +519,17 @@ def test_vectors_link_across_families_that_fill_each_others_places(spark):
     assert got == {i: (79, 0) for i in range(80)}
 
 
+def test_vectors_are_compared_as_a_whole_where_the_search_stays_short(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "AUDIT", 5)  # most likely without one of the three linked vectors
+    monkeypatch.setattr(neighbours, "ATTEMPTS", 1)
+    monkeypatch.setattr(neighbours, "_start", lambda nodes, *_: nodes.sparkSession.createDataFrame([], neighbours.PAIR))
+    vectors = np.concatenate([np.eye(120), families([3], 0.96, 0) @ np.eye(3, 120) + 1e-3 * np.eye(3, 120, 60)])[3:]
+    told = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(told, "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.near_vectors(df).collect()}
+    assert got == brute_links(told) and got[119] == (2, 117)
+
+
 def test_asked_vectors_meet_every_link_in_any_tile_and_chunk(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "TILE", 7)
     monkeypatch.setattr(neighbours, "LEADERS", 3)

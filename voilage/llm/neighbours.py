@@ -9,8 +9,9 @@
    against the whole table, in chunks. A tile of asking vectors meets only those rows that the
    triangle inequality lets come near it; what is reported are counts, and for each chunk one link
    a row to grow the components by.
-4. Audit. The links of a fixed sample of vectors are found by brute force. Below the wanted recall
-   more trees are added and the search goes on.
+4. Audit. The links of a sample of vectors are found by brute force; it is drawn on until it holds
+   AUDIT linked vectors, or the whole table. Below the wanted recall more trees are added and the
+   search goes on. If the recall stays short after ATTEMPTS, all vectors are asked as in step 3.
 
 Equal vectors are one class with a weight, so copies never meet one by one.
 """
@@ -273,24 +274,33 @@ def _answer(nodes: DataFrame, edges: DataFrame, width: int) -> DataFrame:
     return materialize(roots.join(counts, "node", "left").select("node", "root", F.coalesce("links", F.lit(0)).alias("links")))
 
 
-def _recall(nodes: DataFrame, answer: DataFrame) -> float:
-    """Share of the brute-force links of a sample of at most AUDIT vectors that were found."""
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "v").collect()
-    if not sample:
-        return 1.0
-    ids, x = np.array([r["node"] for r in sample]), unit(pa.array([r["v"] for r in sample]))
+def _recall(nodes: DataFrame, answer: DataFrame, width: int, count: int) -> float:
+    """Share of the brute-force links that were found, of a sample that holds AUDIT linked vectors or is the whole table.
 
-    def true_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ids), np.int64)
-        for batch in batches:
-            near = x @ unit(batch.column("v")).T >= THRESHOLD
-            near &= ids[:, None] != batch.column("node").to_numpy()[None, :]
-            total += near @ batch.column("weight").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "n"])
-
-    true = nodes.select("node", "v", "weight").mapInArrow(true_links, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
-    row = true.join(answer, "node", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0)))).alias("found")).first()
-    return 1.0 if not row["n"] else row["found"] / row["n"]
+    The share of all links or the mean of each linked vector's own share, whichever is less.
+    """
+    place = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    n = found = linked = shares = 0
+    low, high = 0.0, min(1.0, AUDIT / max(1, count))
+    while True:
+        sample = nodes.where((place >= low) & (place < high)).withColumn("root", F.col("node"))
+        true = _asked(sample, nodes, width).where("asked").groupBy("node").agg(F.sum("n").alias("n"))
+        told = true.join(answer, "node", "left").select("n", F.least("n", F.coalesce("links", F.lit(0))).alias("found"))
+        row = told.agg(F.sum("n").alias("n"), F.sum("found").alias("found"), F.count("*").alias("linked"), F.sum(F.col("found") / F.col("n")).alias("shares")).first()
+        linked += row["linked"]
+        if row["linked"]:
+            n, found, shares = n + row["n"], found + row["found"], shares + row["shares"]
+        if linked >= AUDIT or high >= 1:
+            return min(found / n, shares / linked) if linked else 1.0
+        low, high = high, min(1.0, 4 * high)
+
+
+def _whole(nodes: DataFrame, width: int) -> DataFrame:
+    """The answer by asking every vector."""
+    told = _asked(nodes.withColumn("root", F.col("node")), nodes, width)
+    roots = components(told.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    counts = told.where("asked").groupBy("node").agg(F.sum("n").alias("links"))
+    return materialize(roots.join(counts, "node").select("node", "root", "links"))
 
 
 def _classes(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[DataFrame, DataFrame]:
@@ -324,8 +334,10 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
             edges = materialize(start if edges is None else edges.unionByName(start).dropDuplicates(["a", "b"]))
             edges = _descend(edges, own)
             answer = _answer(own, edges, width)
-            if _recall(own, answer) >= RECALL:
+            if _recall(own, answer, width, count) >= RECALL:
                 break
+        else:
+            answer = _whole(own, width)
         told = answer if told is None else told.unionByName(answer)
     classes = nodes.select("v", "node", "weight")
     if told is None:
