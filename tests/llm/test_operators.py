@@ -329,6 +329,16 @@ def test_licence_templates_in_messy_rows(spark, messy, empty):
     assert licences.scan(messy).count() == len(messy_rows()) and licences.scan(empty).count() == 0
 
 
+def test_no_licence_notice_crowds_out_another(spark):
+    filler = " ".join(draw for draw in random.Random(4).choices(prose(9, 300).split() + list(licences.VOCABULARY), k=20000))
+    every = " zz ".join(text for _, text, _ in licences.TEMPLATES)
+    told = [(0, every)] + [(1 + t, f"{filler} zz {text} zz {filler}") for t, (_, text, _) in enumerate(licences.TEMPLATES)]
+    by = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(told, "doc_id bigint, text string")).collect()}
+    assert set(by[0]["labels"].split(",")) == {label for label, *_ in licences.TEMPLATES} and by[0]["score"] == 1.0
+    for t, (label, *_) in enumerate(licences.TEMPLATES):
+        assert label in by[1 + t]["labels"].split(",") and by[1 + t]["score"] == 1.0
+
+
 # 6: language
 
 

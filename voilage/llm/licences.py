@@ -1,26 +1,24 @@
-"""Licence notices by a positional index of rare words.
+"""Licence notices by votes of the words of licence templates.
 
-The index holds, for each word of the licence templates, the templates and places it stands at.
-Each document looks up its own highest-IDF licence words (IDF over all documents); every
-occurrence votes for the places where a template would have to start. A start that several of
-these words agree on is verified: the template's mandatory phrases must stand there, word for
-word. Independently, plain licence names (base phrases) are found wherever they stand.
+A template whose mandatory phrases stand in a document has all its words looked up there, each
+template its own, so that no notice crowds out another. Every occurrence votes for the place where
+the template would have to start. A start that several words agree on is verified: the mandatory
+phrases must stand there, word for word. Independently, plain licence names (base phrases) are found
+wherever they stand.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from voilage.llm import words as W
 from voilage.llm.shared import documents_only
 
-RARE_WORDS = 8  # looked up per document
 LEAST_VOTES = 2
 # fixed values: names of licences, and passages of their notices with the phrases that must stand
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -89,26 +87,6 @@ def numbers(data: np.ndarray, found: W.Words) -> tuple[np.ndarray, np.ndarray]:
     return at[good], told[good]
 
 
-def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = np.zeros(len(VOCABULARY), np.int64), 0
-    for part in W.slices(batches, 0):
-        data, found = _split(part.column(0))
-        places, told = numbers(data, found)
-        row = np.searchsorted(found.bounds, places, "right") - 1
-        total += np.bincount(np.unique(row * len(VOCABULARY) + told) % len(VOCABULARY), minlength=len(VOCABULARY))
-        n += len(part)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(-1, len(VOCABULARY), dtype=np.int32)), pa.array(np.concatenate([[n], total]))], names=["word", "n"]
-    )
-
-
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """IDF of each word of the vocabulary over all documents."""
-    counted = documents_only(docs, "text").mapInArrow(_presence, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    seen = {r["word"]: r["n"] for r in counted}
-    return np.array([np.log((1 + seen.get(-1, 0)) / (1 + seen.get(i, 0))) for i in range(len(VOCABULARY))])
-
-
 @dataclass(frozen=True)
 class Finding:
     base_places: list[int]
@@ -121,17 +99,13 @@ _BASE = [([_NUMBER[w] for w in phrase.split()], label) for phrase, label in BASE
 _TEMPLATES = [
     (label, [_NUMBER[w] for w in text.split()], [[_NUMBER[w] for w in p.split()] for p in phrases]) for label, text, phrases in TEMPLATES
 ]
-_POSTINGS: dict[int, list[tuple[int, int]]] = {}
-for _t, (_, _words, _) in enumerate(_TEMPLATES):
-    for _i, _w in enumerate(_words):
-        _POSTINGS.setdefault(_w, []).append((_t, _i))
 
 
 def _stands(at: dict[int, int], place: int, phrase: list[int]) -> bool:
     return all(at.get(place + i) == w for i, w in enumerate(phrase))
 
 
-def find(places: np.ndarray, told: np.ndarray, idf: np.ndarray) -> Finding:
+def find(places: np.ndarray, told: np.ndarray) -> Finding:
     """Findings in one document, given the places and numbers of its vocabulary words."""
     at = dict(zip(places.tolist(), told.tolist()))
     have = set(at.values())
@@ -144,51 +118,45 @@ def find(places: np.ndarray, told: np.ndarray, idf: np.ndarray) -> Finding:
                     base_labels.add(label)
     if base_labels:
         score = 0.5
-    rare = sorted(have, key=lambda w: (-idf[w], w))[:RARE_WORDS]
     possible = [t for t, (_, _, phrases) in enumerate(_TEMPLATES) if all(have.issuperset(p) for p in phrases)]
     for t in possible:
         label, words, phrases = _TEMPLATES[t]
-        votes: dict[int, set[int]] = {}
-        for w in rare:
-            for template, i in _POSTINGS[w]:
-                if template == t:
-                    for start in (places[told == w] - i).tolist():
-                        votes.setdefault(start, set()).add(w)
-        for start, who in votes.items():
-            if len(who) < LEAST_VOTES:
-                continue
-            span = range(start - 2, start + len(words) + 2)
-            if all(any(_stands(at, place, p) for place in span) for p in phrases):
-                share = sum(at.get(start + i) == w for i, w in enumerate(words)) / len(words)
-                labels.add(label)
-                score = max(score, 0.5 + 0.5 * share)
+        stands = [np.array([p for p in places[told == phrase[0]].tolist() if _stands(at, p, phrase)], np.int64) for phrase in phrases]
+        if not all(map(len, stands)):
+            continue
+        starts = [places[told == w] - i for i, w in enumerate(words)]
+        voters = np.repeat(words, [len(x) for x in starts])
+        starts, in_place = np.unique(np.concatenate(starts) * len(VOCABULARY) + voters, return_counts=True)
+        starts, which, votes = np.unique(starts // len(VOCABULARY), return_inverse=True, return_counts=True)
+        good = votes >= LEAST_VOTES
+        for spots in stands:
+            good &= np.searchsorted(spots, starts - 2) < np.searchsorted(spots, starts + len(words) + 2)
+        if good.any():
+            labels.add(label)
+            share = np.bincount(which, in_place)[good].max() / len(words)
+            score = max(score, 0.5 + 0.5 * float(share))
     return Finding(base_places, base_labels, labels | base_labels, score)
 
 
-def _found(idf: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.slices(batches):
-            data, found = _split(part.column(1))
-            places, told = numbers(data, found)
-            edges = np.searchsorted(places, found.bounds)
-            results = [
-                find(places[a:b] - first, told[a:b], idf) for a, b, first in zip(edges[:-1], edges[1:], found.bounds[:-1])
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.array(np.diff(found.bounds)),
-                    pa.array([len(r.base_places) for r in results], pa.int64()),
-                    pa.array([min(r.base_places, default=None) for r in results], pa.int64()),
-                    pa.array([max(r.base_places, default=None) for r in results], pa.int64()),
-                    pa.array([",".join(sorted(r.base_labels)) for r in results]),
-                    pa.array([",".join(sorted(r.labels)) for r in results]),
-                    pa.array([float(r.score) for r in results]),
-                ],
-                names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
-            )
-
-    return run
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in W.slices(batches):
+        data, found = _split(part.column(1))
+        places, told = numbers(data, found)
+        edges = np.searchsorted(places, found.bounds)
+        results = [find(places[a:b] - first, told[a:b]) for a, b, first in zip(edges[:-1], edges[1:], found.bounds[:-1])]
+        yield pa.RecordBatch.from_arrays(
+            [
+                part.column(0),
+                pa.array(np.diff(found.bounds)),
+                pa.array([len(r.base_places) for r in results], pa.int64()),
+                pa.array([min(r.base_places, default=None) for r in results], pa.int64()),
+                pa.array([max(r.base_places, default=None) for r in results], pa.int64()),
+                pa.array([",".join(sorted(r.base_labels)) for r in results]),
+                pa.array([",".join(sorted(r.labels)) for r in results]),
+                pa.array([float(r.score) for r in results]),
+            ],
+            names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+        )
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -201,4 +169,4 @@ def scan(docs: DataFrame) -> DataFrame:
     schema = (
         "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
     )
-    return documents_only(docs, "doc_id", "text").mapInArrow(_found(inverse_frequencies(docs)), schema)
+    return documents_only(docs, "doc_id", "text").mapInArrow(_found, schema)
