@@ -396,6 +396,15 @@ def test_paragraphs_come_and_go_in_any_order():
     assert fingerprint.deleted(of("a b c\nd e"), ["d e"]) == of("a b c") != of("a b\nc")
 
 
+def test_likeness_of_texts_that_repeat_a_pair_very_often():
+    for times in (40000, 100000):
+        text = "a b " * times
+        edited = text[: len(text) // 2] + prose(7, 100000)[: len(text) // 2]
+        own, new = (fingerprint.fingerprints(pa.array([t])) for t in (text, edited))
+        assert fingerprint.likeness(own, new)[0] > 0.9
+        assert fingerprint.unpacked(fingerprint.packed(*own)[0])[1].tolist() == own[1][0].tolist()
+
+
 # 8: repeated passages
 
 

@@ -1,9 +1,9 @@
 """Document fingerprints as homomorphic multiset hashes of paragraphs.
 
 A paragraph is a line. It is hashed to a wide vector: 16 lanes of 32 bits from SHAKE-128 of its
-bytes, and 96 lanes of 16 bits to which each pair of neighbouring words adds 1 or -1 at a hashed
-place. A document's fingerprint is the sum of its paragraphs' vectors, lane by lane modulo 2**32
-and 2**16. So the order of paragraphs does not matter, a paragraph is inserted or deleted by one
+bytes, and 96 lanes of 32 bits to which each pair of neighbouring words adds 1 or -1 at a hashed
+place. A document's fingerprint is the sum of its paragraphs' vectors, lane by lane modulo 2**32.
+So the order of paragraphs does not matter, a paragraph is inserted or deleted by one
 addition or subtraction, and equal texts have equal fingerprints. As the second part is a linear
 sketch of the word pairs, the cosine of two of them estimates how alike two texts are.
 """
@@ -23,12 +23,12 @@ from voilage.llm.shared import documents_only
 
 EQUAL_LANES = 16
 LIKE_LANES = 96
-BYTES = 4 * EQUAL_LANES + 2 * LIKE_LANES
+BYTES = 4 * EQUAL_LANES + 4 * LIKE_LANES
 _LOWEST = -(1 << 63)
 
 
 def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The two parts of each text's fingerprint: rows of uint32 and of uint16."""
+    """The two parts of each text's fingerprint: rows of uint32."""
     data, offsets = W.buffer_of(column)
     n = len(offsets) - 1
     equal = np.zeros((n, EQUAL_LANES), np.uint32)
@@ -40,7 +40,7 @@ def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     found = W.split(data, offsets, W.outside(W.WHITE), places=True)
     h, row = found.hashes, np.repeat(np.arange(n), np.diff(found.bounds))
     if not len(h):
-        return equal, np.zeros((n, LIKE_LANES), np.uint16)
+        return equal, np.zeros((n, LIKE_LANES), np.uint32)
     line = np.searchsorted(np.flatnonzero(data == 10), found.starts)
     joined = (line[1:] == line[:-1]) & (row[1:] == row[:-1])
     alone = ~np.concatenate([[False], joined]) & ~np.concatenate([joined, [False]])
@@ -49,23 +49,23 @@ def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lane = (marks % np.uint64(LIKE_LANES)).astype(np.int64)
     sign = 1.0 - 2.0 * ((marks >> np.uint64(40)) & np.uint64(1)).astype(float)
     sums = np.bincount(where * LIKE_LANES + lane, sign, n * LIKE_LANES).reshape(n, LIKE_LANES)
-    return equal, (sums.astype(np.int64) & 0xFFFF).astype(np.uint16)
+    return equal, (sums.astype(np.int64) & 0xFFFFFFFF).astype(np.uint32)
 
 
 def packed(equal: np.ndarray, like: np.ndarray) -> list[str]:
-    return [a.astype("<u4").tobytes().hex() + b.astype("<u2").tobytes().hex() for a, b in zip(equal, like)]
+    return [a.astype("<u4").tobytes().hex() + b.astype("<u4").tobytes().hex() for a, b in zip(equal, like)]
 
 
 def unpacked(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw, "<u4", EQUAL_LANES), np.frombuffer(raw, "<u2", LIKE_LANES, 4 * EQUAL_LANES)
+    return np.frombuffer(raw, "<u4", EQUAL_LANES), np.frombuffer(raw, "<u4", LIKE_LANES, 4 * EQUAL_LANES)
 
 
 def _joined(fingerprint: str, paragraphs: list[str], sign: int) -> str:
     equal, like = (x.astype(np.int64) for x in unpacked(fingerprint))
     for more_equal, more_like in zip(*fingerprints(pa.array(paragraphs, pa.string()))):
         equal, like = equal + sign * more_equal.astype(np.int64), like + sign * more_like.astype(np.int64)
-    return packed([(equal & 0xFFFFFFFF).astype(np.uint32)], [(like & 0xFFFF).astype(np.uint16)])[0]
+    return packed([(equal & 0xFFFFFFFF).astype(np.uint32)], [(like & 0xFFFFFFFF).astype(np.uint32)])[0]
 
 
 def inserted(fingerprint: str, paragraphs: list[str]) -> str:
@@ -80,7 +80,7 @@ def deleted(fingerprint: str, paragraphs: list[str]) -> str:
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Row by row, 0 to 1; 1 for equal fingerprints."""
-    x, y = (p[1].astype(np.uint16).view(np.int16).astype(float) for p in (a, b))
+    x, y = (p[1].astype(np.uint32).view(np.int32).astype(float) for p in (a, b))
     size = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = np.where(size > 0, (x * y).sum(1) / np.maximum(size, 1e-300), 0.0)
     same = (a[0] == b[0]).all(1) & (a[1] == b[1]).all(1)
