@@ -67,5 +67,42 @@ WITH RECURSIVE rows AS (
 SELECT node AS vec_id, (SELECT count(*) FROM links WHERE a = node) AS n_links, min(other) AS component_id,
     node = min(other) AS kept
 FROM reach GROUP BY node
+""",
+    "op12_line_dedup": r"""
+WITH lists AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), lines AS (
+    SELECT doc_id, l[i] AS line, i,
+        translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM lists)
+), judged AS (
+    SELECT doc_id, line, i, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone FROM lines
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+""",
+    "op13_fill_in_middle": r"""
+WITH units AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h
+    FROM documents
+), drawn AS (
+    SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+        CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+    FROM units
+), cut AS (
+    SELECT doc_id, text, n, CASE
+        WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS p,
+        array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m,
+        array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS s
+    FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+        AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM cut
 """,
 }

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voilage.llm import fingerprint, grammar, language, licences, minhash, neighbours, packing, quality, repeats, sentencepieces
+from voilage.llm import (
+    alignment, fingerprint, grammar, infill, language, licences, lines, minhash, neighbours, packing, quality, repeats, sentencepieces,
+)
 from voilage.llm.shared import table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR")  # where the public vocabulary files lie, if not in their package
@@ -66,6 +68,19 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.link_counts(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dropped_lines(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -77,4 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
