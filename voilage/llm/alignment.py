@@ -31,6 +31,7 @@ from voilage.llm.shared import documents_only, materialize
 from voilage.llm.tokens import Pieces, pieces_of
 
 BLOCK = 16 << 20  # bytes of text whose links are folded together
+PART = 1 << 20  # bytes of text aligned at once
 _PAIR_BITS = 24  # of B's id in a pair
 _PAIR_MASK = (1 << _PAIR_BITS) - 1
 
@@ -247,7 +248,7 @@ def align(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(a_file, b_file)
-        for part in W.slices(batches):
+        for part in W.slices(batches, size=PART):
             for at, found in both.slices(part.column(1)):
                 first = found.group_bounds[:-1]
                 a_own = found.a_group - np.repeat(first, np.diff(found.a_bounds))
@@ -302,7 +303,7 @@ def _blocks(a_file: str, b_file: str, size: int):
             lists = [_lists(pairs, bounds, pa.int64()), _lists(counts, bounds, pa.int32())]
             return pa.RecordBatch.from_arrays([pa.array([task + block]), pa.array([True]), *none, *lists], names=_NAMES)
 
-        for part in W.slices(batches):
+        for part in W.slices(batches, size=PART):
             for at, found in both.slices(part.column(1)):
                 own, n, bounds = _folded(found)
                 pairs, where = np.unique(np.concatenate([pairs, own]), return_inverse=True)
