@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from voilage.llm import linear
 from voilage.llm import words as W
-from voilage.llm.shared import documents_only, fresh, with_columns_schema
+from voilage.llm.shared import documents_only, fresh, materialize, with_columns_schema
 
 SAMPLE = 2400
-LANGUAGES = 512
+LEAST = 8  # texts looked for in each language, however many languages there are
 AMBIGUOUS = 0.15
 REJECT_BELOW = 0.02  # lead below which a text has no language to speak of
 UNKNOWN = "und"
@@ -30,7 +30,8 @@ def codewords(count: int, seed: int = 5) -> np.ndarray:
     """Distinct codewords of 0 and 1, one row a language.
 
     Up to five languages get every useful split (the exhaustive code); more get random splits,
-    the best of many draws by smallest distance between two rows.
+    the best of many draws by smallest distance between two rows. Above a thousand languages the
+    first draw without repeated rows is taken.
     """
     if count <= 5:
         splits = np.arange(1, 1 << max(count - 1, 0))
@@ -39,6 +40,10 @@ def codewords(count: int, seed: int = 5) -> np.ndarray:
     length = int(np.ceil(10 * np.log2(count)))
     for _ in range(50):
         code = draw.integers(0, 2, (count, length), np.int8)
+        if count > 1000:
+            if len(np.unique(code, axis=0)) == count:
+                return code
+            continue
         signs = 2 * code.astype(int) - 1
         far = (length - signs @ signs.T) // 2 + length * np.eye(count, dtype=int)
         if far.min() > apart and (code.min(0) < code.max(0)).all():
@@ -57,44 +62,53 @@ class Model:
     def decode(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, its share of belief, and the lead over the second in loss."""
         margins = features @ self.weights + self.offset
-        losses = (np.logaddexp(0, -margins[:, None, :] * self.signs) * self.trust).sum(2)
+        ones, zeros = np.logaddexp(0, -margins) * self.trust, np.logaddexp(0, margins) * self.trust
+        losses = ones @ (self.signs > 0).T + zeros @ (self.signs <= 0).T
         order = np.sort(losses, 1)
         belief = np.exp(-(losses - order[:, :1]) * self.signs.shape[1])
         lead = order[:, 1] - order[:, 0] if losses.shape[1] > 1 else np.full(len(losses), np.inf)
         return losses.argmin(1), belief.max(1) / belief.sum(1), lead
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model | None:
+def train(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model | None:
     """Fit on about ``sample`` texts, the same number of each language where there are enough.
 
-    ``docs`` has doc_id, text, lang; rows without a language or text are left out. Of more than
-    ``languages`` languages the most frequent ones are learned. None if there is nothing to learn.
+    ``docs`` has doc_id, text, lang; rows without a language or text are left out. Where there are
+    so many languages that fewer than ``least`` texts would fall to each, it is ``least`` for each.
+    Languages of whose texts none falls into the sample are not learned. None if there is nothing
+    to learn.
     """
     known = documents_only(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
+    counts = materialize(known.groupBy("lang").count().withColumnRenamed("lang", "name"))
+    languages = counts.count()
+    if not languages:
         return None
-    names = sorted(r["lang"] for r in counts)
-    share = {r["lang"]: min(1.0, sample / len(names) / r["count"]) for r in counts}
-    wanted = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    chosen = known.where(linear.in_sample(F.col("doc_id"), F.coalesce(wanted[F.col("lang")], F.lit(0.0))))
-    rows = linear.collected(chosen.mapInArrow(_features, "lang string, features binary"), 2 * sample)
-    if not rows:
+    each = max(sample / languages, least)
+    # below ``least`` texts every one is taken
+    known = known.join(counts, F.col("lang") == F.col("name"))
+    chosen = known.where(linear.in_sample(F.col("doc_id"), F.least(F.lit(1.0), F.lit(each) / F.col("count"))))
+    told = chosen.select("text", "lang").mapInArrow(_features, "lang string, features binary")
+    rows = linear.collected(told, int(2 * each * languages))
+    if not len(rows):
         return None
-    x = np.stack([np.frombuffer(r["features"], np.float32) for r in rows])
+    spoken = rows.column("lang").combine_chunks().dictionary_encode()
+    names, of_row = np.unique(np.array(spoken.dictionary.to_pylist())[spoken.indices.to_numpy()], return_inverse=True)
+    names = names.tolist()
+    x = linear.dense(rows.column("features"), linear.WIDTH)
+    del rows, spoken
     code = codewords(len(names))
     if code.shape[1] == 0:
-        return Model(tuple(names), np.zeros((1, 0)), np.zeros((x.shape[1], 0)), np.zeros(0), np.zeros(0))
-    y = code[[names.index(r["lang"]) for r in rows]].astype(np.float32)
-    weights, offset = linear.fit(x, y)
-    right = ((x @ weights + offset > 0) == (y > 0.5)).mean(0)
+        return Model(tuple(names), np.zeros((1, 0)), np.zeros((linear.WIDTH, 0)), np.zeros(0), np.zeros(0))
+    y = code[of_row].astype(np.float32)
+    weights, offset, margins = linear.fit(x, y)
+    right = ((margins > 0) == (y > 0.5)).mean(0)
     trust = np.maximum(right - 0.5, 1e-3)
     return Model(tuple(names), 2.0 * code - 1, weights, offset, trust / trust.sum())
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in W.slices(batches, "text"):
-        rows = [x.tobytes() for x in linear.shares(batch.column("text"), W.lower())]
+        rows = [linear.sparse(x) for x in linear.shares(batch.column("text"), W.lower())]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(rows, pa.binary())], names=["lang", "features"])
 
 
@@ -127,7 +141,9 @@ def identify(docs: DataFrame, model: Model | None, keep_text: bool = False, leas
     """One row per row: doc_id, lang_pred, score (0 to 1), ambiguous (and text).
 
     A null text, or one without a letter of any script, is ``und`` with score 0 and not
-    ambiguous; so is every text if no model could be learned.
+    ambiguous; so is every text if no model could be learned. Texts of any length are judged as a
+    whole and by nothing but themselves: repeated rows get equal answers, and of languages that tie
+    the one first by name is taken. An empty table gives an empty one.
     """
     texts = documents_only(docs, "doc_id", "text").withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     kept = ["doc_id", *(["text"] if keep_text else [])]

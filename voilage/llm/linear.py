@@ -37,27 +37,53 @@ def shares(column: pa.Array, fold: np.ndarray | None = None) -> Iterator[np.ndar
         yield (counts / max(1, counts.sum())).astype(np.float32)
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 200, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic models, one per column of y (values 0 to 1); returns weights over raw features and offsets.
+def sparse(x: np.ndarray) -> bytes:
+    """The values of a row that are not zero, with their places: 6 bytes each."""
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+
+
+def dense(rows: pa.ChunkedArray, width: int) -> np.ndarray:
+    """The rows written by ``sparse``, in one array."""
+    x, i = np.zeros((len(rows), width), np.float32), 0
+    for chunk in rows.chunks:
+        for row in chunk:
+            raw = memoryview(row.as_buffer())
+            n = len(raw) // 6
+            x[i, np.frombuffer(raw[: 2 * n], "<u2")] = np.frombuffer(raw[2 * n :], "<f4")
+            i += 1
+    return x
+
+
+def fit(x: np.ndarray, y: np.ndarray, steps: int = 200, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic models, one per column of y (values 0 to 1): weights over raw features, offsets, margins of the rows of x.
 
     Features are standardized with a floor on their spread, so rare n-grams do not count for
     much; the standardization is folded into the result. Accelerated full gradient steps.
+    ``x`` is standardized in place, so that the sample is held once.
     """
-    mean, spread = x.mean(0), x.std(0)
+    mean, total = x.mean(0, dtype=np.float64), np.zeros(x.shape[1])
+    blocks = [slice(i, i + 256) for i in range(0, len(x), 256)]
+    for b in blocks:
+        total += ((x[b] - mean) ** 2).sum(0)
+    mean, spread = mean.astype(np.float32), np.sqrt(total / len(x)).astype(np.float32)
     spread = spread + max(float(np.median(spread)), 1e-6)
-    z = (x - mean) / spread
-    rate = 4.0 / max(float(np.linalg.norm(z, axis=1).max()) ** 2 / 4, 1.0)
-    weights, offset = np.zeros((z.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    for b in blocks:
+        x[b] -= mean
+        x[b] /= spread
+    rate = 4.0 / max(float(np.einsum("ij,ij->i", x, x).max()) / 4, 1.0)
+    weights, offset = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     ahead_w, ahead_b = weights, offset
     for step in range(steps):
-        error = (1 / (1 + np.exp(-(z @ ahead_w + ahead_b))) - y).astype(np.float32)
-        new_w = ahead_w - rate * (z.T @ error / len(z) + decay * ahead_w)
+        error = (1 / (1 + np.exp(-(x @ ahead_w + ahead_b))) - y).astype(np.float32)
+        new_w = ahead_w - rate * (x.T @ error / len(x) + decay * ahead_w)
         new_b = ahead_b - rate * error.mean(0)
         push = step / (step + 3)
         ahead_w, ahead_b = new_w + push * (new_w - weights), new_b + push * (new_b - offset)
         weights, offset = new_w, new_b
+    margins = x @ weights + offset
     weights = weights / spread[:, None]
-    return weights, offset - mean @ weights
+    return weights, offset - mean @ weights, margins
 
 
 def in_sample(key: Column, share: Column) -> Column:
@@ -65,6 +91,6 @@ def in_sample(key: Column, share: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < share * (1 << 30)
 
 
-def collected(sample: DataFrame, limit: int) -> list:
+def collected(sample: DataFrame, limit: int) -> pa.Table:
     """The rows of a sample that is small by its share; the limit only guards against repeated keys."""
-    return sample.limit(limit).collect()
+    return sample.limit(limit).toArrow()

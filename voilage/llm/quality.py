@@ -172,7 +172,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in W.slices(batches, "text", rows=256):
         texts = part.column("text")
         codes = pattern(votes(texts)).astype(np.int64)
-        rows = [x.tobytes() for x in features(texts)[1]]
+        rows = [linear.sparse(x) for x in features(texts)[1]]
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(rows, pa.binary())], names=["pattern", "features"])
 
 
@@ -190,11 +190,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Scorer | None:
     chosen = texts.where(linear.in_sample(F.col("doc_id"), F.lit(min(1.0, sample / total))))
     examples = chosen.select("text").mapInArrow(_examples, "pattern bigint, features binary").where(F.col("pattern") != NO_VOTES)
     rows = linear.collected(examples, 2 * sample)
-    if not rows:
+    if not len(rows):
         return Scorer(belief, np.zeros((linear.WIDTH + SHAPES, 1)), np.zeros(1))
-    x = np.stack([np.frombuffer(r["features"], np.float32) for r in rows])
-    y = belief.good(np.array([r["pattern"] for r in rows]))[:, None].astype(np.float32)
-    weights, offset = linear.fit(x, y)
+    y = belief.good(rows.column("pattern").to_numpy())[:, None].astype(np.float32)
+    x = linear.dense(rows.column("features"), linear.WIDTH + SHAPES)
+    del rows
+    weights, offset, _ = linear.fit(x, y)
     return Scorer(belief, weights, offset)
 
 
@@ -228,7 +229,8 @@ def judge(docs: DataFrame, scorer: Scorer | None, keep_from: float = KEEP_FROM,
 
     A null, empty or blank text scores 0 and is not kept. A text of fewer than five words gets no
     votes; the scorer alone judges it. Without a scorer (nothing to learn from) nothing else is
-    rejected: the score is 0.5.
+    rejected: the score is 0.5. Texts of any length are measured as a whole. A verdict depends on
+    the text alone, so repeated rows get equal ones; of a tie at the threshold the text is kept.
     """
     texts = documents_only(docs, "doc_id", "text")
     kept = ["doc_id", *(["text"] if keep_text else [])]
@@ -244,7 +246,8 @@ def judge(docs: DataFrame, scorer: Scorer | None, keep_from: float = KEEP_FROM,
 def keep_good(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of ``docs`` that the scorer trained on them keeps, with all their columns.
 
-    Rejects what ``judge`` does not keep. Columns may have any names besides doc_id and text.
+    Rejects what ``judge`` does not keep, with equal verdicts on equal texts of any length. Columns
+    may have any names besides doc_id and text. An empty table stays empty.
     """
     scorer = train(docs)
     blank = F.col("text").isNull() | ~F.col("text").rlike(r"\S")
