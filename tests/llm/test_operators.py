@@ -339,6 +339,59 @@ def test_no_licence_notice_crowds_out_another(spark):
         assert label in by[1 + t]["labels"].split(",") and by[1 + t]["score"] == 1.0
 
 
+def brute_licences(text: str | None) -> tuple[str, float]:
+    """Labels and score of one text, by trying every template at every word."""
+    words = [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())]
+
+    def stands(place: int, want: list[str]) -> bool:
+        return place >= 0 and words[place : place + len(want)] == want
+
+    labels, score = set(), 0.0
+    for name, label in (*licences.BASE, *licences.NAMES):
+        if any(stands(i, name.split()) for i in range(len(words))):
+            labels, score = labels | {label}, max(score, licences.MENTION)
+    for label, whole, phrases in licences.TEMPLATES:
+        want = whole.split()
+        offsets = [f" {whole} ".split(f" {p} ")[0].count(" ") for p in phrases]
+        for start in range(-len(want), len(words)):
+            if not stands(start + offsets[0], phrases[0].split()):
+                continue
+            if not all(any(stands(start + o + d, p.split()) for d in range(-licences.SLACK, licences.SLACK + 1)) for o, p in zip(offsets, phrases)):
+                continue
+            before = range(offsets[0] - licences.REACH, offsets[0])
+            if any(0 <= start + i < len(words) and words[start + i] in licences.NEGATIONS and (i < 0 or want[i] != words[start + i]) for i in before):
+                continue
+            share = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(want)) / len(want)
+            labels, score = labels | {label}, max(score, licences.NOTICE + (1 - licences.NOTICE) * share)
+    return ",".join(sorted(labels)), score
+
+
+def test_licence_labels_by_brute_force(spark):
+    draw = random.Random(8)
+    texts = [
+        "distributed under GPL v3", "SPDX-License-Identifier: MIT", "Eclipse Public License", "we never use the mit license here",
+        "mozilla public license mozilla public license mozilla public license", "This is NOT released under the MIT License.", None, "",
+    ]
+    for _ in range(400):
+        parts = []
+        for _ in range(draw.randint(1, 3)):
+            words = draw.choice(licences.TEMPLATES)[1].split()
+            for _ in range(draw.choice((0, 0, 1, 3, 12))):  # words changed, dropped or put in
+                i = draw.randrange(len(words))
+                words[i : i + draw.randint(0, 1)] = draw.choices([*licences.VOCABULARY, "zz", "not"], k=draw.randint(0, 2))
+                words = words or ["zz"]
+            parts += draw.choices(["zz", "not", "never", "the"], k=draw.randint(0, 4)) + words[draw.choice((0, 0, 0, 5)) :]
+        texts.append(draw.choice((" ", ". ", "\n")).join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licences.scan(df).collect()}
+    for i, text in enumerate(texts):
+        labels, score = brute_licences(text)
+        assert got[i][0] == labels and abs(got[i][1] - score) < 1e-9, (text, got[i], labels, score)
+    assert [got[i] for i in range(8)] == [
+        ("gpl", 0.5 + 0.5 * 3 / 4), ("mit", 1.0), ("epl", 0.2), ("mit", 0.2), ("mpl", 0.2), ("mit", 0.2), ("", 0.0), ("", 0.0)
+    ]
+
+
 # 6: language
 
 
@@ -358,6 +411,19 @@ def test_languages_of_held_out_documents(spark):
         assert docs.where(f"doc_id = {i}").select(language.held_out(F.col("doc_id"))).first()[0] == (zlib.crc32(str(i).encode()) % 5 == 0)
 
 
+def test_no_language_is_left_out_however_many_there_are(spark):
+    draw = random.Random(2)
+    names = [f"l{i:03}" for i in range(600)]
+    letters = {n: draw.sample("abcdefghijklmnopqrstuvwxyz", 7) for n in names}
+    words = {n: ["".join(draw.choices(letters[n], k=5)) for _ in range(30)] for n in names}
+    rows = [(i, " ".join(draw.choices(words[n], k=60)), n) for i, n in enumerate(n for n in names for _ in range(8))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(df, sample=100)
+    assert list(model.languages) == names and len({tuple(s) for s in model.signs.tolist()}) == 600
+    told = language.identify(df, model).join(df, "doc_id").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in told) / len(told) > 0.5
+
+
 def test_languages_of_messy_rows(messy, empty):
     by = {r["doc_id"]: r for r in language.identify(messy, language.train(messy)).collect()}
     assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0.0 for i in (1, 2, 3))
