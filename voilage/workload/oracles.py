@@ -75,6 +75,17 @@ def number(x: str, kept: str = "0-9.-") -> str:
     return f"(CASE WHEN {left} = '' THEN CAST(0 AS DOUBLE) ELSE TRY_CAST({left} AS DOUBLE) END)"
 
 
+def long_text(x: str) -> str:
+    """A whole number of 1e22 or more: its shortest digits, then zeros."""
+    shown = f"CAST(abs({x}) AS VARCHAR)"
+    digits = f"replace(split_part({shown}, 'e', 1), '.', '')"
+    return f"CASE WHEN {x} < 0 THEN '-' ELSE '' END || rpad({digits}, CAST(split_part({shown}, 'e', 2) AS INTEGER) + 1, '0')"
+
+
+def whole_text(x: str) -> str:
+    return f"CASE WHEN abs({x}) < 1e37 THEN format('{{:.0f}}', {x}) ELSE {long_text(x)} END"
+
+
 def income_bin(x: str) -> str:
     low = f"CAST(floor({number(x)} / 10000) * 10 AS BIGINT)"
     label = f"CAST({low} AS VARCHAR) || '–' || CAST({low} + 10 AS VARCHAR) || 'k'"
@@ -382,6 +393,14 @@ substr(text, 1, 3) || '***' AS area_short FROM documents""",
 low AS (SELECT *, CAST(amount AS HUGEINT) AS v, ((CAST(amount AS HUGEINT) % 10000) + 10000) % 10000 AS rest FROM large)
 SELECT l_orderkey, l_linenumber, amount, CAST((v - rest) // 10000 * 10 AS VARCHAR) || '–'
 || CAST((v - rest) // 10000 * 10 + 10 AS VARCHAR) || 'k' AS bin, CAST(CAST(CAST(amount AS DOUBLE) AS HUGEINT) AS VARCHAR) AS whole FROM low""",
+        "prj_huge_amounts": f"""WITH huge AS (SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS below, l_orderkey + 1000000 AS head,
+CAST(l_linenumber * 7 + l_orderkey % 5 AS INTEGER) AS zeros FROM lineitem),
+written AS (SELECT *, CASE WHEN below THEN '-' ELSE '' END || head || '7' || repeat('0', zeros) AS amount FROM huge),
+read AS (SELECT *, CAST(amount AS DOUBLE) AS x FROM written WHERE zeros >= 16)
+SELECT l_orderkey, l_linenumber, amount, CASE WHEN abs(x) >= 1e31 THEN {long_text('x / 1e4 * 1e1')} || '–' || {long_text('(x / 1e4 + 1e0) * 1e1')} || 'k'
+WHEN below THEN '-' || head || '7' || repeat('0', zeros - 3) || '–-' || head || '6' || repeat('9', zeros - 4)
+|| '0k' ELSE head || '7' || repeat('0', zeros - 3) || '–' || head || '7' || repeat('0', zeros - 5) || '10k' END AS bin,
+{whole_text('x')} AS whole, {whole_text('x')} AS noised FROM read""",
         "prj_rule_options": f"""{clients}, ruled AS (SELECT *, CAST(floor({laplace(number('revenu_annuel'), draw("'rule:revenu_annuel'", 'id_client', 'revenu_annuel'), 100)} + 0.5e0) AS BIGINT) AS noisy
 FROM clients) SELECT {hmac12('id_client')} AS id_client, email, telephone, {area('code_postal')} AS code_postal,
 {year_or_empty('date_naissance')} AS date_naissance, CAST(CAST(floor(noisy / 10e0 + 0.5e0) * 10 AS BIGINT) AS VARCHAR) AS revenu_annuel,
@@ -495,7 +514,7 @@ CAST(35 AS BIGINT) AS target FROM scored GROUP BY table_name""",
 {band('CAST(n_chars AS VARCHAR)')} AS revenu_annuel FROM documents""",
         "job_anonymize_generalized": published + " SELECT * FROM kept",
         "job_anonymize_generalized_audit": published + """, published_sizes AS (SELECT date_naissance, code_postal, revenu_annuel, count(*) AS n
-FROM kept GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS classes, min(n) AS smallest, 0 AS below_k, true AS conforming
-FROM published_sizes""",
+FROM kept GROUP BY ALL) SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total, count(*) AS classes, min(n) AS smallest,
+count(*) FILTER (n < 10) AS below_k, count(*) FILTER (n < 10) = 0 AS conforming FROM published_sizes""",
         "job_risk_preview": f"WITH {CLIENTS} {compliance(accounts, accounts)}",
     }

@@ -302,6 +302,20 @@ def _(spark, sf):
     )
 
 
+@query("prj_huge_amounts")
+def _(spark, sf):
+    """Amounts from 1e23 to 1e60, both signs: bins, whole digits, and the noise rule, which such amounts swallow."""
+    sign = F.when(F.col("l_linenumber") % 2 == 0, F.lit("-")).otherwise(F.lit(""))
+    zeros = (F.col("l_linenumber") * 7 + F.col("l_orderkey") % 5).cast("int")
+    amount = F.concat(sign, (F.col("l_orderkey") + 1000000).cast("string"), F.lit("7"), F.repeat(F.lit("0"), zeros))
+    written = facts(spark, sf, "lineitem").where(zeros >= 16).select("l_orderkey", "l_linenumber", amount.alias("amount"))
+    a = F.col("amount")
+    return written.select(
+        "l_orderkey", "l_linenumber", "amount", V.bin_income(a).alias("bin"), V.floor_text(V.parse_amount(a)).alias("whole"),
+        noisy_amount(a, 2, uniform_draw(CHECK_SEED, F.col("l_orderkey"), F.col("l_linenumber"))).alias("noised"),
+    )
+
+
 @query("prj_rule_options")
 def _(spark, sf):
     """Both spellings of generalize, a rule's own epsilon and rounding, a salted pseudonym."""
