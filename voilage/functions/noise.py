@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voilage import fixed_values as fixed
-from voilage.functions.numbers import floor_text, overflows, parse_amount
+from voilage.functions.numbers import exact_floor_text, long_amount, overflows, parse_amount
 
 
 def uniform_draw(seed: str, *parts: Column) -> Column:
@@ -32,17 +32,18 @@ def laplace(x: Column, epsilon: float, draw: Column, sensitivity: float = 1.0) -
 def noisy_amount(c: Column, epsilon: float, draw: Column) -> Column:
     """A noised amount as text, rounded with halves going up; no number stays as it is.
 
-    An amount too large for any number becomes empty: it must not be published as it came.
+    Amounts of 38 digits or more are far too large for the noise to change, and are printed as the
+    numbers they are read as. One too large for any number becomes empty: it must not be published
+    as it came.
     """
     noised = laplace(parse_amount(c), epsilon, draw, fixed.NOISE_SENSITIVITY)
-    return F.coalesce(floor_text(noised + 0.5), F.when(overflows(c), F.lit("")), c)
+    return F.coalesce(exact_floor_text(noised + 0.5), long_amount(c), F.when(overflows(c), F.lit("")), c)
 
 
 def rounded_amount(c: Column, step: int) -> Column:
     """An amount as text, to the nearest multiple of ``step``, halves going up; no number stays as it is.
 
-    From 2**53 steps on, a number has no finer places than steps, and is left as it is.
+    So does one of 1e37 or more, whose digits already say less than steps do.
     """
-    amount = parse_amount(c)
-    steps = F.floor(F.when(F.abs(amount) < float(step) * 2.0**53, amount) / float(step) + 0.5)
-    return F.coalesce(floor_text(steps * float(step)), floor_text(amount), F.when(overflows(c), F.lit("")), c)
+    places = parse_amount(c) / float(step) + 0.5
+    return F.coalesce(exact_floor_text((places - F.pmod(places, F.lit(1.0))) * float(step)), c)

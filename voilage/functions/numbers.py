@@ -35,9 +35,8 @@ def parse_amount(c: Column) -> Column:
 
 
 def overflows(c: Column) -> Column:
-    """Whether what is left is a number too large for any."""
-    n = F.regexp_replace(c, "[^0-9.-]+", "").try_cast("double")
-    return F.abs(n) == F.lit(float("inf"))
+    """Whether an amount has more digits before its dot than any number holds (leading zeros count)."""
+    return c.rlike(r"^[^0-9.]*+(?:[0-9][^0-9.]*+){309}")
 
 
 def parse_unsigned(c: Column) -> Column:
@@ -45,28 +44,39 @@ def parse_unsigned(c: Column) -> Column:
     return _number(F.regexp_replace(c, "[^0-9.]+", ""))
 
 
-def _long_text(x: Column) -> Column:
-    """A whole number of 1e22 or more: the digits that name it, and zeros up to its size."""
-    shown = F.abs(x).cast("string")  # such as 1.25E40
-    size = F.substring_index(shown, "E", -1).cast("int") + 1
-    digits = F.rpad(F.replace(F.substring_index(shown, "E", 1), F.lit("."), F.lit("")), size, F.lit("0"))
-    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), digits)
-
-
 def floor_text(x: Column) -> Column:
     """``x`` rounded down, in decimal digits.
 
+    From 1e37 on no built-in number holds all digits: those of the shortest notation stand there,
+    then zeros.
+    """
+    return F.coalesce(exact_floor_text(x), _long_text(x))
+
+
+def exact_floor_text(x: Column) -> Column:
+    """``x`` rounded down, in all its decimal digits; NULL from 1e37 on.
+
     Below 1e18 a floor is a 64-bit number. A larger number is whole, and two parts of 60 bits
-    make it up without loss; its shortest notation would not name it exactly. From 1e37 on no
-    built-in number holds all its digits: those of the shortest notation stand there, then zeros.
+    make it up without loss; its shortest notation would not name it exactly.
     """
     high = F.floor(_where(x, (F.abs(x) >= 1e18) & (F.abs(x) < 1e37)) / 2.0**60)
     low = (x - high.cast("double") * 2.0**60).cast("bigint")
     whole = high.cast("decimal(18,0)") * F.lit(1 << 60).cast("decimal(19,0)") + low.cast("decimal(19,0)")
-    finite = (F.abs(x) >= 1e37) & (F.abs(x) < float("inf"))
-    return F.coalesce(
-        F.floor(_where(x, F.abs(x) < 1e18)).cast("string"), whole.cast("string"), F.when(finite, _long_text(x))
-    )
+    return F.coalesce(F.floor(_where(x, F.abs(x) < 1e18)).cast("string"), whole.cast("string"))
+
+
+def _long_text(x: Column) -> Column:
+    """A large whole number: its shortest digits, then zeros; NULL, which prints as nothing, stays NULL."""
+    return F.nullif(F.format_string("%.0f", x), F.lit(""))
+
+
+def long_amount(c: Column) -> Column:
+    """An amount of 38 digits or more as :func:`floor_text` prints it, others as NULL.
+
+    It refers to the cell and not to a number made from it, so that it adds little to the code of
+    an expression that it ends.
+    """
+    return F.when(c.rlike(r"^[^0-9.]*+(?:[0-9][^0-9.]*+){38}"), _long_text(parse_amount(c)))
 
 
 def bin_income(c: Column, step: int = fixed.INCOME_STEP) -> Column:
@@ -84,12 +94,12 @@ def bin_income(c: Column, step: int = fixed.INCOME_STEP) -> Column:
         low, high = index * thousands, (index + 1) * thousands
         return F.concat(low.cast("string"), F.lit("–"), high.cast("string"), F.lit("k"))
 
-    below = amount / float(step)  # whole already at this size
-    bounds = F.concat(_long_text(below * float(thousands)), F.lit("–"), _long_text((below + 1.0) * float(thousands)), F.lit("k"))
+    # the next bin's bound is the same number at this size
+    bounds = F.format_string("%1$.0f–%1$.0fk", amount / float(step) * float(thousands))
     return F.coalesce(
         label(F.floor(_where(amount, F.abs(amount) < 2.0**53) / float(step))),
         label(_floor_div(F.floor(F.regexp_replace(c, "[^0-9.-]+", "").try_cast("decimal(37,6)")), step)),
-        F.when(F.abs(amount) >= 1e30, bounds),
+        F.nullif(bounds, F.lit("–k")),
         F.when(c.isNotNull(), F.lit("")),
     )
 

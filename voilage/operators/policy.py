@@ -36,19 +36,15 @@ def _lower() -> Column:
 def guess_mapping(catalog: DataFrame) -> DataFrame:
     """(table_name, id, postal, date1, date2, revenue, sensitive, qids): one row per table.
 
-    For each role the first column, in table order, whose name fits. Only places are
-    folded over the catalog; the few names at the first places are fetched afterwards.
+    For each role the first column, in table order, whose name fits. One pass: the smallest
+    (place, name) of each role is folded on the map side, and names that play no role carry none.
     """
-    name, roles = _lower(), list(fixed.ROLE_PATTERNS)
-    places = {f"_{role}": F.when(name.rlike(p), F.col("ordinal")) for role, p in fixed.ROLE_PATTERNS.items()}
-    firsts = catalog.withColumns(places).groupBy("table_name").agg(*[F.min(f"_{r}").alias(f"_{r}") for r in roles])
-    wanted = firsts.select("table_name", F.explode(F.array_distinct(F.array(*[F.col(f"_{r}") for r in roles]))).alias("ordinal"))
-    named = wanted.where("ordinal is not null").join(catalog.select("table_name", "ordinal", "column_name"), ["table_name", "ordinal"])
-    by_place = named.groupBy("table_name").agg(F.map_from_entries(F.collect_list(F.struct("ordinal", "column_name"))).alias("_names"))
-    found = {r: F.when(F.col(f"_{r}").isNotNull(), F.col("_names")[F.col(f"_{r}")]) for r in roles}
-    qids = F.array_compact(F.array(*[F.col(r) for r in QID_ROLES]))
-    told = firsts.join(by_place, "table_name", "left")
-    return told.select("table_name", *[c.alias(r) for r, c in found.items()]).withColumn("qids", qids)
+    name = _lower()
+    placed = F.struct("ordinal", "column_name")
+    fits = {role: F.when(name.rlike(p), placed) for role, p in fixed.ROLE_PATTERNS.items()}
+    firsts = catalog.select("table_name", *[c.alias(r) for r, c in fits.items()]).groupBy("table_name")
+    found = firsts.agg(*[F.min(r).getField("column_name").alias(r) for r in fits])
+    return found.withColumn("qids", F.array_compact(F.array(*[F.col(r) for r in QID_ROLES])))
 
 
 def guess_roles(columns: Sequence[str]) -> Roles:

@@ -106,21 +106,58 @@ def _scores(df: DataFrame, roles: Roles, compat: bool) -> DataFrame:
 def metrics_before_after(df: DataFrame, roles: Roles, *, compat: bool = False) -> DataFrame:
     """Two rows (stage, individualization, correlation, inference): raw, and with helpers.
 
-    The table is counted once, by the raw columns that play a role. The helpers are derived
-    from these counts and the counts folded again, so both stages share one scan.
+    One scan with two grouping sets, the raw keys and the keys with helpers, each with the sensitive
+    value. Only these columns are shuffled, and rows of the coarser set are folded before.
     """
-    named = [*roles.qids, roles.date, roles.postal, roles.revenue, roles.sensitive]
-    roled = [field(c).alias(c) for c in dict.fromkeys(named) if c]
     searched = [c for c in df.columns if c not in HELPERS]
-    plain = df.select(*roled, carries_pii(searched).alias("_pii"))
-    counted = plain.groupBy(*[field(c) for c in plain.columns[:-1]]).agg(
-        F.count(F.lit(1)).alias(_ROWS), F.count_if("_pii").alias(_PII_ROWS)
-    )
-    raw = _scores(counted, roles, compat)
-    helped = _scores(with_helpers(counted, roles), roles, compat)
-    return raw.select(F.lit("before").alias("stage"), "*").unionByName(
-        helped.select(F.lit("after").alias("stage"), "*")
+    helped = with_helpers(df, roles)
+    before = class_key(roles, searched, compat=compat, absent="")
+    after = class_key(roles, helped.columns, compat=compat, absent="")
+    sensitive = text_or_empty(roles.sensitive) if roles.sensitive else F.lit("")
+    raw, coarse = [f"_b{n}" for n in before], [f"_a{n}" for n in after]
+    plain = helped.select(
+        *[c.alias(n) for c, n in zip(before.values(), raw)], *[c.alias(n) for c, n in zip(after.values(), coarse)],
+        sensitive.alias("_s"), carries_pii(searched).alias("_pii"),
+    )
+    sizes = F.count(F.lit(1)).alias("_c"), F.count_if("_pii").alias("_p")
+    if not raw:  # without quasi-identifiers both stages are one class
+        once = plain.groupBy("_s").agg(*sizes)
+        counts = once.select(F.explode(F.array(F.lit("before"), F.lit("after"))).alias("stage"), "_s", "_c", "_p")
+    else:
+        sets = [[*map(F.col, raw), F.col("_s")], [*map(F.col, coarse), F.col("_s")]]
+        both = plain.groupingSets(sets, *[F.col(c) for c in (*raw, *coarse, "_s")])
+        counted = both.agg(F.grouping(raw[0]).alias("_folded"), *sizes)
+        stage = F.when(F.col("_folded") == 0, F.lit("before")).otherwise(F.lit("after"))
+        keys = [F.coalesce(b, a).alias(n) for b, a, n in zip(raw, coarse, before)]
+        counts = counted.select(stage.alias("stage"), *keys, "_s", "_c", "_p")
+    return _staged_scores(counts, roles, list(before))
+
+
+def _staged_scores(counts: DataFrame, roles: Roles, keys: Sequence[str]) -> DataFrame:
+    """The scores of both stages from counts by stage, key and sensitive value."""
+    classes = counts.groupBy("stage", *keys).agg(F.sum("_c").alias("n"), F.max("_c").alias("top"), F.sum("_p").alias("p"))
+    total = classes.groupBy("stage").agg(
+        F.sum("n").alias("rows"), F.sum("p").alias("pii"), F.count_if(F.col("n") == 1).alias("single"),
+        F.count(F.lit(1)).alias("classes"), F.sum(F.col("top") / F.col("n")).alias("shares"),
+    )
+    alone = F.col("single") / F.col("classes") if roles.qids else F.lit(0.0)
+    nothing = F.lit(None).cast("double")
+    correlation = _percent(alone) if roles.qids else nothing
+    inference = nothing
+    if roles.qids and roles.sensitive:
+        # the sensitive values are the same in both stages: their spread is told by one of them
+        values = counts.where("stage = 'after'").groupBy("_s").agg(F.sum("_c").cast("double").alias("c"))
+        size = F.sum("c")
+        bits = values.agg((F.log2(size) - F.sum(F.col("c") * F.log2("c")) / size).alias("bits")).scalar()
+        spread = F.least(F.lit(1.0), bits / 4.0)
+        inference = _percent(F.col("shares") / F.col("classes") * (0.6 + 0.4 * (1.0 - spread)))
+    individualization = _percent(0.6 * (F.col("pii") / F.col("rows")) + 0.4 * alone)
+    told = total.select(
+        F.col("stage").alias("of"), individualization.alias("individualization"), correlation.alias("correlation"), inference.alias("inference")
     )
+    # an empty table has both stages too, without scores
+    stages = counts.sparkSession.range(2).select(F.when(F.col("id") == 0, F.lit("before")).otherwise(F.lit("after")).alias("stage"))
+    return stages.join(told, F.col("stage") == F.col("of"), "left").drop("of")
 
 
 def verdict(score: Column, threshold: Column) -> Column:

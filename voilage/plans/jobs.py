@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voilage.config import Roles, Rule, Settings
 from voilage.operators.classes import class_counts, class_key, class_verdicts, keep_rows, qi_column
+from voilage.operators.ordering import in_order_of_appearance
 from voilage.operators.policy import choose_rules, guess_roles, recommended_rules
 from voilage.operators.policy import catalog_of
 from voilage.operators.profiling import profile
@@ -48,13 +49,18 @@ def anonymize(
     journal: str | None = None,
     export: str = "treated",
     order_by: Sequence[str] = (),
+    appearance: Sequence[str] = (),
+    position: str | None = None,
 ) -> Anonymized:
     """Treat every row, then drop the classes that fail k, l or t.
 
     ``export="generalized"`` publishes each quasi-identifier as the value its class was
     judged by (year, postal area, income bin), so that the published rows themselves are
     k-anonymous; ``"treated"`` publishes the treated cells, a noised amount among them.
-    ``order_by`` sorts the published rows by columns.
+    ``order_by`` sorts the published rows by columns. ``appearance`` names the columns that tell
+    a row's place in the input (for files: name, line); the published classes then stand in the
+    order of their first row, the rows of a class in that of the input, and ``position`` adds
+    each row's place as a column of that name.
 
     Two passes over the input: one reads only the grouping and sensitive columns to
     judge the classes, whose verdicts are written to the shared folder; the other
@@ -67,7 +73,8 @@ def anonymize(
     free_names(df.columns)
     settings = settings or Settings()
     rules = without_options(rules or {}) if compat else rules
-    treated = treat_rows(df, roles, rules, settings)
+    placed = df.withColumns({f"_p{i}": field(c) for i, c in enumerate(appearance)}) if appearance else df
+    treated = treat_rows(placed, roles, rules, settings)
     keys = class_key(roles, treated.columns, compat=compat)
     keyed = treated.withColumns(keys)
     judged = list(dict.fromkeys([*keys, *([roles.sensitive] if roles.sensitive else [])]))
@@ -83,20 +90,28 @@ def anonymize(
             write_counts=True,
         )
     )
-    rows = keep_rows(keyed, verdicts, list(keys)).drop(*keys)
+    rows = keep_rows(keyed, verdicts, list(keys))
+    if appearance:
+        # the place is that of the input, also where a rule treats its columns
+        rows = in_order_of_appearance(rows, list(keys), [f"_p{i}" for i in range(len(appearance))], position)
+        rows = rows.drop(*[f"_p{i}" for i in range(len(appearance))])
+    rows = rows.drop(*keys)
     if export == "generalized":
         rows = rows.withColumns({q: qi_column(q, roles, rows.columns) for q in roles.qids})
     rows = drop_helpers(rows)
     if order_by:
         rows = rows.orderBy(*[field(c) for c in order_by])
     counts = class_counts(verdicts)
+    done = Anonymized(rows, counts, evaluate(rows, roles.qids, roles.sensitive, settings.k), verdicts)
     if journal:
-        done = counts.first()
-        journal_append(
-            df.sparkSession, journal, "anonymize",
-            {"kept": done["kept"], "total": done["total"], "k": settings.k, "l": settings.l, "t": settings.t},
-        )
-    return Anonymized(rows, counts, evaluate(rows, roles.qids, roles.sensitive, settings.k), verdicts)
+        _note(df.sparkSession, journal, done, settings)
+    return done
+
+
+def _note(spark: SparkSession, journal: str, done: Anonymized, settings: Settings) -> None:
+    counted = done.counts.first()
+    facts = {"kept": counted["kept"], "total": counted["total"], "k": settings.k, "l": settings.l, "t": settings.t}
+    journal_append(spark, journal, "anonymize", facts)
 
 
 RESERVED = ("_year", "_fsa", "_revBin", "_record", "_qk", "_s", "_c", "_heavy", "_light", "_slot", "_n", "_kept")
@@ -104,7 +119,7 @@ RESERVED = ("_year", "_fsa", "_revBin", "_record", "_qk", "_s", "_c", "_heavy",
 
 def free_names(columns: Sequence[str]) -> None:
     """Refuse columns whose names the job gives to its own."""
-    taken = [c for c in columns if c in RESERVED or re.fullmatch(r"_q\d+", c)]
+    taken = [c for c in columns if c in RESERVED or re.fullmatch(r"_[qp]\d+", c)]
     if taken:
         raise ValueError(f"rename these columns, the job uses their names: {taken}")
 
@@ -118,19 +133,18 @@ def without_options(rules: Mapping[str, Rule]) -> dict[str, Rule]:
     }
 
 
-def _require_rows(df: DataFrame) -> None:
-    if df.isEmpty():
-        raise ValueError("the table has no row")
-
-
 def auto_anonymize(
     df: DataFrame, roles: Roles | None = None, settings: Settings | None = None, *, compat: bool = False,
     journal: str | None = None,
 ) -> Anonymized:
-    """Recommended rules by column name, then :func:`anonymize`."""
-    _require_rows(df)
+    """Recommended rules by column name, then :func:`anonymize`. A table without rows is refused."""
     rules = recommended_rules(df.columns, compat=compat)
-    return anonymize(df, roles or guess_roles(df.columns), rules, settings, compat=compat, journal=journal)
+    done = anonymize(df, roles or guess_roles(df.columns), rules, settings, compat=compat)
+    if done.verdicts.isEmpty():  # they are written: no second look at the table
+        raise ValueError("the table has no row")
+    if journal:
+        _note(df.sparkSession, journal, done, settings or Settings())
+    return done
 
 
 def profile_and_anonymize(

@@ -222,6 +222,7 @@ def read_delimited(
     sniff: str = "head",
     encoding: str = "UTF-8",
     line_end: str = "\n",
+    dialects: DataFrame | None = None,
 ) -> DataFrame:
     """Delimited files as text columns.
 
@@ -231,7 +232,8 @@ def read_delimited(
     repeated column name gets a number. Line ends inside quotes are kept: large files are
     split all the same, at the price of reading them twice (see ``sources.quoted``);
     ``multiline=False`` reads once where no cell holds a line end. A quote that is never
-    closed stops the job. ``encoding`` is UTF-8, ISO-8859-1 or US-ASCII.
+    closed stops the job. ``encoding`` is UTF-8, ISO-8859-1 or US-ASCII. ``dialects`` may give
+    what ``sniff_delimiters`` told of these files before.
 
     Files may differ in delimiter and header. There is one scan per delimiter (and per
     having a header or not); files of different headers in it are read as numbered
@@ -239,7 +241,7 @@ def read_delimited(
     """
     if delimiter and columns:
         return _scan(spark, path, delimiter, columns, True, multiline, encoding, line_end)
-    found = sniff_delimiters(spark, path, sniff, encoding)
+    found = sniff_delimiters(spark, path, sniff, encoding) if dialects is None else dialects
     found = found.withColumn("columns", F.array(*map(F.lit, columns)) if columns else _distinct_names("columns"))
     found = materialize(found.withColumn("delimiter", F.lit(delimiter)) if delimiter else found)
     dialects = found.groupBy("delimiter", "has_header", "line_end").agg(
@@ -317,7 +319,12 @@ def tell_empty_from_absent(df: DataFrame, delimiter: str, columns: list[str]) ->
 def _named(files: DataFrame, path: str | list[str]) -> str | list[str]:
     """The files one by one where they are few, else the whole path, whose other files a join drops."""
     names = [r["_file"] for r in files.select("_file").limit(FEW_FILES + 1).collect()]
-    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", n) for n in names] if len(names) <= FEW_FILES else path
+    return [escaped(n) for n in names] if len(names) <= FEW_FILES else path
+
+
+def escaped(file: str) -> str:
+    """A file's name as a path that is no pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", file)
 
 
 def _scan(

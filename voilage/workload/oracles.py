@@ -12,6 +12,10 @@ from voilage import fixed_values as fixed
 from voilage.workload.settings import CHECK_SEED, NAME_PREFIXES, THRESHOLDS, WORD_BREAK
 
 SALT = "change-me-salt"
+STRICT_JSON = (
+    '{"epsilon":2.0,"kAnon":10,"lDiv":3,"tClose":0.3,"zip3":true,"yearOnly":true,'
+    '"hashIds":true,"maskPII":true,"suppressExtras":true,"noiseRevenue":true}'
+)
 
 
 def text(s: str) -> str:
@@ -378,6 +382,8 @@ UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, source, NULL FROM document
 UNION ALL SELECT CAST(conv_id AS VARCHAR), NULL, NULL, NULL, role FROM conversations""",
         "src_delimiter_record_text": """SELECT chr(9) AS delimiter, true AS has_header, 'conv_id|turn|role|text' AS columns,
 count(*) AS rows FROM conversations""",
+        "src_csv_carriage_returns": "SELECT CAST(doc_id AS VARCHAR) AS id, translate(text, chr(13), ' ') AS texte, lang, source FROM documents",
+        "src_csv_latin1": r"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') AS text, lang FROM documents""",
         "prj_sha256": "SELECT doc_id, sha256(text) AS digest FROM documents",
         "prj_hmac": f"SELECT doc_id, {hmac12('text')} AS pseudonym FROM documents",
         "prj_years": f"""SELECT page_id, {only_year('t')} AS only_year, {year_or_empty('t')} AS date_year,
@@ -405,6 +411,15 @@ WHEN below THEN '-' || head || '7' || repeat('0', zeros - 3) || '–-' || head |
 FROM clients) SELECT {hmac12('id_client')} AS id_client, email, telephone, {area('code_postal')} AS code_postal,
 {year_or_empty('date_naissance')} AS date_naissance, CAST(CAST(floor(noisy / 10e0 + 0.5e0) * 10 AS BIGINT) AS VARCHAR) AS revenu_annuel,
 type_compte, statut, id_client AS numero FROM ruled""",
+        "udf_registered_action": f"""{clients} SELECT id_client, substr(email, 1, 1) || '.' AS email, right(telephone, 4) AS telephone, code_postal,
+date_naissance, revenu_annuel, type_compte, {mask('statut')} AS statut FROM clients""",
+        "pol_chosen_rules_applied": f"""WITH {CLIENTS}, {HELPED}, m AS (SELECT individualization >= 70 AS high, inference >= 60 AS told FROM {HELPED_SCORES})
+SELECT sha256(id_client) AS id_client, sha256(email) AS email,
+CASE WHEN high THEN sha256(code_postal) ELSE {area('code_postal')} END AS code_postal,
+CASE WHEN high THEN sha256(date_naissance) ELSE {year_or_empty('date_naissance')} END AS date_naissance,
+CASE WHEN high THEN sha256(revenu_annuel) WHEN told THEN CAST(CAST(floor(CAST({noised('revenu_annuel', "'rule:revenu_annuel'", 'id_client', 'email', 'code_postal', 'date_naissance', 'revenu_annuel', 'statut')} AS BIGINT) / 10e0 + 0.5e0) * 10 AS BIGINT) AS VARCHAR)
+ELSE {income_bin('revenu_annuel')} END AS revenu_annuel,
+CASE WHEN high THEN sha256(statut) ELSE statut END AS statut FROM clients, m""",
         "prj_default_rules_applied": f"""{clients} SELECT sha256(id_client) AS id_client, {area('code_postal')} AS code_postal,
 {year_or_empty('date_naissance')} AS date_naissance, {income_bin('revenu_annuel')} AS revenu_annuel, statut FROM clients""",
         "prj_mask": f"""{clients}, cells AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS key, text AS v FROM documents
@@ -473,6 +488,19 @@ SELECT statut, id_client, email, revenu_annuel FROM helped JOIN stats USING (y,
 FROM catalog GROUP BY table_name)
 SELECT table_name, ';' AS delimiter, 10 AS k_anon, 2e0 AS epsilon, true AS zip3, id, date1, sensitive,
 concat_ws('|', date1, postal, revenue) AS qids FROM found""",
+        "sink_whole_definitions": f"""WITH {CATALOG}, found AS (SELECT table_name, {', '.join(role(r) for r in fixed.ROLE_PATTERNS)}
+FROM catalog GROUP BY table_name), firsts AS (SELECT table_name, column_name, lower(column_name) AS n, min(ordinal) AS o FROM catalog GROUP BY ALL),
+ruled AS (SELECT table_name, column_name, o, {first_match(fixed.RECOMMENDATION_RULES, 'none')} AS action,
+CASE WHEN {hit('email|courriel|phone|tel|tél')} THEN NULL WHEN {hit('date')} THEN 'date-year'
+WHEN {hit('postal|zip|fsa')} THEN 'postal-fsa' END AS param_type FROM firsts),
+folded AS (SELECT table_name, sha256(string_agg(column_name, '|' ORDER BY o)) AS columns,
+sha256(coalesce(string_agg(column_name || ':' || action || ':' || coalesce(param_type, ''), '|' ORDER BY o) FILTER (action <> 'none'), '')) AS transforms,
+count(*) AS n_columns, count(*) FILTER (action <> 'none') AS n_transforms FROM ruled GROUP BY table_name)
+SELECT table_name, ';' AS delimiter, {text(STRICT_JSON)} AS settings, id, postal, date1, date2, revenue, sensitive,
+concat_ws('|', date1, postal, revenue) AS qids, columns, transforms, n_columns, n_transforms FROM found JOIN folded USING (table_name)""",
+        "sink_one_csv": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, 1 AS n_files FROM documents",
+        "sink_journal_order": """SELECT strftime(ts, '%Y-%m-%d %H:%M') AS at, event_type AS action, props AS data, CAST(event_id AS BIGINT) AS entry,
+row_number() OVER (ORDER BY date_trunc('minute', ts) DESC, event_id DESC) AS position FROM events""",
         "sink_audit_report": _audit("user_id, event_type", "events", 3),
         "sink_run_report": f"""{clients} SELECT * FROM (VALUES {', '.join(f'({text(a)}, {text(b)}, {text(c)})' for a, b, c in report)})
 AS r(section, key, value) UNION ALL SELECT 'dataset', 'rows', CAST(count(*) AS VARCHAR) FROM clients""",
@@ -502,9 +530,17 @@ CAST(35 AS BIGINT) AS target FROM scored GROUP BY table_name""",
         "pol_data_dictionary": f"""WITH {CATALOG}, {CLASSIFIED} SELECT column_name, type, cat, pii, bucket, {ACTIONS} AS actions,
 {DEFAULT_ACTION} AS action FROM classified""",
         "str_fixed_rules": clients + FIXED_ROWS,
+        "str_mixed_dialects": """SELECT CAST(doc_id AS VARCHAR) AS id, lang, sha256(text) AS text, NULL AS source, NULL AS role FROM documents
+UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, source, NULL FROM documents
+UNION ALL SELECT CAST(conv_id AS VARCHAR), NULL, sha256(text), NULL, '' FROM conversations""",
+        "str_count_over_restarts": "SELECT count(*) AS total, count(*) AS written, count(DISTINCT event_id) AS distinct FROM events",
         "str_row_count": "SELECT count(*) AS total FROM events",
         "job_anonymize": kept_rows(TREATED) + " SELECT * FROM kept",
         "job_anonymize_by_year_and_area": kept_rows(TREATED, keys=TREATED_KEYS[:2]) + " SELECT * FROM kept",
+        "job_anonymize_in_order": f"""WITH {CLIENTS}, {TREATED.replace('SELECT sha256(id_client)', 'SELECT id_client AS came, sha256(id_client)', 1)},
+{judged('treated', TREATED_KEYS)}, kept AS (SELECT treated.* FROM treated JOIN stats USING ({', '.join(TREATED_KEYS)})
+WHERE n >= 10 AND l >= 3 AND tvd <= 0.3e0), firsts AS (SELECT *, min(came) OVER (PARTITION BY {', '.join(TREATED_KEYS)}) AS first FROM kept)
+SELECT {', '.join(CLIENT_NAMES)}, row_number() OVER (ORDER BY first, came) AS place FROM firsts""",
         "job_anonymize_counts": f"""{kept_rows(TREATED)} SELECT (SELECT count(*) FROM kept) AS kept, count(*) AS total FROM treated""",
         "job_anonymize_metrics": f"{kept_rows(TREATED)}, {evaluated('kept', 'date_naissance, code_postal, revenu_annuel', 10)}",
         "job_auto_anonymize": kept_rows(AUTO_TREATED, "type_compte") + " SELECT * FROM kept",

@@ -12,7 +12,9 @@ from voilage import functions as V
 from voilage.columns import field
 from voilage.config import Roles, Rule, Settings
 from voilage.functions.noise import laplace, noisy_amount, uniform_draw
+from voilage.functions.actions import register_action
 from voilage.operators import classes, policy, profiling, risk, rules
+from voilage.operators.ordering import numbered
 from voilage.plans import jobs
 from voilage.session import scratch_path
 from voilage.sinks import files as sinks
@@ -190,6 +192,26 @@ def _(spark, sf):
     return found.distinct().withColumn("rows", rows)
 
 
+@query("src_csv_carriage_returns")
+def _(spark, sf):
+    """Files whose lines end in carriage returns alone; the delimiter and header are found."""
+    path = scratch_path(spark, "cr-csv")
+    docs = facts(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.translate("text", "\r", " ").alias("texte"), "lang", "source"
+    )
+    docs.write.options(header=True, sep=";", quote='"', escape='"', lineSep="\r", quoteAll=True).csv(path)
+    return delimited.read_delimited(spark, path)
+
+
+@query("src_csv_latin1")
+def _(spark, sf):
+    path = scratch_path(spark, "latin-csv")
+    docs = facts(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("numéro"), "text", F.col("lang").alias("langue"))
+    docs.write.options(header=True, quote='"', escape='"', emptyValue="", encoding="ISO-8859-1").csv(path)
+    read = delimited.read_delimited(spark, path, encoding="ISO-8859-1")
+    return read.select(F.col("numéro").alias("doc_id"), "text", F.col("langue").alias("lang"))
+
+
 # --- scalar treatments ---------------------------------------------------------------
 
 
@@ -329,6 +351,15 @@ def _(spark, sf):
     return rules.apply_rules(people, options, STRICT, record=("numero",))
 
 
+@query("udf_registered_action")
+def _(spark, sf):
+    """Two actions added by their user: a native expression, and one that reads its rule's parameter."""
+    register_action("initial", lambda c, rule, noise, name: F.concat(F.substring(c, 1, 1), F.lit(".")))
+    register_action("last", lambda c, rule, noise, name: F.right(c, F.lit(rule.param["digits"])))
+    chosen = {"email": Rule("initial"), "telephone": Rule("last", {"digits": 4}), "statut": Rule("mask")}
+    return rules.apply_rules(clients(spark, sf), chosen)
+
+
 @query("prj_default_rules_applied")
 def _(spark, sf):
     people = clients(spark, sf).select("id_client", "code_postal", "date_naissance", "revenu_annuel", "statut")
@@ -549,6 +580,35 @@ def _(spark, sf):
     )
 
 
+@query("sink_whole_definitions")
+def _(spark, sf):
+    """All five parts of the definitions of a catalog's tables, written and read back."""
+    path = scratch_path(spark, "whole-definitions")
+    columns = catalog(spark, sf)
+    made = sinks.table_definitions(policy.guess_mapping(columns), STRICT, ";", policy.recommend(columns))
+    sinks.write_json(made, path)
+    read = spark.read.schema(made.schema).json(path)
+    shown = F.transform(
+        F.map_entries("transforms"), lambda e: F.concat_ws(":", e["key"], e["value"]["action"], F.coalesce(e["value"]["param"]["type"], F.lit("")))
+    )
+    return read.select(
+        "table_name", "meta.delimiter", F.to_json("settings").alias("settings"), F.col("mapping.id"), F.col("mapping.postal"),
+        F.col("mapping.date1"), F.col("mapping.date2"), F.col("mapping.revenue"), F.col("mapping.sensitive"),
+        F.array_join("mapping.qids", "|").alias("qids"), F.sha2(F.array_join("columns", "|"), 256).alias("columns"),
+        F.sha2(F.array_join(shown, "|"), 256).alias("transforms"), F.size("columns").alias("n_columns"), F.size(shown).alias("n_transforms"),
+    )
+
+
+@query("sink_one_csv")
+def _(spark, sf):
+    """One file of many parts, its header and mark once; read back by what is found in it."""
+    file = f"{scratch_path(spark, 'one')}.csv"
+    docs = facts(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("numéro"), "text", "lang", "source")
+    sinks.write_one_csv(docs, file, delimiter=";")
+    read = delimited.read_delimited(spark, file)
+    return read.select(F.col("numéro").alias("doc_id"), "text", "lang", "source", F.lit(len(read.inputFiles())).alias("n_files"))
+
+
 @query("sink_audit_report")
 def _(spark, sf):
     path = scratch_path(spark, "audit")
@@ -573,7 +633,23 @@ def _(spark, sf):
     )
     entries.write.mode("append").parquet(path)
     shown = F.substring(F.col("at").cast("string"), 1, 16)
-    return sinks.journal_read(spark, path).withColumn("at", shown)
+    return sinks.journal_read(spark, path).select(shown.alias("at"), "action", "data")
+
+
+@query("sink_journal_order")
+def _(spark, sf):
+    """Entries of several writers, compacted: the place of each, newest first, inside a minute too."""
+    path = scratch_path(spark, "journal-order")
+    events = table(spark, sf, "events")
+    entries = events.select(
+        F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("action"),
+        F.col("props").alias("data"), F.col("event_id").cast("bigint").alias("entry"),
+    )
+    for writer in range(3):
+        entries.where(F.pmod("entry", F.lit(3)) == writer).coalesce(2).write.mode("append").parquet(path)
+    sinks.journal_compact(spark, path)
+    placed = numbered(sinks.journal_read(spark, path), ["at", "entry"], descending=True)
+    return placed.withColumn("at", F.substring(F.col("at").cast("string"), 1, 16))
 
 
 # --- policy -------------------------------------------------------------------------------
@@ -684,6 +760,41 @@ def _(spark, sf):
     return spark.range(1).select(F.lit(run.rows_read()).cast("bigint").alias("total"))
 
 
+@query("str_mixed_dialects")
+def _(spark, sf):
+    """Folders of two delimiters and three headers, which arrive file by file."""
+    source = scratch_path(spark, "mixed-stream")
+    docs, turns = facts(spark, sf, "documents"), table(spark, sf, "conversations")
+    sinks.write_csv(docs.select(F.col("doc_id").cast("string").alias("id"), "lang", "text"), f"{source}/a", delimiter=";")
+    sinks.write_csv(docs.select("source", F.col("doc_id").cast("string").alias("id")), f"{source}/b", delimiter=";")
+    sinks.write_csv(turns.select(F.col("conv_id").cast("string").alias("id"), "role", "text"), f"{source}/c", delimiter="\t")
+    masked = {"text": Rule("pseudonymize"), "role": Rule("suppress")}
+    run = streams.start_mixed(
+        spark, f"{source}/*", scratch_path(spark, "stream"), scratch_path(spark, "progress"),
+        treat=lambda df: rules.apply_rules(df, masked), max_files=4,
+    ).wait()
+    return run.rows().select("id", "lang", "text", "source", "role")
+
+
+@query("str_count_over_restarts")
+def _(spark, sf):
+    """A stream stopped after half of its files and started again, twice: every row counts once."""
+    source, target, progress = (scratch_path(spark, n) for n in ("halves", "stream", "progress"))
+    events = table(spark, sf, "events")
+
+    def resume() -> None:
+        stream = streams.stream_parquet(spark, f"{source}/*", events.schema, max_files=2)
+        streams.start_counted(stream, target, progress, treat=lambda df: df).awaitTermination()
+
+    for half in (0, 1):
+        events.where(F.pmod("event_id", F.lit(2)) == half).write.parquet(f"{source}/{half}")
+        resume()
+    resume()
+    written = spark.read.parquet(target).agg(F.count(F.lit(1)).alias("written"), F.count_distinct("event_id").alias("distinct"))
+    one = written.select(F.struct("written", "distinct").alias("s")).scalar()
+    return streams.counted_rows(spark, progress).select("total", one.getField("written").alias("written"), one.getField("distinct").alias("distinct"))
+
+
 # --- jobs --------------------------------------------------------------------------------------
 
 
@@ -698,6 +809,20 @@ def _(spark, sf):
     return jobs.anonymize(clients(spark, sf), coarse, None, STRICT).rows
 
 
+@query("job_anonymize_in_order")
+def _(spark, sf):
+    """Classes by their first record, records of a class in the order they came in."""
+    people = clients(spark, sf)
+    return jobs.anonymize(people, CLIENT_ROLES, None, STRICT, appearance=["id_client"], position="place").rows
+
+
+@query("pol_chosen_rules_applied")
+def _(spark, sf):
+    """The rules that the risk of the table itself calls for, applied to it."""
+    people = clients(spark, sf).select("id_client", "email", "code_postal", "date_naissance", "revenu_annuel", "statut")
+    return rules.apply_rules(people, jobs.chosen_rules(people, CLIENT_ROLES), STRICT)
+
+
 @query("job_anonymize_counts")
 def _(spark, sf):
     return jobs.anonymize(clients(spark, sf), CLIENT_ROLES, None, STRICT).counts
