@@ -120,46 +120,78 @@ def _passages(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 class Automaton:
-    """Half-window blocks of passages, over word numbers that are exact within one shard."""
+    """Half-window blocks of passages, over word numbers that are exact within one shard.
+
+    Every window of a passage holds one of its blocks whole. So the automaton tells which windows of
+    a document may stand in a passage; these are looked up among the passages' windows by hash, and
+    compared word by word with one that has the hash. The work grows with the document and its
+    windows, however often words repeat in it.
+    """
 
     def __init__(self, passages: list[tuple[int, bytes]], window: int) -> None:
         self.window, self.half = window, window // 2
         self.numbers: dict[bytes, int] = {}
-        self.owners = [owner for owner, _ in passages]
-        self.passages = [[self.numbers.setdefault(w, len(self.numbers) + 1) for w in _WORD.findall(text)] for _, text in passages]
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for i, words in enumerate(self.passages):
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        told, hashes, starts, owners, filled = [], [], [], [], 0
+        for owner, text in passages:
+            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in _WORD.findall(text)]
             for at in range(0, len(words) - self.half + 1, self.half):
-                places.setdefault(tuple(words[at : at + self.half]), []).append((i, at))
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for block, where in places.items():
-            self.machine.add_word(block, where)
+                self.machine.add_word(tuple(words[at : at + self.half]), 1)
+            told.append(np.array(words, np.int64))
+            hashes.append(self._hashed(told[-1]))
+            starts.append(filled + np.arange(len(hashes[-1])))
+            owners.append(np.full(len(hashes[-1]), owner, np.int64))
+            filled += len(words)
+        self.empty = not len(self.machine)
+        if self.empty:
+            return
         self.machine.make_automaton()
-        self.empty = not places
+        self.words = np.concatenate(told)
+        hashes, starts, owners = (np.concatenate(x) for x in (hashes, starts, owners))
+        order = np.lexsort([owners, hashes])  # the smallest owner of a hash first
+        self.hashes, self.starts, self.owners = hashes[order], starts[order], owners[order]
+
+    def _hashed(self, words: np.ndarray) -> np.ndarray:
+        return W.rolling(W.mix(words.astype(np.uint64)), self.window)
 
     def covered(self, doc_id: int, words: list[bytes]) -> np.ndarray:
         """Which words stand in a window that a passage of a smaller doc_id holds too."""
-        out = np.zeros(len(words), bool)
-        if self.empty or len(words) < self.window:
+        n, window = len(words), self.window
+        out = np.zeros(n, bool)
+        if self.empty or n < window:
+            return out
+        ids = [self.numbers.get(w, 0) for w in words]
+        ends = np.array([end for end, _ in self.machine.iter(tuple(ids))], np.int64)
+        if not len(ends):
             return out
-        ids = tuple(self.numbers.get(w, 0) for w in words)
-        reached: dict[tuple[int, int], int] = {}
-        for end, where in self.machine.iter(ids):
-            start = end - self.half + 1
-            for i, at in where:
-                if self.owners[i] >= doc_id or reached.get((i, start - at), -1) > start:
-                    continue
-                other = self.passages[i]
-                lo, hi = 0, self.half
-                while lo < min(at, start) and other[at - lo - 1] == ids[start - lo - 1]:
-                    lo += 1
-                most = min(len(other) - at, len(ids) - start)
-                while hi < most and other[at + hi] == ids[start + hi]:
-                    hi += 1
-                reached[(i, start - at)] = start + hi
-                if lo + hi >= self.window:
-                    out[start - lo : start + hi] = True
-        return out
+        ids = np.array(ids, np.int64)
+        edge = np.zeros(n + 1, np.int64)  # windows that hold a block that was met
+        np.add.at(edge, np.maximum(ends - window + 1, 0), 1)
+        np.add.at(edge, ends - self.half + 2, -1)
+        spots = np.flatnonzero(np.cumsum(edge)[: n - window + 1] > 0)
+        wanted = self._hashed(ids)[spots]
+        first = np.searchsorted(self.hashes, wanted)
+        met = first < len(self.hashes)
+        met[met] = self.hashes[first[met]] == wanted[met]
+        spots, first = spots[met], first[met]
+        edge = np.zeros(n + 1, np.int64)
+        for at in range(0, len(spots), 4096):
+            s, f = spots[at : at + 4096], first[at : at + 4096]
+            held = self.owners[f] < doc_id
+            same = (ids[s[:, None] + np.arange(window)] == self.words[self.starts[f][:, None] + np.arange(window)]).all(1)
+            for i in np.flatnonzero(~same).tolist():  # another window with this hash came first
+                held[i] = self._stands(doc_id, ids[s[i] : s[i] + window], f[i])
+            edge[s[held]] += 1
+            edge[s[held] + window] -= 1
+        return np.cumsum(edge)[:n] > 0
+
+    def _stands(self, doc_id: int, words: np.ndarray, first: int) -> bool:
+        at = first
+        while at < len(self.hashes) and self.hashes[at] == self.hashes[first]:
+            if self.owners[at] < doc_id and np.array_equal(self.words[self.starts[at] : self.starts[at] + self.window], words):
+                return True
+            at += 1
+        return False
 
 
 def _located(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
