@@ -26,8 +26,7 @@ from voilage.llm.tokens import pieces_of
 from voilage.session import scratch_path
 
 BLOCK_IDS = 1 << 20
-ROUNDS = 8
-PAIRS_A_ROUND = 1500
+PAIRS_A_ROUND = 1500  # replaced at once; rounds go on until no pair is frequent
 LEAST_COUNT = 6
 END_ID = 2
 FIRST_NEW = 1 << 16
@@ -48,14 +47,12 @@ def _frequent(pairs: np.ndarray, spot: np.ndarray, most: int, least: int) -> np.
     return np.sort(kept[best[counts[best] >= least]])
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, first_new: int = FIRST_NEW) -> bytes:
-    """A block of the ids; they must be below ``first_new``."""
+def compress(ids: np.ndarray, first_new: int = FIRST_NEW) -> bytes:
+    """A block of the ids, which must be below ``first_new``: no pair of symbols is left LEAST_COUNT times."""
     symbols = ids.astype(np.uint32)
     rules = [np.zeros((0, 2), np.uint32)]
     made = 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
         spot = _spots(pairs)
         chosen = _frequent(pairs, spot, PAIRS_A_ROUND, LEAST_COUNT)
