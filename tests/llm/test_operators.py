@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -273,6 +274,8 @@ def test_blocks_decode_whole_and_in_part(n):
 def test_repetitive_ids_shrink():
     ids = np.tile(np.arange(50, dtype=np.uint32), 2000)
     assert len(grammar.compress(ids)) < len(ids) * 4 / 50
+    left = grammar.Block(grammar.compress(np.random.default_rng(3).integers(0, 40, 60_000).astype(np.uint32))).symbols
+    assert np.unique((left[:-1].astype(np.uint64) << np.uint64(32)) | left[1:], return_counts=True)[1].max() < 2 * grammar.LEAST_COUNT
 
 
 def test_token_files_of_messy_rows(messy, empty):
@@ -508,6 +511,33 @@ def test_removed_words_by_brute_force(spark, monkeypatch):
     assert got == brute_removal(texts, 10)
 
 
+@pytest.mark.parametrize("letters", ["a", "ab", "abc"])
+def test_passages_of_few_words_by_brute_force(letters):
+    draw = random.Random(6)
+    texts = [(i, " ".join(draw.choices(letters, k=draw.choice((5, 12, 60))))) for i in range(40)]
+    want = brute_removal(texts, 7)
+    machine = repeats.Automaton([(i, t.encode()) for i, t in texts], 7)
+    for i, text in texts:
+        words = text.encode().split()
+        assert (len(words), int(machine.covered(i, words).sum())) == want[i][:2]
+
+
+def test_one_word_over_and_over_takes_time_in_proportion():
+    words = [b"a"] * 200_000
+    start = time.monotonic()
+    machine = repeats.Automaton([(1, b" ".join(words)), (2, b" ".join(words[:1000]))], 50)
+    assert machine.covered(3, words).all() and not machine.covered(1, words).any() and machine.covered(2, words[:70]).all()
+    assert time.monotonic() - start < 20
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(repeats.Automaton, "_hashed", lambda self, words: np.zeros(max(0, len(words) - self.window + 1), np.uint64))
+    texts = [(i, prose(i % 5, 30)) for i in range(12)]
+    machine = repeats.Automaton([(i, t.encode()) for i, t in texts], 7)
+    for i, text in texts:
+        assert machine.covered(i, text.encode().split()).sum() == (30 if i >= 5 else 0)
+
+
 def test_removal_in_messy_rows(messy, empty):
     got = rows(repeats.removed_repeats(messy))
     by = {r["doc_id"]: r for r in got}
