@@ -47,7 +47,7 @@ def test_quoted_cells_over_many_splits(spark, tmp_path, small_splits, end, seed)
     draw, want = random.Random(seed), []
     for name in "abc":
         text, cells = table_text(draw, 60, end)
-        (tmp_path / f"{name}.csv").write_bytes((("﻿" if name == "b" else "") + text + draw.choice(("", end))).encode())
+        (tmp_path / f"{name}.csv").write_bytes((("\ufeff" if name == "b" else "") + text + draw.choice(("", end))).encode())
         want += [(str(i), *row) for i, row in enumerate(cells)]
     df = read_delimited(spark, str(tmp_path))
     assert df.rdd.getNumPartitions() > 8

@@ -32,7 +32,7 @@ def laplace(x: Column, epsilon: float, draw: Column, sensitivity: float = 1.0) -
 def noisy_amount(c: Column, epsilon: float, draw: Column) -> Column:
     """A noised amount as text, rounded with halves going up; no number stays as it is.
 
-    Amounts of 38 digits or more are far too large for the noise to change, and are printed as the
+    Amounts of 1e37 or more are far too large for the noise to change, and are printed as the
     numbers they are read as. One too large for any number becomes empty: it must not be published
     as it came.
     """

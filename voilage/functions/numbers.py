@@ -71,12 +71,12 @@ def _long_text(x: Column) -> Column:
 
 
 def long_amount(c: Column) -> Column:
-    """An amount of 38 digits or more as :func:`floor_text` prints it, others as NULL.
+    """An amount of 30 digits or more as :func:`floor_text` prints it, others as NULL.
 
     It refers to the cell and not to a number made from it, so that it adds little to the code of
     an expression that it ends.
     """
-    return F.when(c.rlike(r"^[^0-9.]*+(?:[0-9][^0-9.]*+){38}"), _long_text(parse_amount(c)))
+    return F.when(c.rlike(r"^[^0-9.]*+(?:[0-9][^0-9.]*+){30}"), _long_text(parse_amount(c)))
 
 
 def bin_income(c: Column, step: int = fixed.INCOME_STEP) -> Column:

@@ -256,8 +256,8 @@ def run_report(
 
 
 def entry_number() -> int:
-    """A number that grows with time, and differs between writers of one moment but for one chance in 2**13."""
-    return (time.time_ns() // 1000 << 13) | (uuid.uuid4().int & ((1 << 13) - 1))
+    """A number that grows with time, and differs between writers of one moment but for one chance in 2**11."""
+    return (time.time_ns() // 1000 << 11) | (uuid.uuid4().int & ((1 << 11) - 1))
 
 
 def journal_append(spark: SparkSession, path: str, action: str, data: Any = None, at: datetime | None = None) -> None:
