@@ -25,6 +25,7 @@ EQUAL_LANES = 16
 LIKE_LANES = 96
 BYTES = 4 * EQUAL_LANES + 4 * LIKE_LANES
 _LOWEST = -(1 << 63)
+_NONE = np.iinfo(np.int64).max
 
 
 def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,23 +102,42 @@ def _with_next(docs: DataFrame) -> DataFrame:
     """Documents dealt into ranges of doc_id, each range followed by the first document of the next.
 
     Ranges are as many as the input has splits; their bounds and first ids are all that the driver
-    learns. The last range is followed by the first document of all.
+    learns, eight bytes each, and tasks look them up by bisection. The last range is followed by the
+    first document of all.
     """
     texts = documents_only(docs, "doc_id", "text").withColumn("k", F.coalesce("doc_id", F.lit(_LOWEST)))
     many = max(8, docs.rdd.getNumPartitions())
-    bounds = sorted({int(x) for x in texts.approxQuantile("k", [i / many for i in range(1, many)], 0.25 / many)})
-    reach = F.array(*[F.lit(x).cast("bigint") for x in bounds]) if bounds else F.array().cast("array<bigint>")
-    dealt = texts.withColumn("range", F.size(F.filter(reach, lambda x: x <= F.col("k"))))
-    firsts = sorted((r["range"], r["first"]) for r in dealt.groupBy("range").agg(F.min("k").alias("first")).collect())
-    if not firsts:
-        return dealt.withColumn("tail", F.lit(False))
-    before = {firsts[i][0]: firsts[i - 1][0] for i in range(len(firsts))}
-    lowest = F.create_map(*[F.lit(x) for r, k in firsts for x in (r, k)])
-    previous = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    own = F.struct(F.col("range").alias("range"), F.lit(False).alias("tail"))
-    extra = F.struct(previous[F.col("range")].alias("range"), F.lit(True).alias("tail"))
-    places = F.when(F.col("k") == lowest[F.col("range")], F.array(own, extra)).otherwise(F.array(own))
-    return dealt.select("doc_id", "text", "k", F.explode(places).alias("place")).select("doc_id", "text", "k", "place.range", "place.tail")
+    quantiles = texts.approxQuantile("k", [i / many for i in range(1, many)], 0.25 / many)
+    bounds = np.array(sorted({int(x) for x in quantiles}), np.int64)
+
+    def firsts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lowest, held = np.full(len(bounds) + 1, _NONE), np.zeros(len(bounds) + 1, bool)
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            own = np.searchsorted(bounds, k, "right")
+            np.minimum.at(lowest, own, k)
+            held[own] = True
+        seen = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(lowest[seen])], names=["range", "first"])
+
+    told = texts.select("k").mapInArrow(firsts_of, "range bigint, first bigint").groupBy("range").agg(F.min("first").alias("first")).toArrow()
+    order = np.argsort(told.column("range").to_numpy())
+    ranges, firsts = (told.column(c).to_numpy()[order] for c in ("range", "first"))
+    lowest, previous = np.full(len(bounds) + 1, _NONE), np.zeros(len(bounds) + 1, np.int64)
+    lowest[ranges], previous[ranges] = firsts, np.roll(ranges, 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in W.slices(batches):
+            k = part.column(2).to_numpy()
+            own = np.searchsorted(bounds, k, "right")
+            first = np.flatnonzero(k == lowest[own])
+            rows = np.concatenate([np.arange(len(k)), first])
+            taken = part.take(pa.array(rows)) if len(first) else part
+            place = np.concatenate([own, previous[own[first]]]).astype(np.int32)
+            columns = [*taken.columns, pa.array(place), pa.array(np.arange(len(rows)) >= len(k))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "k", "range", "tail"])
+
+    return texts.mapInArrow(deal, "doc_id bigint, text string, k bigint, range int, tail boolean")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
