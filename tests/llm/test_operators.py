@@ -431,7 +431,7 @@ def test_languages_of_messy_rows(messy, empty):
     by = {r["doc_id"]: r for r in language.identify(messy, language.train(messy)).collect()}
     assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0.0 for i in (1, 2, 3))
     assert all(by[i]["lang_pred"] == "en" for i in (4, 5, 8, 9, None))
-    assert language.train(empty) is None
+    assert language.train(empty) is None and language.keep_identified(empty).count() == 0
     assert {r["lang_pred"] for r in language.identify(messy, None).collect()} == {"und"}
     assert language.keep_identified(messy).columns == messy.columns
 
@@ -439,6 +439,19 @@ def test_languages_of_messy_rows(messy, empty):
 # 7: fingerprints
 
 
+def test_edits_across_ranges_and_at_the_ends_of_the_ids(spark):
+    draw = random.Random(3)
+    ids = sorted({-(1 << 63), (1 << 63) - 1, *(draw.randint(-(1 << 40), 1 << 40) for _ in range(300))})
+    texts = {i: prose(n, draw.randint(0, 12)) for n, i in enumerate(ids)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(11)
+    got = {r["doc_id"]: r for r in fingerprint.compare_with_edits(df).collect()}
+    assert len(got) == len(ids)
+    for i, after in zip(ids, [*ids[1:], ids[0]]):
+        t, n = texts[i], texts[after]
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+
+
 def test_fingerprints_of_messy_rows(messy, empty):
     got = fingerprint.compare_with_edits(messy).collect()
     assert len(got) == len(messy_rows()) and fingerprint.compare_with_edits(empty).count() == 0
