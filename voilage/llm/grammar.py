@@ -38,43 +38,69 @@ def _spots(pairs: np.ndarray) -> np.ndarray:
     return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int32)
 
 
-def _frequent(pairs: np.ndarray, spot: np.ndarray, most: int, least: int) -> np.ndarray:
-    """Up to ``most`` pairs that occur ``least`` times or more, the most frequent ones."""
+def _best(pairs: np.ndarray, most: int, least: int) -> tuple[np.ndarray, bool]:
+    """The most frequent pairs that occur ``least`` times or more, in order, and whether these are all."""
+    kept, counts = np.unique(pairs, return_counts=True)
+    kept, counts = kept[counts >= least], counts[counts >= least]
+    if len(kept) <= most:
+        return kept, True
+    return np.sort(kept[np.argsort(-counts, kind="stable")[:most]]), False
+
+
+def _frequent(pairs: np.ndarray, spot: np.ndarray, most: int, least: int) -> tuple[np.ndarray, bool]:
+    """The same; pairs in the less crowded places of the hash table are looked at only where the others are too few."""
     crowd = np.bincount(spot, minlength=1 << _HASH_BITS)
-    floor = max(least, int(np.partition(crowd, len(crowd) - most)[len(crowd) - most]))
-    kept, counts = np.unique(pairs[(crowd >= floor)[spot]], return_counts=True)
-    best = np.argsort(-counts, kind="stable")[:most]
-    return np.sort(kept[best[counts[best] >= least]])
+    floor = int(np.partition(crowd, len(crowd) - most)[len(crowd) - most])
+    if floor > least:
+        chosen, _ = _best(pairs[(crowd >= floor)[spot]], most, least)
+        if len(chosen) == most:
+            return chosen, False
+    return _best(pairs[(crowd >= least)[spot]], most, least)
 
 
 def compress(ids: np.ndarray, first_new: int = FIRST_NEW) -> bytes:
-    """A block of the ids, which must be below ``first_new``: no pair of symbols is left LEAST_COUNT times."""
+    """A block of the ids, which must be below ``first_new``: no pair of symbols is left LEAST_COUNT times.
+
+    Once a round has replaced all frequent pairs, only pairs that hold one of its new symbols can be
+    frequent in the next, and only these are looked at.
+    """
     symbols = ids.astype(np.uint32)
     rules = [np.zeros((0, 2), np.uint32)]
     made = 0
+    look: np.ndarray | None = None  # places whose pairs may be frequent; None: all
     while len(symbols) > 1:
-        pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        spot = _spots(pairs)
-        chosen = _frequent(pairs, spot, PAIRS_A_ROUND, LEAST_COUNT)
+        if look is None:
+            pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+            spot = _spots(pairs)
+            chosen, all_told = _frequent(pairs, spot, PAIRS_A_ROUND, LEAST_COUNT)
+            possible = np.zeros(1 << _HASH_BITS, bool)
+            possible[_spots(chosen)] = True
+            at = np.flatnonzero(possible[spot])
+            pairs = pairs[at]
+        else:
+            at = look
+            pairs = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
+            chosen, all_told = _best(pairs, PAIRS_A_ROUND, LEAST_COUNT)
         if not len(chosen):
             break
-        possible = np.zeros(1 << _HASH_BITS, bool)
-        possible[_spots(chosen)] = True
-        at = np.flatnonzero(possible[spot])
-        where = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
-        hit = chosen[where] == pairs[at]
+        where = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
+        hit = chosen[where] == pairs
         at, where = at[hit], where[hit]
         # of neighbouring hits every other one, from the left
         run_start = np.concatenate([[True], np.diff(at) > 1])
         turn = np.arange(len(at)) - np.maximum.accumulate(np.where(run_start, np.arange(len(at)), 0))
         at, where = at[turn % 2 == 0], where[turn % 2 == 0]
-        new = symbols.copy()
-        new[at] = first_new + made + where
+        symbols[at] = first_new + made + where
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols = new[keep]
+        symbols = symbols[keep]
         rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         made += len(chosen)
+        look = None
+        if all_told:
+            now = at - np.arange(len(at))  # each replacement before took one symbol away
+            look = np.unique(np.concatenate([now - 1, now]))
+            look = look[(look >= 0) & (look < len(symbols) - 1)]
     table = np.concatenate(rules)
     lengths = np.ones(made, np.uint32)
     at = 0
