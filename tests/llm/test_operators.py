@@ -275,7 +275,7 @@ def test_repetitive_ids_shrink():
     ids = np.tile(np.arange(50, dtype=np.uint32), 2000)
     assert len(grammar.compress(ids)) < len(ids) * 4 / 50
     left = grammar.Block(grammar.compress(np.random.default_rng(3).integers(0, 40, 60_000).astype(np.uint32))).symbols
-    assert np.unique((left[:-1].astype(np.uint64) << np.uint64(32)) | left[1:], return_counts=True)[1].max() < 2 * grammar.LEAST_COUNT
+    assert np.unique((left[:-1].astype(np.uint64) << np.uint64(32)) | left[1:], return_counts=True)[1].max() < grammar.LEAST_COUNT
 
 
 def test_token_files_of_messy_rows(messy, empty):
