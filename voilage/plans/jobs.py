@@ -180,8 +180,8 @@ def fixed_file_job(
 ) -> str:
     """Apply the fixed client rules to delimited files; returns where the result is.
 
-    Line ends inside quotes are kept, for which a file is read by one task;
-    ``multiline=False`` splits files that have none.
+    Line ends inside quotes are kept, for which large files are read twice;
+    ``multiline=False`` reads once files that have none.
     """
     target = target or anonymized_name(source)
     rows = read_delimited(spark, source, sniff=sniff, multiline=multiline)
