@@ -142,7 +142,9 @@ def encode_and_decode(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, decoded_sha256, same: ids of each text and what they decode to.
 
     A null or empty text has no ids and decodes to the empty text. ``same`` tells whether the
-    decoded text is the text, byte for byte.
+    decoded text is the text, byte for byte. Every row is encoded by itself: rows without doc_id are
+    like any other, repeated rows have equal results, texts of any length are taken whole. Columns
+    besides doc_id and text are not looked at; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
