@@ -35,7 +35,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five words, 0.8), that of the smallest doc_id.
 
-    Repeated rows of that doc_id stay; rows without doc_id and texts without words link with nothing and stay.
+    Of rows that repeat a doc_id one stays; rows without doc_id all stay; texts without words link with nothing.
     Sets are taken from whole texts; other columns stay; an empty table stays empty.
     """
     return minhash.keep_one_of_each(docs)
