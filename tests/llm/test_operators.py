@@ -714,6 +714,13 @@ def test_each_stage_of_the_pipeline(spark):
     assert sum(good) / len(good) > 0.95
 
 
+def test_the_pipeline_runs_on_messy_and_on_empty_tables(spark, messy, empty, tmp_path):
+    for name, rows_in in (("messy", messy), ("empty", empty)):
+        rows_in.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        pieces = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r["doc_id"] for r in pieces} <= {r[0] for r in messy_rows()} and (name == "messy") == bool(pieces)
+
+
 def test_every_operator_has_its_query():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
-    assert numbers == list(range(1, 11)) and len(corpus_pipeline.STAGES) == 5
+    assert numbers == list(range(1, 14)) and len(corpus_pipeline.STAGES) == 5
