@@ -55,6 +55,31 @@ def test_quoted_cells_over_many_splits(spark, tmp_path, small_splits, end, seed)
     assert sorted(r[0] for r in df.select("deux").collect()) == sorted(r[2] for r in want)
 
 
+def test_splits_sized_by_the_input_when_records_cross_in_some_files_only(spark, tmp_path):
+    """Below the largest split size, Spark cuts files by the bytes it is to read: leaving some out moves the cuts."""
+    (tmp_path / "a.csv").write_text("id,nom\n" + "".join(f'{i},"{"x" * 3000}\n{"y" * 3000}"\n' for i in range(10)))
+    (tmp_path / "b.csv").write_text("id,nom\n" + "".join(f"{i},{'z' * 600}\n" for i in range(100, 200)))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "512b")
+    try:
+        got = sorted(map(tuple, read_delimited(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    want = [(f"{i}", "x" * 3000 + "\n" + "y" * 3000) for i in range(10)] + [(f"{i}", "z" * 600) for i in range(100, 200)]
+    assert got == sorted(want)
+
+
+def test_splits_smaller_than_the_cost_of_opening_a_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,nom\n" + "".join(f'{i},"{"x" * 300}\n{"y" * 300}"\n' for i in range(100)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = sorted(map(tuple, read_delimited(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted((f"{i}", "x" * 300 + "\n" + "y" * 300) for i in range(100))
+
+
 def test_a_record_longer_than_many_splits_and_a_long_header(spark, tmp_path, small_splits):
     long = "x,\n" * 1000
     header = '"a\nb' + "c" * 3000 + '"'

@@ -242,23 +242,23 @@ def _text(spark: SparkSession, path: str | list[str], end: str, encoding: str) -
 
 
 def _states(lines: DataFrame, delimiter: str) -> DataFrame:
-    """(file, start, inside): the true state at the start of each split behind a file's first."""
+    """(file, start, inside, crosses): the true state at the start of each split, and whether a record crosses one of its ends."""
     ends = lines.mapInArrow(_transitions(delimiter), "file string, start bigint, from_outside boolean, from_inside boolean")
     in_order = ends.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "from_outside", "from_inside"))).alias("splits"))
 
     def turn(state, split):
         after = F.when(state["inside"], split["from_inside"]).otherwise(split["from_outside"])
-        seen = F.array_append(state["seen"], F.struct(split["start"].alias("start"), state["inside"].alias("inside")))
-        return F.struct(after.alias("inside"), seen.alias("seen"))
+        one = F.struct(split["start"].alias("start"), state["inside"].alias("inside"), (state["inside"] | after).alias("crosses"))
+        return F.struct(after.alias("inside"), F.array_append(state["seen"], one).alias("seen"))
 
-    begin = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<start:bigint,inside:boolean>>").alias("seen"))
-    told = in_order.select("file", F.inline(F.aggregate("splits", begin, turn)["seen"]))
-    return materialize(told.where("start > 0"))
+    begin = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<start:bigint,inside:boolean,crosses:boolean>>").alias("seen"))
+    return materialize(in_order.select("file", F.inline(F.aggregate("splits", begin, turn)["seen"])))
 
 
 def may_be_split(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether any file is large enough for Spark to cut it."""
-    least = int(spark._jsparkSession.sessionState().conf().filesOpenCostInBytes())
+    conf = spark._jsparkSession.sessionState().conf()
+    least = min(int(conf.filesOpenCostInBytes()), int(conf.filesMaxPartitionBytes()))
     files = spark.read.format("binaryFile").load([path] if isinstance(path, str) else list(path))  # a listing, no content
     return not files.where(F.col("length") > least).select("length").isEmpty()
 
@@ -275,28 +275,34 @@ def records(
         raise ValueError(f"encoding is one of {', '.join(ENCODINGS)}")
     lines = _text(spark, path, end, encoding)
     first = lines.withColumn("inside", F.when(F.col("start") == 0, F.lit(False)))
+    if not may_be_split(spark, path):
+        return first.mapInArrow(_formed(delimiter, end, header, False, frozenset()), _ROW).select("file", "record")
+    states = _states(lines, delimiter)
+    size = states.agg(F.count_if(F.col("start") > 0).alias("n"), F.count_if("inside").alias("inside")).first()
+    if size["n"] > MOST_SPLITS:
+        return None
     crossing: frozenset[str] | None = frozenset()
-    if may_be_split(spark, path):
-        states = _states(lines, delimiter)
-        size = states.agg(F.count(F.lit(1)).alias("n"), F.count_if("inside").alias("inside")).first()
-        if size["n"] > MOST_SPLITS:
-            return None
-        if size["n"]:
-            # two hashes stand for file and start, so that a row is small
-            a, b = F.xxhash64("file", "start"), F.xxhash64("start", "file")
-            told = F.broadcast(states.select(a.alias("_a"), b.alias("_b"), F.col("inside").alias("_inside")))
-            met = lines.join(told, (a == F.col("_a")) & (b == F.col("_b")), "left")
-            first = met.select("file", "start", F.coalesce("_inside", F.when(F.col("start") == 0, F.lit(False))).alias("inside"), "value")
-        if size["inside"]:
-            files = [r["file"] for r in states.where("inside").select("file").distinct().limit(FEW_FILES + 1).collect()]
-            crossing = frozenset(files) if len(files) <= FEW_FILES else None
+    if size["n"]:
+        first = _met(lines, states.where("start > 0")).withColumn("inside", F.coalesce("inside", F.when(F.col("start") == 0, F.lit(False))))
+    if size["inside"]:
+        files = [r["file"] for r in states.where("inside").select("file").distinct().limit(FEW_FILES + 1).collect()]
+        crossing = frozenset(files) if len(files) <= FEW_FILES else None
     whole = first.mapInArrow(_formed(delimiter, end, header, False, crossing), _ROW).select("file", "record")
     if crossing is not None and not crossing:
         return whole
-    some = first if crossing is None else first.where(F.col("file").isin(*crossing))
+    # all files are read, and the others' lines dropped behind the join: a filter by file would leave
+    # Spark less to read, which it would cut into other splits
+    some = _met(lines, states.where("crosses"), "inner")
     return whole.unionByName(_assembled(some.mapInArrow(_formed(delimiter, end, header, True, crossing), _ROW), end))
 
 
+def _met(lines: DataFrame, states: DataFrame, how: str = "left") -> DataFrame:
+    """The lines with the state their split begins in; two hashes stand for file and start, so that a broadcast row is small."""
+    a, b = F.xxhash64("file", "start"), F.xxhash64("start", "file")
+    told = F.broadcast(states.select(a.alias("_a"), b.alias("_b"), F.col("inside")))
+    return lines.join(told, (a == F.col("_a")) & (b == F.col("_b")), how).select("file", "start", "inside", "value")
+
+
 def _assembled(fragments: DataFrame, end: str) -> DataFrame:
     """Records that lie in more than one split, put together."""
     head = F.col("kind").isin(HEAD_CLOSED, HEAD_OPEN)
