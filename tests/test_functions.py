@@ -140,6 +140,14 @@ def test_noise_rounds_halves_up(evaluate_on):
     ]
 
 
+def test_whole_digits_up_to_1e37(evaluate_on):
+    from voilage.functions.numbers import exact_floor_text
+
+    values = [s * x for s in (1, -1) for x in (1.15e36, 1.1529215046068470e36, 1.16e36, 9.2e36, 9.99999999999999e36)]
+    assert evaluate_on(exact_floor_text, values, "double") == [str(int(v)) for v in values]
+    assert evaluate_on(exact_floor_text, [1e37], "double") == [None]
+
+
 def test_noise_leaves_text_that_is_no_number(evaluate_on):
     got = evaluate_on(lambda c: V.noisy_amount(c, 2, F.lit(0.5)), ["73,450$", "1-2", "", None])
     assert got == ["73450", "1-2", "0", None]

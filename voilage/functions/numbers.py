@@ -61,7 +61,7 @@ def exact_floor_text(x: Column) -> Column:
     """
     high = F.floor(_where(x, (F.abs(x) >= 1e18) & (F.abs(x) < 1e37)) / 2.0**60)
     low = (x - high.cast("double") * 2.0**60).cast("bigint")
-    whole = high.cast("decimal(18,0)") * F.lit(1 << 60).cast("decimal(19,0)") + low.cast("decimal(19,0)")
+    whole = high.cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)") + low.cast("decimal(19,0)")
     return F.coalesce(F.floor(_where(x, F.abs(x) < 1e18)).cast("string"), whole.cast("string"))
 
 
