@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,49 @@ def test_dictionary_and_preset(catalog):
     assert Settings(epsilon=None).noise_epsilon == 2
     with pytest.raises(ValueError, match="epsilon"):
         Settings(epsilon=0).noise_epsilon
+
+
+def test_plain_searches_find_what_the_patterns_find(spark):
+    """Every pattern of column names, on names that hold its words, pieces of them, and other ends."""
+    import itertools
+    import random
+
+    from voilage import fixed_values as fixed
+    from voilage.columns import _searches, occurs
+    from voilage.workload.settings import WORD_BREAK, WORD_BREAK_LISTED
+
+    rules = (*fixed.TYPE_RULES, *fixed.CATEGORY_RULES, *fixed.RISK_RULES, *fixed.RECOMMENDATION_RULES)
+    patterns = sorted({*fixed.ROLE_PATTERNS.values(), *(r[0] for r in rules), fixed.PERSONAL, fixed.DIRECT_PII, fixed.MASKED_CONTACT,
+                       fixed.REDUCTION_IDS[0], fixed.REDUCTION_POSTAL[0], fixed.REDUCTION_MONEY, "^id$", "a.c|x+", "b[^a]"})
+    draw = random.Random(3)
+    pieces = sorted({w for p in patterns for w in re.findall("[a-zé]+", p)}) + ["_", "-", " ", "", "é", "x", "\n", "id", "date"]
+    names = ["".join(draw.choice(pieces) for _ in range(draw.randint(0, 4))) for _ in range(3000)]
+    names += [n[: draw.randint(0, len(n))] for n in names[:1000]] + [None]
+    df = spark.createDataFrame([(n,) for n in names], "n string").repartition(1)
+    for some in itertools.batched(patterns, 8):
+        wrong = [F.count_if(~occurs(F.col("n"), p).eqNullSafe(F.col("n").rlike(p))) for p in some]
+        assert tuple(df.agg(*wrong).first()) == (0,) * len(some)
+    assert _searches("code[_-]?postal|postal|zip") == (("postal", "zip"), ()) and _searches("date.*(a|b)")[1] == ((("date",), "date.*(a|b)"),)
+    text = "".join(chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x11000)))
+    broken = spark.createDataFrame([(text,)], "t string").select(F.split("t", WORD_BREAK).alias("a"), F.split("t", WORD_BREAK_LISTED).alias("b")).first()
+    assert broken["a"] == broken["b"] and len(broken["a"]) == 6
+
+
+def test_folded_catalogs_give_what_rows_give(spark):
+    """Tables as one list of names: roles and whole definitions; a table in several rows too."""
+    from voilage.operators import policy
+    from voilage.sinks.files import table_definitions
+
+    parts = [("c", CLIENT), ("a", [*ACCOUNT, "Solde", "email"]), ("e", ["x", "y"]), ("c", ["Date", "id", "nom"]), ("z", None)]
+    folded = spark.createDataFrame(parts, "table_name string, columns array<string>")
+    rows = folded.select("table_name", F.posexplode("columns").alias("ordinal", "column_name"))
+    alone, alone_rows = folded.where("table_name <> 'c'"), rows.where("table_name <> 'c'")
+
+    def sorted_rows(df):
+        return sorted(map(str, df.collect()))
+
+    assert sorted_rows(guess_mapping(alone)) == sorted_rows(guess_mapping(alone_rows))
+    for some, each in ((alone, alone_rows), (spark.createDataFrame(parts[:1] * 2, folded.schema), catalog_of(spark, {"c": CLIENT}))):
+        got = table_definitions(policy.described(policy.whole_tables(some)), Settings(), ";")
+        want = table_definitions(guess_mapping(each), Settings(), ";", recommend(each))
+        assert got.columns == want.columns and sorted_rows(got) == sorted_rows(want)

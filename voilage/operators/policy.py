@@ -2,11 +2,13 @@
 
 A catalog is a DataFrame (table_name, column_name, ordinal), so one job covers the
 columns of any number of tables. The same rule tables also answer for one list of
-names on the driver, which is how a job plans the treatment of its own columns.
+names on the driver, which is how a job plans the treatment of its own columns. Where a
+table's names come as one list (table_name, columns), they need not be taken apart.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Sequence
 
@@ -14,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voilage import fixed_values as fixed
-from voilage.columns import first_match, matching, round_half_up
+from voilage.columns import first_match, matching, occurs, round_half_up
 from voilage.config import Roles, Rule, Settings
+from voilage.session import materialize
 
 QID_ROLES = ("date1", "postal", "revenue")
 
@@ -38,13 +41,67 @@ def guess_mapping(catalog: DataFrame) -> DataFrame:
 
     For each role the first column, in table order, whose name fits. One pass: the smallest
     (place, name) of each role is folded on the map side, and names that play no role carry none.
+    A catalog of one row a table, (table_name, columns), is looked through row by row: no name is
+    sorted or shuffled but the roles'.
     """
-    name = _lower()
-    placed = F.struct("ordinal", "column_name")
-    fits = {role: F.when(name.rlike(p), placed) for role, p in fixed.ROLE_PATTERNS.items()}
-    firsts = catalog.select("table_name", *[c.alias(r) for r, c in fits.items()]).groupBy("table_name")
-    found = firsts.agg(*[F.min(r).getField("column_name").alias(r) for r in fits])
-    return found.withColumn("qids", F.array_compact(F.array(*[F.col(r) for r in QID_ROLES])))
+    if "columns" in catalog.columns:
+        firsts = _first_fits(catalog)
+    else:
+        name, placed = _lower(), F.struct("ordinal", "column_name")
+        firsts = catalog.select("table_name", *[F.when(occurs(name, p), placed).alias(r) for r, p in fixed.ROLE_PATTERNS.items()])
+    found = firsts.groupBy("table_name").agg(*[F.min(r).getField("column_name").alias(r) for r in fixed.ROLE_PATTERNS])
+    return found.withColumn("qids", _qids())
+
+
+def _qids() -> Column:
+    return F.array_compact(F.array(*[F.col(r) for r in QID_ROLES]))
+
+
+def _first_fits(tables: DataFrame) -> DataFrame:
+    """``tables`` with, for each role, the first (ordinal, column_name) of ``columns`` that fits, or NULL."""
+    lowered = tables.where("columns is not null").withColumn("_lower", F.transform("columns", F.lower))
+    places = {f"_{r}": F.array_position(F.transform("_lower", functools.partial(_fits, p)), True) for r, p in fixed.ROLE_PATTERNS.items()}
+
+    def placed(place: Column) -> Column:
+        at = (place - 1).cast("int")
+        return F.when(place > 0, F.struct(at.alias("ordinal"), F.get("columns", at).alias("column_name")))
+
+    found = lowered.withColumns(places).withColumns({r: placed(F.col(f"_{r}")) for r in fixed.ROLE_PATTERNS})
+    return found.drop("_lower", *places)
+
+
+def _fits(pattern: str, name: Column) -> Column:
+    return occurs(name, pattern)
+
+
+def whole_tables(tables: DataFrame) -> DataFrame:
+    """(table_name, columns) with one row a table and each name once, where it stands first.
+
+    Where each table is one row already, only the tables' names are shuffled, to see that. Rows of one
+    table are laid over one another by place; tables without a name are left out.
+    """
+    given = tables.where("table_name is not null and columns is not null").select("table_name", "columns")
+    once = given.withColumn("columns", F.array_distinct("columns"))
+    several = materialize(given.groupBy("table_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("table_name"))
+    if several.isEmpty():
+        return once
+    names = given.join(several, "table_name", "left_semi").select("table_name", F.posexplode("columns").alias("ordinal", "column_name"))
+    first = names.groupBy("table_name", "column_name").agg(F.min("ordinal").alias("ordinal"))
+    folded = first.groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))).alias("found"))
+    laid = folded.select("table_name", F.transform("found", lambda c: c["column_name"]).alias("columns"))
+    return once.join(several, "table_name", "left_anti").unionByName(laid)
+
+
+def described(tables: DataFrame) -> DataFrame:
+    """Whole tables with their guessed roles, ``qids``, and ``rules``: name and simple rule of each column that has one."""
+    roles = _first_fits(tables).withColumns({r: F.col(f"{r}.column_name") for r in fixed.ROLE_PATTERNS})
+
+    def ruled(c: Column) -> Column:
+        action, kind = _recommended(F.lower(c))
+        return F.struct(c.alias("column_name"), action.alias("action"), kind.alias("param_type"))
+
+    rules = roles.withColumn("rules", F.transform("columns", ruled))
+    return rules.withColumns({"qids": _qids(), "rules": F.filter("rules", lambda c: c["action"] != "none")})
 
 
 def guess_roles(columns: Sequence[str]) -> Roles:
@@ -82,7 +139,7 @@ def classify(catalog: DataFrame) -> DataFrame:
         {
             "type": column_type(name),
             "cat": column_category(name),
-            "pii": name.rlike(fixed.PERSONAL),
+            "pii": occurs(name, fixed.PERSONAL),
             "risk": column_risk(name),
         }
     ).withColumn("bucket", risk_bucket(F.col("risk")))
@@ -183,12 +240,17 @@ def _first(name: str, rules: Sequence[tuple], default: object) -> object:
 
 def recommend(catalog: DataFrame) -> DataFrame:
     """Adds ``action`` and ``param_type``: the simple rule for the name alone."""
-    name = _lower()
+    action, kind = _recommended(_lower())
+    return catalog.withColumns({"action": action, "param_type": kind})
+
+
+def _recommended(name: Column) -> tuple[Column, Column]:
+    """The simple rule for a lower-cased name: its action, and what it generalizes to."""
     actions = [(pattern, action) for pattern, action, _ in fixed.RECOMMENDATION_RULES]
     chosen = F.lit(None).cast("string")
     for pattern, _, kind in reversed(fixed.RECOMMENDATION_RULES):
-        chosen = F.when(name.rlike(pattern), F.lit(kind).cast("string")).otherwise(chosen)
-    return catalog.withColumns({"action": first_match(name, actions, "none"), "param_type": chosen})
+        chosen = F.when(occurs(name, pattern), F.lit(kind).cast("string")).otherwise(chosen)
+    return first_match(name, actions, "none"), chosen
 
 
 def recommended_rules(columns: Sequence[str], *, compat: bool = False) -> dict[str, Rule]:
@@ -217,9 +279,9 @@ def column_reduction(name: Column, settings: Settings) -> Column:
         (settings.zip3, fixed.REDUCTION_POSTAL),
     ):
         if switch:
-            points = points + F.when(name.rlike(pattern), F.lit(gain)).otherwise(F.lit(0))
+            points = points + F.when(occurs(name, pattern), F.lit(gain)).otherwise(F.lit(0))
     gain = next((g for limit, g in fixed.REDUCTION_MONEY_BY_EPSILON if settings.epsilon <= limit), 0)
-    points = points + F.when(name.rlike(fixed.REDUCTION_MONEY), F.lit(gain)).otherwise(F.lit(0))
+    points = points + F.when(occurs(name, fixed.REDUCTION_MONEY), F.lit(gain)).otherwise(F.lit(0))
     return F.least(F.lit(fixed.REDUCTION_MAX), points)
 
 

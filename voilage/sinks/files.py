@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from voilage import fixed_values as fixed
@@ -182,8 +182,8 @@ def job_definition(
     return spark.createDataFrame([row], _DEFINITION)
 
 
-def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).json(path)
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none") -> None:
+    df.write.mode(mode).json(path, compression=compression)
 
 
 def read_job_definition(spark: SparkSession, path: str) -> tuple[Roles, dict[str, Rule], Settings, list[str]]:
@@ -203,25 +203,32 @@ def table_definitions(mappings: DataFrame, settings: Settings, delimiter: str =
 
     With ``rules``, a catalog with an action and a param_type per column, also ``columns`` in table
     order and ``transforms``, the rule of each column that has one. A repeated column name counts
-    where it stands first.
+    where it stands first. Mappings that bring ``columns`` and ``rules`` along (``policy.described``)
+    have both written without a shuffle.
     """
     shared = _settings(settings)
+    def rule_of(rules: str) -> Column:
+        param = lambda c: F.struct(c["param_type"].alias("type"))
+        rule = lambda c: F.struct(c["action"].alias("action"), param(c).alias("param"))
+        return F.map_from_entries(F.transform(rules, lambda c: F.struct(c["column_name"].alias("key"), rule(c).alias("value"))))
+
+    brought = ["columns", rule_of("rules").alias("transforms")] if "rules" in mappings.columns else []
     told = mappings.select(
         "table_name",
         F.struct(F.lit(delimiter).alias("delimiter")).alias("meta"),
         F.struct(*[F.lit(v).alias(k) for k, v in shared.items()]).alias("settings"),
         F.struct(*ROLE_NAMES, "qids").alias("mapping"),
+        *brought,
     )
     if rules is None:
         return told
     # one row a column, then one a table: names and rules are gathered once
     once = rules.groupBy("table_name", "column_name", "action", "param_type").agg(F.min("ordinal").alias("ordinal"))
-    column = F.struct("ordinal", "column_name", F.struct("action", F.struct(F.col("param_type").alias("type")).alias("param")).alias("rule"))
+    column = F.struct("ordinal", "column_name", "action", "param_type")
     folded = once.groupBy("table_name").agg(F.array_sort(F.collect_list(column)).alias("found"))
     named = F.transform("found", lambda c: c["column_name"])
-    ruled = F.filter("found", lambda c: c["rule"]["action"] != "none")
-    rule_of = F.map_from_entries(F.transform(ruled, lambda c: F.struct(c["column_name"].alias("key"), c["rule"].alias("value"))))
-    return told.join(folded.select("table_name", named.alias("columns"), rule_of.alias("transforms")), "table_name")
+    folded = folded.select("table_name", named.alias("columns"), F.filter("found", lambda c: c["action"] != "none").alias("ruled"))
+    return told.join(folded.select("table_name", "columns", rule_of("ruled").alias("transforms")), "table_name")
 
 
 # --- run report --------------------------------------------------------------------
