@@ -128,6 +128,16 @@ def test_records_beyond_the_bound_stop_the_job(spark, tmp_path, monkeypatch):
         split.take(pa.array(["a,b", '1,"x', *["y" * 30] * 5]))
 
 
+def test_long_lines_are_worked_on_a_few_at_a_time():
+    import pyarrow as pa
+
+    n, line = 64, '"' + "x" * 200_000 + '"'
+    batch = pa.RecordBatch.from_pydict({"file": ["f"] * n, "start": [0] * n, "value": [line] * n, "inside": [False] * n})
+    made = list(quoted._formed(",", "\r", False, False, frozenset())(iter([batch])))
+    assert [r for b in made for r in b.column("record").to_pylist()] == [line] * n
+    assert max(b.nbytes for b in made) <= 2 * quoted.PIECE_BYTES
+
+
 def test_carriage_returns_alone_end_lines(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"id;nom\r1;a\r2;\"b\nc\"\r")
     (tmp_path / "b.csv").write_bytes(b"id,nom\n3,d\n")

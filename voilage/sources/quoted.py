@@ -29,6 +29,7 @@ from voilage.session import materialize
 
 RECORD_CHARS = 1 << 26  # characters of a longest record; more are taken for a quote that is never closed
 MOST_SPLITS = 1_000_000  # rows of 17 bytes in the broadcast table of states
+PIECE_BYTES = 1 << 20  # of lines that are worked on at a time
 FEW_FILES = 1000  # files named one by one where only some are read again
 MARK = "\ufeff"  # of the byte order, before a file's first line
 ENCODINGS = ("UTF-8", "ISO-8859-1", "US-ASCII")  # of one byte an ASCII character, so that lines are found before decoding
@@ -51,7 +52,10 @@ class Quotes:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
-    """The batches cut where another split begins, with its file and start."""
+    """The batches cut where another split begins, with its file and start, into pieces of some bytes.
+
+    A batch has a number of lines, however long they are; what is made of a piece is several times its size.
+    """
     for batch in batches:
         starts, files, at = batch.column("start"), batch.column("file"), 0
         while at < len(batch):
@@ -59,7 +63,10 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, in
             same = pc.and_(pc.equal(files.slice(at), key[0]), pc.equal(starts.slice(at), key[1]))
             other = pc.index(same, False).as_py()
             size = len(batch) - at if other < 0 else other
-            yield key, batch.slice(at, size)
+            part = batch.slice(at, size)
+            step = max(1, size * PIECE_BYTES // max(1, part.nbytes))
+            for i in range(0, size, step):
+                yield key, part.slice(i, step)
             at += size
 
 
